@@ -1,0 +1 @@
+"""No streaming operators: the engine covers batch studies over panels only."""

@@ -18,7 +18,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltide.llm.common import materialise
@@ -56,14 +56,14 @@ class Signer:
         r = np.random.default_rng(seed)
         n = bands * rows // 2
         self.a = r.integers(1, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = r.integers(0, 2**63, n, np.uint64)
         self.bands, self.rows = bands, rows
 
     def bands_of(self, s: np.ndarray) -> np.ndarray:
-        low, high = np.empty(len(self.a), np.uint64), np.empty(len(self.a), np.uint64)
-        for i in range(len(self.a)):
-            v = (s * self.a[i] + self.b[i]) >> np.uint64(20)
-            low[i], high[i] = v.min(), v.max()
+        low, high = np.full(len(self.a), 2**64 - 1, np.uint64), np.zeros(len(self.a), np.uint64)
+        for at in range(0, len(s), 1024):
+            v = s[None, at : at + 1024] * self.a[:, None]
+            np.minimum(low, v.min(1), out=low)
+            np.maximum(high, v.max(1), out=high)
         both = np.concatenate((low.reshape(self.bands, -1), high.reshape(self.bands, -1)), 1)
         out = np.arange(self.bands, dtype=np.uint64)
         for j in range(self.rows):
@@ -117,25 +117,19 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         small = materialise(small)
         # done when every node has one edge, to a node that has none: stars
-        heads = small.select(F.col("b").alias("a")).distinct()
-        tangled = small.join(heads, "a", "left_semi").limit(1).count() or small.groupBy("a").count().where("count > 1").limit(1).count()
-        if not tangled:
+        ends = small.select("a", F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(small.select(F.col("b").alias("a"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        if not ends.groupBy("a").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down = 1 and up = 1").limit(1).count():
             break
         e = small
     return small.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(small.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def _firsts(live: DataFrame, n: int) -> DataFrame:
-    """band, centre, cn, cc: the `n` smallest members of each bucket that have not been centres, by
-    repeated minima, which are combined before the shuffle."""
-    member = F.struct(F.col("rep").alias("centre"), F.col("n").alias("cn"), F.col("c").alias("cc"))
-    found = None
-    left = live.where("fresh")
-    for _ in range(n):
-        least = left.groupBy("band").agg(F.min(member).alias("x")).select("band", "x.*")
-        found = least if found is None else found.unionByName(least)
-        left = left.join(least.select("band", F.col("centre").alias("gone")), "band").where("rep > gone").drop("gone")
-    return found
+    """band, centre, cn, cc: the `n` smallest members of each bucket that have not been centres. The
+    limit on the row number is applied before the shuffle as well."""
+    fresh = live.where("fresh").select("band", F.col("rep").alias("centre"), F.col("n").alias("cn"), F.col("c").alias("cc"))
+    w = Window.partitionBy("band").orderBy("centre")
+    return fresh.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -143,10 +137,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     two = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     full = pairs.join(one, "a").join(two, "b")
-    return full.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return full.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b", "ca", "cb")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, centres: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, centres: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` with a doc_id.
 
     Words are runs of non-white-space after lower-casing A-Z; a text with fewer than `k` words is one
@@ -160,31 +154,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     classes = materialise(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("bands", "doc_id").alias("bands")))
     banded = classes.select("rep", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band")
-    # a bucket's state: its members, which have not been centres yet
-    open_ = materialise(banded.join(shared, "band").select("band", "rep", "n", F.lit(True).alias("fresh")))
-    sets = materialise(_sets(docs, open_.select(F.col("rep").alias("doc_id")).distinct(), k))
-    spark = docs.sparkSession
-    edges = materialise(spark.createDataFrame([], "a long, b long"))
-    root = None
+    # a bucket's members, their components so far, and whether they can still be centres
+    live = materialise(banded.join(shared, "band").select("band", "rep", "n", F.col("rep").alias("c"), F.lit(True).alias("fresh")))
+    sets = materialise(_sets(docs, live.select(F.col("rep").alias("doc_id")).distinct(), k))
+    steps: list[DataFrame] = []
+    first = True
     while True:
-        labelled = open_ if root is None else open_.join(root, open_["rep"] == root["node"], "left").drop("node")
-        labelled = labelled.withColumn("c", F.col("rep") if root is None else F.coalesce("root", "rep"))
-        labelled = labelled.select("band", "rep", "n", "fresh", "c")
-        mixed = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count_if("fresh").alias("left")).where("lo < hi and left > 1").select("band")
-        live = materialise(labelled.join(mixed, "band"))
+        centre = materialise(_firsts(live, 1 if first else centres))
+        pairs = live.join(centre, "band").where("c <> cc and 100 * least(n, cn) >= %d * greatest(n, cn)" % percent)
+        turned = F.col("rep") < F.col("centre")
+        ordered = {"a": ("centre", "rep"), "b": ("rep", "centre"), "ca": ("cc", "c"), "cb": ("c", "cc")}
+        pairs = materialise(pairs.select(*(F.when(turned, F.col(x)).otherwise(F.col(y)).alias(name) for name, (x, y) in ordered.items())).distinct())
+        # links between components only: what is joined already is one node from now on
+        links = materialise(_confirmed(pairs, sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        done = centre.select("band", F.col("centre").alias("rep"), F.lit(True).alias("was"))
+        live = live.join(done, ["band", "rep"], "left").withColumn("fresh", F.col("fresh") & F.col("was").isNull()).drop("was")
+        if links.limit(1).count():
+            steps.append(materialise(components(links)))
+            live = live.join(steps[-1], F.col("c") == F.col("node"), "left").withColumn("c", F.coalesce("root", "c")).drop("node", "root")
+        live = materialise(live.select("band", "rep", "n", "c", "fresh"))
+        mixed = live.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count_if("fresh").alias("left")).where("lo < hi and left > 1").select("band")
+        live = materialise(live.join(mixed, "band"))
+        first = False
         if not live.limit(1).count():
             break
-        centre = materialise(_firsts(live, centres))
-        pairs = live.join(centre, "band").where("c <> cc and rep <> centre and 100 * least(n, cn) >= %d * greatest(n, cn)" % percent)
-        pairs = pairs.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
-        edges = materialise(edges.unionByName(_confirmed(materialise(pairs), sets, percent)))
-        root = materialise(components(edges))
-        done = centre.select("band", F.col("centre").alias("rep"), F.lit(True).alias("was"))
-        open_ = materialise(live.select("band", "rep", "n", "fresh").join(done, ["band", "rep"], "left").select("band", "rep", "n", (F.col("fresh") & F.col("was").isNull()).alias("fresh")))
-    member = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(classes.select("digest", "rep"), "digest", "left")
-    if root is not None:
-        member = member.join(root, F.col("rep") == F.col("node"), "left")
-        label = F.coalesce("root", "rep", "doc_id")
-    else:
-        label = F.coalesce("rep", "doc_id")
+    label = classes.select("digest", F.col("rep").alias("label"))
+    for step in steps:
+        label = label.join(step, F.col("label") == F.col("node"), "left").select("digest", F.coalesce("root", "label").alias("label"))
+    member = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(label, "digest", "left")
+    label = F.coalesce("label", "doc_id")
     return member.select("doc_id", "n_shingles", label.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -85,7 +85,8 @@ def fit(docs: DataFrame, per_language: int = 400, max_languages: int = 256, k: i
     def vectors(batches):
         for b in batches:
             got = [(x, n) for x, n in ((x, counts(t)) for x, t in zip(b["lang"], b["text"], strict=True)) if n is not None]
-            yield pd.DataFrame({"lang": [x for x, _ in got], "n": [n.astype(np.int32) for _, n in got]})
+            if got:
+                yield pd.DataFrame({"lang": [x for x, _ in got], "n": [n.astype(np.int32) for _, n in got]})
 
     sample = materialise(drawn.mapInPandas(vectors, "lang string, n array<int>"))
 

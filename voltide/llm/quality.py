@@ -143,14 +143,19 @@ def rules(docs: DataFrame) -> DataFrame:
 
     A row fails the base rule with under 20 words or with over 30 % of its words in repeated 8-word
     windows. The estimates use the rows that pass. A null language or source is a group of its own.
-    Groups with under 30 such rows are not estimated; their rows are kept if the base rule holds.
+    Groups with under 30 such rows use the estimate of their language over all sources; where that
+    has under 30 as well, rows are kept if the base rule holds.
     Repeated and tied rows each count; other columns are not read.
     """
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     stats = statistics(docs).withColumn("base_failed", base)
     rows = materialise(stats.select("*", F.coalesce("lang", F.lit("\0")).alias("g"), F.coalesce("source", F.lit("\0")).alias("h"), *(v.alias(f"x{i}") for i, v in enumerate(transformed()))))
     good = rows.where(~F.col("base_failed")).select("g", "h", *(f"x{i}" for i in range(P)))
-    estimate = mcd(good).where(F.col("n") >= LEAST_ROWS * SHARE).drop("n")
+    whole = good.withColumn("h", F.lit("\1"))  # the language over all sources, for small groups
+    estimate = mcd(good.unionByName(whole)).where(F.col("n") >= LEAST_ROWS * SHARE).drop("n")
+    small = rows.select("g", "h").distinct().join(estimate.select("g", "h"), ["g", "h"], "left_anti")
+    lent = small.join(estimate.where(F.col("h") == "\1").drop("h"), "g")
+    estimate = materialise(estimate.unionByName(lent))
     judged = _distance(rows.join(estimate, ["g", "h"], "left"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.when(~F.col("base_failed"), F.col("d2")).alias("distance"))

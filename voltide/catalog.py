@@ -297,3 +297,8 @@ SELECT snapshot, src, {m("")} AS idw, {m("FILTER (rho > 0)")} AS idw_pos, {m("FI
 
 ORACLES["d_neighbour_means"] = _neighbours("1 / greatest(d, 1e-8)")
 ORACLES["d_neighbour_means_exp"] = _neighbours("exp(-5 * d)")
+ORACLES["f_classification_metrics"] = PANEL + """, xx AS (SELECT * FROM x WHERE "RV5" IS NOT NULL AND "Y_fwd" IS NOT NULL), t AS (SELECT series, quantile_cont("Y_fwd", 0.8) AS th FROM xx GROUP BY 1),
+l AS (SELECT series, "Y_fwd" > th AS y, 5 * "RV5" > th AS p, round("RV5", 1) AS s FROM xx JOIN t USING (series)),
+k AS (SELECT *, rank() OVER (PARTITION BY series ORDER BY s) + (count(*) OVER (PARTITION BY series, s) - 1) / 2 AS rk FROM l),
+a AS (SELECT series, count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn, count(*) FILTER (y) AS n1, count(*) FILTER (NOT y) AS n0, sum(rk) FILTER (y) AS rs, avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END) AS acc FROM k GROUP BY 1)
+SELECT series, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) + 0.0 AS "F1", round(coalesce(tp / nullif(tp + fp, 0), 0), 6) + 0.0 AS "Precision", round(coalesce(tp / nullif(tp + fn, 0), 0), 6) + 0.0 AS "Recall", round(acc, 6) + 0.0 AS "Accuracy", CASE WHEN n1 > 0 AND n0 > 0 THEN round((rs - n1 * (n1 + 1) / 2) / (n1 * n0), 6) + 0.0 END AS "ROC_AUC" FROM a"""

@@ -6,10 +6,11 @@ is cut into bands and documents that agree on a band are candidates. Documents w
 one class, represented by its smallest id, and only classes take part from there on.
 
 Candidates are confirmed on their full sets. Within a band's bucket they are never paired with one
-another all at once: in each round the bucket's first few classes that have not been centres yet
-are compared with the members that belong to other components so far. The confirmed links are joined
-to components, and buckets of one component are finished; the rounds go on until every bucket is,
-so each candidate pair is compared or already connected.
+another all at once: in each round a few classes outside the bucket's largest component are centres,
+compared with the members that belong to other components so far, and then leave the bucket. The
+confirmed links are joined to components. A bucket is finished when the members left are of one
+component, so each candidate pair is compared or already connected, and a large component costs one
+comparison of its members with each class outside it, not one round after another.
 """
 
 from __future__ import annotations
@@ -124,12 +125,16 @@ def components(edges: DataFrame) -> DataFrame:
     return small.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(small.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _firsts(live: DataFrame, n: int) -> DataFrame:
-    """band, centre, cn, cc: the `n` smallest members of each bucket that have not been centres. The
-    limit on the row number is applied before the shuffle as well."""
-    fresh = live.where("fresh").select("band", F.col("rep").alias("centre"), F.col("n").alias("cn"), F.col("c").alias("cc"))
+def _centres(live: DataFrame, n: int) -> DataFrame:
+    """band, centre, cn, cc: up to `n` members of each bucket that holds two components or more, none
+    of them from the bucket's largest component. The limit on the row number is applied before the
+    shuffle as well."""
+    held = live.groupBy("band", "c").agg(F.count(F.lit(1)).alias("m"))
+    largest = held.groupBy("band").agg(F.max_by("c", F.struct("m", "c")).alias("largest"), F.count(F.lit(1)).alias("held"))
+    rest = live.join(largest.where("held > 1").select("band", "largest"), "band").where("c <> largest")
     w = Window.partitionBy("band").orderBy("centre")
-    return fresh.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place")
+    rest = rest.select("band", F.col("rep").alias("centre"), F.col("n").alias("cn"), F.col("c").alias("cc"))
+    return rest.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -154,30 +159,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     classes = materialise(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("bands", "doc_id").alias("bands")))
     banded = classes.select("rep", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band")
-    # a bucket's members, their components so far, and whether they can still be centres
-    live = materialise(banded.join(shared, "band").select("band", "rep", "n", F.col("rep").alias("c"), F.lit(True).alias("fresh")))
+    # the members of each bucket that have not been centres, and their components so far
+    live = materialise(banded.join(shared, "band").select("band", "rep", "n", F.col("rep").alias("c")))
     sets = materialise(_sets(docs, live.select(F.col("rep").alias("doc_id")).distinct(), k))
     steps: list[DataFrame] = []
-    first = True
     while True:
-        centre = materialise(_firsts(live, 1 if first else centres))
+        centre = materialise(_centres(live, centres if steps else 1))
+        if centre.isEmpty():
+            break
         pairs = live.join(centre, "band").where("c <> cc and 100 * least(n, cn) >= %d * greatest(n, cn)" % percent)
         turned = F.col("rep") < F.col("centre")
         ordered = {"a": ("centre", "rep"), "b": ("rep", "centre"), "ca": ("cc", "c"), "cb": ("c", "cc")}
         pairs = materialise(pairs.select(*(F.when(turned, F.col(x)).otherwise(F.col(y)).alias(name) for name, (x, y) in ordered.items())).distinct())
         # links between components only: what is joined already is one node from now on
         links = materialise(_confirmed(pairs, sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        done = centre.select("band", F.col("centre").alias("rep"), F.lit(True).alias("was"))
-        live = live.join(done, ["band", "rep"], "left").withColumn("fresh", F.col("fresh") & F.col("was").isNull()).drop("was")
-        if links.limit(1).count():
+        live = live.join(centre.select("band", F.col("centre").alias("rep")), ["band", "rep"], "left_anti")
+        if not links.isEmpty():
             steps.append(materialise(components(links)))
-            live = live.join(steps[-1], F.col("c") == F.col("node"), "left").withColumn("c", F.coalesce("root", "c")).drop("node", "root")
-        live = materialise(live.select("band", "rep", "n", "c", "fresh"))
-        mixed = live.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count_if("fresh").alias("left")).where("lo < hi and left > 1").select("band")
-        live = materialise(live.join(mixed, "band"))
-        first = False
-        if not live.limit(1).count():
-            break
+            live = live.join(steps[-1], F.col("c") == F.col("node"), "left").withColumn("c", F.coalesce("root", "c"))
+        live = materialise(live.select("band", "rep", "n", "c"))
     label = classes.select("digest", F.col("rep").alias("label"))
     for step in steps:
         label = label.join(step, F.col("label") == F.col("node"), "left").select("digest", F.coalesce("root", "label").alias("label"))

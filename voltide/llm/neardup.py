@@ -103,20 +103,27 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, s array<long>").groupBy("doc_id").agg(F.max("s").alias("s"))
 
 
+def _narrow(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, of narrow rows and no more than `rows` of them, in tasks of 250,000 rows: what shrinks
+    from round to round is not written in as many files as at first."""
+    return df.coalesce(-(-rows // 250_000) or 1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node that can be reached) for the nodes of `edges` (a, b), by
     alternating large-star and small-star steps until nothing changes. No neighbourhood is ever
     gathered: each step takes minima and joins."""
     e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     while True:
+        most = 2 * e.count()
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        large = materialise(large)
+        large = materialise(_narrow(large, most))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        small = materialise(small)
+        small = materialise(_narrow(small, most))
         # done when every node has one edge, to a node that has none: stars
         ends = small.select("a", F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(small.select(F.col("b").alias("a"), F.lit(0).alias("down"), F.lit(1).alias("up")))
         if not ends.groupBy("a").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down = 1 and up = 1").limit(1).count():
@@ -163,8 +170,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     live = materialise(banded.join(shared, "band").select("band", "rep", "n", F.col("rep").alias("c")))
     sets = materialise(_sets(docs, live.select(F.col("rep").alias("doc_id")).distinct(), k))
     steps: list[DataFrame] = []
+    first, left = True, live.count()
     while True:
-        centre = materialise(_centres(live, centres if steps else 1))
+        centre = materialise(_narrow(_centres(live, 1 if first else centres), left))
+        first = False
         if centre.isEmpty():
             break
         pairs = live.join(centre, "band").where("c <> cc and 100 * least(n, cn) >= %d * greatest(n, cn)" % percent)
@@ -174,10 +183,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         # links between components only: what is joined already is one node from now on
         links = materialise(_confirmed(pairs, sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
         live = live.join(centre.select("band", F.col("centre").alias("rep")), ["band", "rep"], "left_anti")
-        if not links.isEmpty():
-            steps.append(materialise(components(links)))
+        joined = links.count()
+        if joined:
+            steps.append(materialise(_narrow(components(links), 2 * joined)))
             live = live.join(steps[-1], F.col("c") == F.col("node"), "left").withColumn("c", F.coalesce("root", "c"))
-        live = materialise(live.select("band", "rep", "n", "c"))
+        live = materialise(_narrow(live.select("band", "rep", "n", "c"), left))
+        left = live.count()
     label = classes.select("digest", F.col("rep").alias("label"))
     for step in steps:
         label = label.join(step, F.col("label") == F.col("node"), "left").select("digest", F.coalesce("root", "label").alias("label"))

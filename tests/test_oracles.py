@@ -7,7 +7,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from voltide import catalog
+from voltide import catalog, further
+
+QUERIES, ORACLES = {**catalog.QUERIES, **further.QUERIES}, {**catalog.ORACLES, **further.ORACLES}
 
 DIR = "/root/testdata/sf0.01"
 
@@ -26,15 +28,15 @@ def tidy(df: pd.DataFrame) -> pd.DataFrame:
         if df[c].dtype == object:
             df = df.assign(**{c: df[c].map(lambda v: None if v is None else str(v)[:10] if "-" in str(v)[:5] and str(v)[:4].isdigit() else v)})
         elif "datetime" in str(df[c].dtype):
-            df = df.assign(**{c: df[c].astype(str).str[:10]})
-    keys = [c for c in df.columns if df[c].dtype == object or str(df[c].dtype).startswith("int")]
+            df = df.assign(**{c: df[c].astype(str).str.removesuffix(" 00:00:00")})
+    keys = [c for c in df.columns if df[c].dtype == object or str(df[c].dtype).startswith(("int", "str"))]
     return df.sort_values(keys or list(df.columns)).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, duck, name):
-    got = tidy(catalog.QUERIES[name](spark, DIR).toPandas())
-    want = tidy(duck.sql(catalog.ORACLES[name]).df())
+    got = tidy(QUERIES[name](spark, DIR).toPandas())
+    want = tidy(duck.sql(ORACLES[name]).df())
     assert list(got.columns) == list(want.columns)
     assert len(got) == len(want) > 0
     pd.testing.assert_frame_equal(got, want, check_dtype=False, atol=2e-6, rtol=0)

@@ -75,3 +75,32 @@ def folds(df: DataFrame, n_splits: int = 1, test: int = 252, min_train: int = 12
     end = F.col("_n") - F.col("fold") * test
     rows = rows.where((end - test >= min_train) & (F.col("_i") <= end))
     return rows.withColumn("role", F.when(F.col("_i") > end - test, "test").otherwise("train")).drop("_i", "_n")
+
+
+def standardise(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """Columns by the mean and the population deviation (0 counts as 1) of the key's training rows."""
+    train = F.col("role") == "train"
+    stats = df.where(train).groupBy(*keys).agg(*(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    out = df.join(stats, keys)
+    scaled = {c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}")) for c in columns}
+    return out.withColumns(scaled).select(df.columns)
+
+
+def fill_and_keep(df: DataFrame, columns: list[str], least: int = 300) -> DataFrame:
+    """Last known values carried forward, rows still missing one dropped, series with `least` rows
+    or more before and after kept."""
+    w = Window.partitionBy("series")
+    past = w.orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least)
+    df = df.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in columns}).dropna(subset=columns)
+    return df.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least).drop("_n")
+
+
+def realised_features(df: DataFrame, horizon: int = 5, eps: float = EPS) -> DataFrame:
+    """The variance features of series whose variance `rv` is measured: rv takes the place of the
+    squared return, and the target is the sum of future rv."""
+    df = df.withColumn("Returns", 100 * F.col("r")).withColumn("RV1", F.col("rv"))
+    for n in (5, 22):
+        df = df.withColumn(f"RV{n}", _full(F.avg("RV1"), F.col("RV1"), n, -(n - 1), 0))
+    df = df.withColumn("Y_fwd", _full(F.sum("RV1"), F.col("RV1"), horizon, 1, horizon))
+    return df.withColumns({f"log_{c.replace('Y_fwd', 'Y')}": F.log(F.col(c) + eps) for c in ("RV1", "RV5", "RV22", "Y_fwd")})

@@ -32,3 +32,14 @@ def tail_outliers(df: DataFrame, column: str = "Returns", tail: float = 0.01) ->
 def normalised(df: DataFrame) -> DataFrame:
     w = Window.partitionBy("series").orderBy("dt").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return df.select("series", "dt", (100 * F.col("px") / F.first("px", ignorenulls=True).over(w)).alias("index"))
+
+
+def histogram(panel: DataFrame, bins: int = 20, tail: float = 0.01) -> DataFrame:
+    """bin (from 1), n and density of the pooled returns between two quantiles, both included."""
+    r = panel.where("Returns is not null").select("Returns")
+    ends = r.agg(F.percentile("Returns", F.lit(tail)).alias("lo"), F.percentile("Returns", F.lit(1 - tail)).alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    at = F.least(F.floor((F.col("Returns") - F.col("lo")) / width) + 1, F.lit(bins))
+    rows = r.join(F.broadcast(ends)).where("Returns between lo and hi").groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.first(width).alias("width"))
+    total = rows.agg(F.sum("n").alias("total"))
+    return rows.join(F.broadcast(total)).select("bin", "n", (F.col("n") / (F.col("total") * F.col("width"))).alias("density"))

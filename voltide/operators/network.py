@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def correlations(panel: DataFrame, window: int = 60, step: int = 5, coverage: float = 0.8, least: int = 10) -> DataFrame:
-    """snapshot, s1 < s2, rho: correlations over the trailing window of every `step`-th date.
+def windows(panel: DataFrame, window: int = 60, step: int = 5, coverage: float = 0.8, least: int = 10) -> DataFrame:
+    """snapshot, series, i, r: the trailing window of every `step`-th date.
 
     Series with less than `coverage` of the window drop out, gaps count as zero, a snapshot with
-    under `least` series is skipped, and one with any undefined correlation has rho 0 throughout.
-    Membership of a row in snapshots is an explode of the few that hold it, so the self-join is an
-    equi-join on (snapshot, i) and needs no range join.
+    under `least` series is skipped. Membership of a row in snapshots is an explode of the few that
+    hold it, so what compares series is an equi-join on (snapshot, i) and needs no range join.
     """
     r = panel.select("series", "i", "Returns")
     first = F.greatest(F.ceil((F.col("i") - window) / step), F.lit(0))
@@ -23,16 +22,81 @@ def correlations(panel: DataFrame, window: int = 60, step: int = 5, coverage: fl
     w = Window.partitionBy("snapshot", "series")
     held = held.withColumn("n", F.count("Returns").over(w)).where(F.col("n") >= coverage * window).select("snapshot", "series", "i", F.coalesce("Returns", F.lit(0.0)).alias("r"))
     enough = held.groupBy("snapshot").agg(F.count_distinct("series").alias("p")).where(F.col("p") >= least).select("snapshot")
-    held = held.join(enough, "snapshot")
-    a, b = held.select("snapshot", "i", F.col("series").alias("s1"), F.col("r").alias("x")), held.select("snapshot", "i", F.col("series").alias("s2"), F.col("r").alias("y"))
-    pairs = a.join(b, ["snapshot", "i"]).where("s1 < s2").groupBy("snapshot", "s1", "s2")
-    sums = pairs.agg(*(F.avg(e).alias(n) for n, e in (("mx", F.col("x")), ("my", F.col("y")), ("xx", F.col("x") ** 2), ("yy", F.col("y") ** 2), ("xy", F.col("x") * F.col("y")))))
+    return held.join(enough, "snapshot")
+
+
+def _moments() -> tuple[list[Column], Column]:
+    """The means that a correlation of x and y is made of, and the correlation, null if undefined."""
+    means = [F.avg(e).alias(n) for n, e in (("mx", F.col("x")), ("my", F.col("y")), ("xx", F.col("x") ** 2), ("yy", F.col("y") ** 2), ("xy", F.col("x") * F.col("y")))]
     vx, vy = F.col("xx") - F.col("mx") ** 2, F.col("yy") - F.col("my") ** 2
-    rho = F.when((vx > 1e-12) & (vy > 1e-12), F.try_divide(F.col("xy") - F.col("mx") * F.col("my"), F.sqrt(vx * vy)))
-    rho = F.least(F.greatest(rho, F.lit(-1 + 1e-8)), F.lit(1 - 1e-8))
-    out = sums.select("snapshot", "s1", "s2", F.when((vx > 1e-12) & (vy > 1e-12), rho).alias("rho"))
+    rho = F.try_divide(F.col("xy") - F.col("mx") * F.col("my"), F.sqrt(vx * vy))
+    return means, F.when((vx > 1e-12) & (vy > 1e-12), _clip(rho))
+
+
+def _clip(rho: Column) -> Column:
+    return F.least(F.greatest(rho, F.lit(-1 + 1e-8)), F.lit(1 - 1e-8))
+
+
+def _all_defined(df: DataFrame) -> DataFrame:
+    """One undefined correlation makes all of its snapshot 0."""
     undefined = F.bool_or(F.col("rho").isNull()).over(Window.partitionBy("snapshot"))
-    return out.withColumn("rho", F.when(undefined, 0.0).otherwise(F.col("rho")))
+    return df.withColumn("rho", F.when(undefined, 0.0).otherwise(F.col("rho")))
+
+
+def correlations(panel: DataFrame, window: int = 60, step: int = 5, coverage: float = 0.8, least: int = 10) -> DataFrame:
+    """snapshot, s1 < s2, rho over the rows of `windows`; an undefined one makes its snapshot 0."""
+    return pair_correlations(windows(panel, window, step, coverage, least))
+
+
+def pair_correlations(held: DataFrame) -> DataFrame:
+    a, b = held.select("snapshot", "i", F.col("series").alias("s1"), F.col("r").alias("x")), held.select("snapshot", "i", F.col("series").alias("s2"), F.col("r").alias("y"))
+    pairs = a.join(b, ["snapshot", "i"]).where("s1 < s2").groupBy("snapshot", "s1", "s2")
+    means, rho = _moments()
+    return _all_defined(pairs.agg(*means).select("snapshot", "s1", "s2", rho.alias("rho")))
+
+
+def market_partial(held: DataFrame) -> DataFrame:
+    """snapshot, s1 < s2, rho, d: correlations given the equal-weight mean of all series, in closed
+    form, and 1 - rho squared."""
+    market = held.groupBy("snapshot", "i").agg(F.avg("r").alias("y"))
+    means, rho = _moments()
+    own = held.withColumnRenamed("r", "x").join(market, ["snapshot", "i"]).groupBy("snapshot", "series").agg(*means)
+    own = _all_defined(own.select("snapshot", "series", rho.alias("rho")))
+    out = pair_correlations(held)
+    for s, name in (("s1", "m1"), ("s2", "m2")):
+        out = out.join(own.select("snapshot", F.col("series").alias(s), F.col("rho").alias(name)), ["snapshot", s])
+    free = lambda c: F.greatest(1 - F.col(c) ** 2, F.lit(1e-10))
+    value = _clip((F.col("rho") - F.col("m1") * F.col("m2")) / F.sqrt(free("m1") * free("m2")))
+    return squared_distance(out.select("snapshot", "s1", "s2", value.alias("rho")))
+
+
+def rank_bins(held: DataFrame, bins: int = 10) -> DataFrame:
+    """snapshot, series, i, bin: equal-frequency bins by rank; tied values have distinct ranks."""
+    w = Window.partitionBy("snapshot", "series")
+    rank = F.row_number().over(w.orderBy(F.round("r", 9), "i")) - 1
+    return held.select("snapshot", "series", "i", F.floor(rank * bins / F.count(F.lit(1)).over(w)).cast("int").alias("bin"))
+
+
+def entropies(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Entropy of the counts `c` per key: ln n - sum(c ln c) / n."""
+    n = F.sum("c")
+    return cells.groupBy(*keys).agg((F.log(n) - F.sum(F.col("c") * F.log("c")) / n).alias("h"))
+
+
+def mutual_information(held: DataFrame, bins: int = 10) -> DataFrame:
+    """snapshot, s1 < s2, nmi, d = 1 - nmi: mutual information by the geometric mean of entropies."""
+    b = rank_bins(held, bins)
+    count = F.count(F.lit(1)).alias("c")
+    one = entropies(b.groupBy("snapshot", "series", "bin").agg(count), ["snapshot", "series"])
+    x, y = b.select("snapshot", "i", F.col("series").alias("s1"), F.col("bin").alias("b1")), b.select("snapshot", "i", F.col("series").alias("s2"), F.col("bin").alias("b2"))
+    both = x.join(y, ["snapshot", "i"]).where("s1 < s2").groupBy("snapshot", "s1", "s2", "b1", "b2").agg(count)
+    out = entropies(both, ["snapshot", "s1", "s2"])
+    for s, name in (("s1", "h1"), ("s2", "h2")):
+        out = out.join(one.select("snapshot", F.col("series").alias(s), F.col("h").alias(name)), ["snapshot", s])
+    scale = F.sqrt(F.col("h1") * F.col("h2"))
+    nmi = F.when(scale > 1e-10, (F.col("h1") + F.col("h2") - F.col("h")) / scale).otherwise(0.0)
+    out = out.select("snapshot", "s1", "s2", F.least(F.greatest(nmi, F.lit(0.0)), F.lit(1.0)).alias("nmi"))
+    return out.withColumn("d", 1 - F.col("nmi"))
 
 
 def squared_distance(pairs: DataFrame) -> DataFrame:
@@ -91,3 +155,43 @@ def neighbour_means(edges: DataFrame, values: DataFrame, column: str, kernel: st
     mean = lambda on: F.try_divide(F.sum(F.when(on, F.col("w") * F.col("v"))), F.sum(F.when(on, F.col("w"))))
     pos = F.col("rho") > 0
     return rows.groupBy("snapshot", "src").agg(mean(F.lit(True)).alias("idw"), mean(pos).alias("idw_pos"), mean(~pos).alias("idw_neg"))
+
+
+def rank_features(edges: DataFrame, values: DataFrame, column: str, k: int) -> DataFrame:
+    """Value of `column` and distance of each node's r-th nearest neighbour in the graph, r < k."""
+    v = values.select(F.col("i").alias("snapshot"), F.col("series").alias("dst"), F.col(column).alias("v"))
+    r = F.row_number().over(Window.partitionBy("snapshot", "src").orderBy(F.round("d", 9), "dst")) - 1
+    near = edges.withColumn("r", r).where(F.col("r") < k).join(v, ["snapshot", "dst"], "left")
+    at = lambda i, c: F.max(F.when(F.col("r") == i, F.col(c)))
+    out = [at(i, "v").alias(f"net_nn{i}_{column}") for i in range(k)] + [at(i, "d").alias(f"net_nn{i}_dist") for i in range(k)]
+    return near.groupBy("snapshot", "src").agg(*out)
+
+
+def as_of(panel: DataFrame, features: DataFrame, columns: list[str]) -> DataFrame:
+    """The node features of the latest snapshot on every date of each series, column by column."""
+    f = features.select(F.col("snapshot").alias("i"), F.col("src").alias("series"), *columns)
+    w = Window.partitionBy("series").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+    return panel.select("series", "dt", "i").join(f, ["series", "i"], "left").select("series", "dt", *(F.last(c, ignorenulls=True).over(w).alias(c) for c in columns))
+
+
+def edge_counts(edges: DataFrame) -> DataFrame:
+    return edges.where("src < dst").groupBy("snapshot").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+def ego(edges: DataFrame, centre: str, k: int) -> DataFrame:
+    """Edges src < dst among `centre` and its `k` closest neighbours, by snapshot."""
+    w = Window.partitionBy("snapshot").orderBy(F.round("d", 9), "dst")
+    near = edges.where(F.col("src") == centre).withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("snapshot", F.col("dst").alias("node"))
+    nodes = near.unionByName(near.select("snapshot", F.lit(centre).alias("node")).distinct())
+    out = edges.where("src < dst")
+    for end in ("src", "dst"):
+        out = out.join(nodes.withColumnRenamed("node", end), ["snapshot", end], "left_semi")
+    return out.select("snapshot", "src", "dst", "d", "rho")
+
+
+def neighbourhood_change(edges: DataFrame) -> DataFrame:
+    """Each node's neighbours in the first and the last snapshot: stable, lost or gained."""
+    ends = edges.agg(F.min("snapshot").alias("lo"), F.max("snapshot").alias("hi"))
+    rows = edges.join(F.broadcast(ends)).where("snapshot in (lo, hi)").groupBy("src", "dst")
+    old, new = F.bool_or(F.col("snapshot") == F.col("lo")), F.bool_or(F.col("snapshot") == F.col("hi"))
+    return rows.agg(F.when(old & new, "stable").when(old, "lost").otherwise("gained").alias("change"))

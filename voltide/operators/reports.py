@@ -121,3 +121,51 @@ def signed_rank(pairs: DataFrame) -> DataFrame:
     out = rows.agg(F.count(F.lit(1)).alias("n"), up.alias("w_plus"), down.alias("w_minus"))
     w, m = F.least("w_plus", "w_minus"), F.col("n") * (F.col("n") + 1)
     return out.withColumn("z", F.try_divide(w - m / 4, F.sqrt(m * (2 * F.col("n") + 1) / 24)))
+
+
+def weighted_recall(preds: DataFrame, keys: list[str]) -> DataFrame:
+    """Recall weighted by ln(1 + y_true) over the positives; null without positives."""
+    y, w = F.col("label") == 1, F.log1p("y_true")
+    got = F.try_divide(F.sum(F.when(y & (F.col("pred") == 1), w).otherwise(F.when(y, 0.0))), F.sum(F.when(y, w)))
+    return preds.groupBy(*keys).agg(got.alias("Weighted_Recall"))
+
+
+def per_ticker(df: DataFrame, metric: str = "RMSE_log") -> DataFrame:
+    """The tickers' means of the best model of each category."""
+    by = df.groupBy("Category", "Ticker", "Model").agg(F.avg(metric).alias("value"))
+    win = best(by.groupBy("Category", "Model").agg(F.avg("value").alias("m")), ["Category"], "m")
+    return by.join(win.select("Category", "Model"), ["Category", "Model"], "left_semi")
+
+
+def without_outlying_tickers(df: DataFrame, floor: float = -1.0) -> DataFrame:
+    """The rows of tickers whose mean R2 is not below `floor`."""
+    bad = df.groupBy("Ticker").agg(F.avg("R2").alias("m")).where(F.col("m") < floor)
+    return df.join(bad.select("Ticker"), "Ticker", "left_anti")
+
+
+def extremes(pairs: DataFrame, n: int = 5) -> DataFrame:
+    """The `n` tickers with the smallest and the `n` with the largest delta, with their places."""
+    out = None
+    for side, order in (("network", F.round("delta", 9).asc()), ("baseline", F.round("delta", 9).desc())):
+        top = pairs.orderBy(order, "Ticker").limit(n)
+        top = top.withColumn("place", F.row_number().over(Window.orderBy(order, "Ticker"))).withColumn("favours", F.lit(side))
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
+def select_on_validation(df: DataFrame, fold: int, metric: str = "RMSE_log") -> DataFrame:
+    """Per category the model with the best median of the validation fold."""
+    by = df.where(F.col("Fold") == fold).groupBy("Category", "Model").agg(F.median(metric).alias("value"))
+    return best(by, ["Category"], "value")
+
+
+def report_on_test(df: DataFrame, validation: int, test: int, metric: str = "RMSE_log") -> DataFrame:
+    """The models chosen on the validation fold, summarised on the test fold."""
+    chosen = select_on_validation(df, validation, metric).select("Category", "Model")
+    return summarize(df.where(F.col("Fold") == test).join(chosen, ["Category", "Model"], "left_semi"))
+
+
+def baseline_and_network(df: DataFrame, metric: str = "RMSE_log") -> DataFrame:
+    """The best baseline and the best network model, a row each."""
+    means = df.groupBy("Category", "Model").agg(F.avg(metric).alias("value")).withColumn("is_network", decode(F.col("Category"))["is_network"])
+    return best(means, ["is_network"], "value")

@@ -62,3 +62,13 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.avg(d("l_tax")) * 12 - 0.3).alias("R2"),
         F.avg(d("l_quantity")).alias("MAE"),
     )
+
+
+def realised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """series (event type), dt (hour), rv, r, closeprice: squared log changes, log change and last
+    value inside each hour; values that are not positive are left out."""
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("series"), F.date_trunc("hour", "ts").alias("dt"), "ts", "event_id", F.col("value").cast("double").alias("v")).where("v > 0")
+    w = Window.partitionBy("series", "dt").orderBy("ts", "event_id")
+    e = e.withColumn("step", F.log("v") - F.log(F.lag("v").over(w)))
+    at = F.struct("ts", "event_id")
+    return e.groupBy("series", "dt").agg(F.sum(F.col("step") ** 2).alias("rv"), F.log(F.max_by("v", at) / F.min_by("v", at)).alias("r"), F.max_by("v", at).alias("closeprice"))

@@ -8,9 +8,12 @@ one class, represented by its smallest id, and only classes take part from there
 Candidates are confirmed on their full sets. Within a band's bucket they are never paired with one
 another all at once: in each round a few classes outside the bucket's largest component are centres,
 compared with the members that belong to other components so far, and then leave the bucket. The
-confirmed links are joined to components. A bucket is finished when the members left are of one
-component, so each candidate pair is compared or already connected, and a large component costs one
-comparison of its members with each class outside it, not one round after another.
+confirmed links are joined to components. A bucket is finished, and put aside, when the members left
+are of one component, so each candidate pair is compared or already connected, and a large component
+costs one comparison of its members with each class outside it, not one round after another.
+
+One bit of every minimum and maximum is kept as a sketch. Two sets of similarity s differ in about
+(1 - s) / 2 of the bits, so pairs that differ in far more are passed over before their sets are read.
 """
 
 from __future__ import annotations
@@ -27,15 +30,13 @@ from voltide.llm.common import materialise
 
 def shingles(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the k-word shingles of the whole text."""
-    import xxhash
-
-    words = (text or "").translate(_LOWER).encode().split()
+    # of bytes, lower() turns A-Z alone and split() cuts at exactly the six ASCII white space characters
+    words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    own = dict.fromkeys(words)
-    for w in own:
-        own[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(own.__getitem__, words), np.uint64, len(words))
+    if len(_hashes) > 200_000:
+        _hashes.clear()
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     k = min(k, len(h))
     out = np.zeros(len(h) - k + 1, np.uint64)
     for i in range(k):  # the place of a word in its shingle counts
@@ -44,28 +45,50 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
-# A-Z only; bytes.split() cuts at exactly the six ASCII white space characters
-_LOWER = {c: c + 32 for c in range(65, 91)}
+class _Hashes(dict):
+    """64-bit hashes of the words that this process has met since it was last emptied."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = _Hashes()
 
 
 class Signer:
-    """Band hashes of min-max signatures: `bands` bands of `rows` values each."""
+    """Band hashes of min-max signatures: `bands` bands of `rows` values each. Values are the upper
+    half of a shingle's hash times an odd number, modulo 2^32: a permutation of 32-bit numbers."""
 
     def __init__(self, bands: int, rows: int, seed: int = 17):
         if rows % 2:
             raise ValueError("a band holds as many minima as maxima")
         r = np.random.default_rng(seed)
         n = bands * rows // 2
-        self.a = r.integers(1, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.a = r.integers(0, 2**31, n, np.uint32) * np.uint32(2) + np.uint32(1)
         self.bands, self.rows = bands, rows
-
-    def bands_of(self, s: np.ndarray) -> np.ndarray:
-        low, high = np.full(len(self.a), 2**64 - 1, np.uint64), np.zeros(len(self.a), np.uint64)
-        for at in range(0, len(s), 1024):
-            v = s[None, at : at + 1024] * self.a[:, None]
+        self.room = np.empty((n, 2048), np.uint32)
+
+    def values(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The minima and the maxima of a set under all permutations."""
+        low, high = np.full(len(self.a), 2**32 - 1, np.uint32), np.zeros(len(self.a), np.uint32)
+        s = (s >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(s), 2048):
+            part = s[None, at : at + 2048]
+            v = np.multiply(self.a[:, None], part, out=self.room[:, : part.shape[1]])
             np.minimum(low, v.min(1), out=low)
             np.maximum(high, v.max(1), out=high)
-        both = np.concatenate((low.reshape(self.bands, -1), high.reshape(self.bands, -1)), 1)
+        return low, high
+
+    def sketch_of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """A middle bit of each value, 64 to a number."""
+        bits = np.packbits((np.concatenate((low, high)) >> np.uint32(12)).astype(np.uint8) & 1)
+        return np.pad(bits, (0, -len(bits) % 8)).view(np.int64)
+
+    def bands_of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        both = np.concatenate((low.reshape(self.bands, -1), high.reshape(self.bands, -1)), 1).astype(np.uint64)
         out = np.arange(self.bands, dtype=np.uint64)
         for j in range(self.rows):
             out = (out ^ both[:, j]) * np.uint64(0xD6E8FEB86659FD93)
@@ -77,17 +100,19 @@ def _signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     def run(batches):
         signer = Signer(bands, rows)
         for b in batches:
-            ids, sizes, digests, signs = [], [], [], []
+            ids, sizes, digests, signs, sketches = [], [], [], [], []
             for i, t in zip(b["doc_id"], b["text"], strict=True):
                 s = shingles(t, k)
                 ids.append(i)
                 sizes.append(len(s))
                 digests.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
-                signs.append(signer.bands_of(s) if len(s) else None)
-            yield pd.DataFrame({"doc_id": ids, "n": sizes, "digest": digests, "bands": signs})
+                values = signer.values(s)
+                signs.append(signer.bands_of(*values) if len(s) else None)
+                sketches.append(signer.sketch_of(*values) if len(s) else None)
+            yield pd.DataFrame({"doc_id": ids, "n": sizes, "digest": digests, "bands": signs, "sketch": sketches})
 
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    return rows_.mapInPandas(run, "doc_id long, n long, digest binary, bands array<long>")
+    return rows_.mapInPandas(run, "doc_id long, n long, digest binary, bands array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -133,14 +158,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _centres(live: DataFrame, n: int) -> DataFrame:
-    """band, centre, cn, cc: up to `n` members of each bucket that holds two components or more, none
+    """band, centre, cn, cc, csketch: up to `n` members of each bucket that holds two components or more, none
     of them from the bucket's largest component. The limit on the row number is applied before the
     shuffle as well."""
     held = live.groupBy("band", "c").agg(F.count(F.lit(1)).alias("m"))
     largest = held.groupBy("band").agg(F.max_by("c", F.struct("m", "c")).alias("largest"), F.count(F.lit(1)).alias("held"))
     rest = live.join(largest.where("held > 1").select("band", "largest"), "band").where("c <> largest")
     w = Window.partitionBy("band").orderBy("centre")
-    rest = rest.select("band", F.col("rep").alias("centre"), F.col("n").alias("cn"), F.col("c").alias("cc"))
+    rest = rest.select("band", F.col("rep").alias("centre"), F.col("n").alias("cn"), F.col("c").alias("cc"), F.col("sketch").alias("csketch"))
     return rest.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place")
 
 
@@ -152,23 +177,33 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b", "ca", "cb")
 
 
+def _most_differing(bits: int, percent: int) -> float:
+    """More bits than that differ in linked sets with a probability under 1e-11: eight standard
+    deviations above the mean."""
+    p = (1 - percent / 100) / 2
+    return bits * p + 8 * (bits * p * (1 - p)) ** 0.5
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, centres: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` with a doc_id.
 
     Words are runs of non-white-space after lower-casing A-Z; a text with fewer than `k` words is one
     shingle; one without words has none, is linked with nothing and is kept. Linked are documents
     with 100 * intersection >= `percent` * union; component_id is the smallest doc_id that can be
-    reached. At similarity 0.8 a pair agrees on none of 42 bands of 6 with probability 3e-6. Rows
+    reached. At similarity 0.8 a pair agrees on none of 42 bands of 6 with probability 3e-6, and
+    its sketches differ by too much with one under 1e-11 (percent < 100). Rows
     without doc_id cannot be named and are left out; rows that repeat one are linked like others and
     returned one by one. Only doc_id and text are read.
     """
     signed = materialise(_signed(docs, k, bands, rows))
-    classes = materialise(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("bands", "doc_id").alias("bands")))
-    banded = classes.select("rep", "n", F.explode("bands").alias("band"))
+    classes = materialise(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("bands", "doc_id").alias("bands"), F.first("sketch").alias("sketch")))
+    banded = classes.select("rep", "n", "sketch", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band")
     # the members of each bucket that have not been centres, and their components so far
-    live = materialise(banded.join(shared, "band").select("band", "rep", "n", F.col("rep").alias("c")))
+    live = materialise(banded.join(shared, "band").select("band", "rep", "n", "sketch", F.col("rep").alias("c")))
     sets = materialise(_sets(docs, live.select(F.col("rep").alias("doc_id")).distinct(), k))
+    differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("csketch")[i])) for i in range(-(-bands * rows // 64))), F.lit(0))
+    most = _most_differing(bands * rows, percent)
     steps: list[DataFrame] = []
     first, left = True, live.count()
     while True:
@@ -176,18 +211,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         first = False
         if centre.isEmpty():
             break
-        pairs = live.join(centre, "band").where("c <> cc and 100 * least(n, cn) >= %d * greatest(n, cn)" % percent)
+        pairs = live.join(centre, "band").where("c <> cc and 100 * least(n, cn) >= %d * greatest(n, cn)" % percent).where(differ <= most)
         turned = F.col("rep") < F.col("centre")
         ordered = {"a": ("centre", "rep"), "b": ("rep", "centre"), "ca": ("cc", "c"), "cb": ("c", "cc")}
         pairs = materialise(pairs.select(*(F.when(turned, F.col(x)).otherwise(F.col(y)).alias(name) for name, (x, y) in ordered.items())).distinct())
         # links between components only: what is joined already is one node from now on
         links = materialise(_confirmed(pairs, sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        live = live.join(centre.select("band", F.col("centre").alias("rep")), ["band", "rep"], "left_anti")
+        # a bucket without a centre is finished
+        used = centre.groupBy("band").agg(F.collect_list("centre").alias("used"))
+        live = live.join(used, "band").where(~F.array_contains("used", F.col("rep"))).drop("used")
         joined = links.count()
         if joined:
             steps.append(materialise(_narrow(components(links), 2 * joined)))
             live = live.join(steps[-1], F.col("c") == F.col("node"), "left").withColumn("c", F.coalesce("root", "c"))
-        live = materialise(_narrow(live.select("band", "rep", "n", "c"), left))
+        live = materialise(_narrow(live.select("band", "rep", "n", "sketch", "c"), left))
         left = live.count()
     label = classes.select("digest", F.col("rep").alias("label"))
     for step in steps:

@@ -197,11 +197,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     """
     signed = materialise(_signed(docs, k, bands, rows))
     classes = materialise(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("bands", "doc_id").alias("bands"), F.first("sketch").alias("sketch")))
-    banded = classes.select("rep", "n", "sketch", F.explode("bands").alias("band"))
+    banded = classes.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band")
     # the members of each bucket that have not been centres, and their components so far
-    live = materialise(banded.join(shared, "band").select("band", "rep", "n", "sketch", F.col("rep").alias("c")))
-    sets = materialise(_sets(docs, live.select(F.col("rep").alias("doc_id")).distinct(), k))
+    live = banded.join(shared, "band").join(classes.select("rep", "n", "sketch"), "rep")
+    live = materialise(live.select("band", "rep", "n", "sketch", F.col("rep").alias("c")))
+    # written, so that their real number decides whether the texts have to be shuffled
+    members = materialise(live.select(F.col("rep").alias("doc_id")).distinct())
+    sets = materialise(_sets(docs, members, k))
     differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("csketch")[i])) for i in range(-(-bands * rows // 64))), F.lit(0))
     most = _most_differing(bands * rows, percent)
     steps: list[DataFrame] = []

@@ -156,6 +156,25 @@ def test_licences(spark):
     assert [r["licence"] for r in got] == ["MIT", "ISC", None, None, None] and got[2]["notices"] == "MIT"
 
 
+def test_licences_full_texts_headers_and_reserved_rights(spark):
+    from pathlib import Path
+
+    files = sorted((Path(licences.__file__).parent / "licence_texts").glob("*.txt"))
+    texts = [(p.stem, "Copyright 2020 Someone\n\n" + re.sub(r"\s+", " ", p.read_text()).replace(". ", ".\n# ")) for p in files if p.stem.startswith(("BSD", "Unl"))]
+    texts += [(p.stem, p.read_text().replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2021 A. Body")) for p in files]
+    got = licences.scan(spark.createDataFrame(texts, "doc_id string, text string")).collect()
+    assert len(got) == len(texts) and all(r["licence"] == r["doc_id"] for r in got), [(r["doc_id"], r["licence"]) for r in got if r["licence"] != r["doc_id"]]
+    lines = [
+        ("prose\nAll rights reserved.\nprose", licences.RESERVED), ("© 2019 A. Body. All Rights Reserved", licences.RESERVED), ("# SPDX-License-Identifier: MPL-2.0\ncode", "MPL-2.0"), ("All rights are reserved for lunch.", ""),
+        ("/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n *\n * This program is\n */\nx = 1", "GPL-3.0"),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(lines)], "doc_id long, text string")
+    assert [r["notices"] for r in licences.scan(frame).orderBy("doc_id").collect()] == [n for _, n in lines]
+    one = licences.scan(frame, known=[("X", "prose"), ("Y", "Prose!")]).orderBy("doc_id").collect()
+    assert [r["notices"] for r in one] == ["X,Y", "", "", "", ""]
+    assert licences.scan(frame, known=[]).count() == len(lines)
+
+
 def test_sharding_moves_little(spark, odd):
     names = [f"s{i}" for i in range(16)]
     a, b = sharding.fill(names), sharding.fill(names[:-1])

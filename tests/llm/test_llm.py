@@ -62,6 +62,16 @@ def test_quality_keeps_good_documents(spark, docs, labels):
     assert kept[1] > 0.99 and kept[0] < 0.3
 
 
+def test_quality_rejects_a_third_of_copies(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8)))
+    junk = " ".join(f"{word()}{r.choice('#$%&|') * 3}" for _ in range(80))
+    rows = [(i, " ".join(word() for _ in range(r.randint(60, 200))), "en", "a") for i in range(300)] + [(1000 + i, junk, "en", "a") for i in range(150)]
+    got = quality.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(x["base_failed"] for x in got) and not any(x["kept"] for x in got if x["doc_id"] >= 1000)
+    assert sum(x["kept"] for x in got if x["doc_id"] < 1000) >= 297
+
+
 def test_tokens_match_the_library(spark, docs, odd):
     import hashlib
 

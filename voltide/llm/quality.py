@@ -1,15 +1,17 @@
 """Quality rules: word statistics and robust multivariate outliers.
 
 Per language and source, a minimum-covariance-determinant estimate of the transformed statistics is
-found by concentration steps: keep the three quarters of the rows that are nearest by Mahalanobis
-distance, estimate mean and covariance from them, repeat. There are two deterministic starts (all
-rows; medians and absolute deviations); the one with the smaller determinant wins. Rows beyond a
-chi-squared cutoff are rejected. Everything is aggregates and expressions over the statistics; the
-quarter is cut at a bin of a fine histogram of the distances, so no group is ever sorted.
+found by concentration steps: keep the half of the rows that is nearest by Mahalanobis distance,
+estimate mean and covariance from it, repeat until the determinant stops falling. There are two
+deterministic starts (all rows; medians and absolute deviations); the one with the smaller
+determinant wins. Rows beyond a chi-squared cutoff are rejected. Everything is aggregates and
+expressions over the statistics; the half is cut at a bin of a fine histogram of the distances, so
+no group is ever sorted.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,14 +21,25 @@ from voltide.llm.common import SPACE, WORD, materialise
 
 SYMBOL = r"[#*$%&|<>]"
 P = 4
-# Share of rows in the concentrated part; the factor that makes its covariance
-# consistent for four normal variables; the chi-squared quantile for 4 degrees of freedom at 0.999.
-SHARE, FACTOR, CUTOFF = 0.75, 1.485, 18.467
+# Fixed value: the chi-squared quantile for 4 degrees of freedom at 0.999.
+CUTOFF = 18.467
+#: A determinant whose logarithm falls by no more than this has stopped falling.
+LEAST_FALL = 1e-4
 #: Added to the variances (as standard deviations): differences below these are never outlying.
 FLOOR = (0.06, 0.08, 0.12, 0.12)
 LEAST_ROWS = 30
 
 
+def consistency(share: float) -> float:
+    """What makes the covariance of the nearest `share` of the rows consistent for four normal
+    variables: share / P(chi2_6 <= q), where P(chi2_4 <= q) = share."""
+    low, high = 0.0, 200.0
+    for _ in range(80):
+        q = (low + high) / 2
+        low, high = (q, high) if 1 - math.exp(-q / 2) * (1 + q / 2) < share else (low, q)
+    return share / (1 - math.exp(-q / 2) * (1 + q / 2 + q * q / 8))
+
+
 def _let(value: Column, body) -> Column:
     """`body` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -93,7 +106,7 @@ def _moments() -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), *(F.avg(v).alias(f"m{i}") for i, v in enumerate(x)), *(F.avg(x[i] * x[j]).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1))]
 
 
-def _factored(df: DataFrame, factor: float) -> DataFrame:
+def _factored(df: DataFrame, factor: Column | float) -> DataFrame:
     """The Cholesky factor l.. of the floored covariance and the log determinant."""
     lower: dict[tuple[int, int], Column] = {}
     for j in range(P):
@@ -117,25 +130,37 @@ def _distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", reduce(lambda a, b: a + b, (F.col(f"z{i}") ** 2 for i in range(P)))).drop(*(f"z{i}" for i in range(P)))
 
 
-def mcd(rows: DataFrame, steps: int = 3) -> DataFrame:
-    """Estimates per (g, h): mean m., Cholesky factor l.. and n of rows with columns g, h, x0..x3."""
+def mcd(rows: DataFrame) -> DataFrame:
+    """Estimates per (g, h): mean m., Cholesky factor l.. and the group's rows n, of rows with columns
+    g, h, x0..x3."""
     keys = ["g", "h"]
     classic = rows.groupBy(*keys).agg(*_moments())
     middle = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"m{i}") for i in range(P))))
     off = rows.join(middle, keys).groupBy(*keys).agg(F.first("n").alias("n"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(P)), *(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 2000).alias(f"a{i}") for i in range(P)))
     robust = off.select(*keys, "n", *(f"m{i}" for i in range(P)), *((F.col(f"m{i}") * F.col(f"m{j}") + (F.pow(1.4826 * F.col(f"a{i}"), 2) if i == j else 0.0)).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)))
     start = classic.withColumn("start", F.lit(0)).unionByName(robust.withColumn("start", F.lit(1)))
-    estimate = materialise(_factored(start, 1.0))
-    for _ in range(steps):
-        near = _distance(rows.join(estimate.drop("n", "logdet"), keys)).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 16))
+    # the starts are no estimates of a half: any first step counts as a fall
+    moving = materialise(_factored(start, 1.0).withColumn("logdet", F.lit(float("inf"))))
+    half = F.least(F.floor((F.col("t") + P + 1) / 2), F.col("t"))
+    factor = F.element_at(F.array(*(F.lit(consistency(a / 100) if a < 100 else 1.0) for a in range(50, 101))), (F.round(100 * half / F.col("t")) - 49).cast("int"))
+    w = Window.partitionBy(*keys, "start")
+    settled: list[DataFrame] = []
+    while not moving.isEmpty():
+        near = _distance(rows.join(moving.drop("n", "logdet"), keys)).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 16))
         bins = materialise(near.groupBy(*keys, "start", "bin").agg(F.count(F.lit(1)).alias("n")))
-        w = Window.partitionBy(*keys, "start")
-        reach = bins.withColumn("c", F.sum("n").over(w.orderBy("bin"))).withColumn("t", F.sum("n").over(w)).where(F.col("c") >= F.col("t") * SHARE)
-        reach = materialise(reach.groupBy(*keys, "start").agg(F.min("bin").alias("last")))
+        reach = bins.withColumn("c", F.sum("n").over(w.orderBy("bin"))).withColumn("t", F.sum("n").over(w)).where(F.col("c") >= half)
+        reach = materialise(reach.groupBy(*keys, "start").agg(F.min("bin").alias("last"), F.first("t").alias("t")))
         kept = near.join(reach, [*keys, "start"]).where(F.col("bin") <= F.col("last"))
-        estimate = materialise(_factored(kept.groupBy(*keys, "start").agg(*_moments()), FACTOR))
+        stepped = materialise(_factored(kept.groupBy(*keys, "start").agg(F.first("t").alias("t"), *_moments()), factor).drop("t"))
+        before = moving.select(*keys, "start", F.col("logdet").alias("was"))
+        falls = F.col("logdet") < F.col("was") - LEAST_FALL
+        both = stepped.join(before, [*keys, "start"])
+        # what has stopped keeps its last estimate
+        settled.append(moving.join(both.where(~falls).select(*keys, "start"), [*keys, "start"], "left_semi"))
+        moving = materialise(both.where(falls).drop("was"))
+    estimate = materialise(reduce(DataFrame.unionByName, settled)) if settled else moving
     best = estimate.groupBy(*keys).agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
-    return materialise(estimate.join(best, [*keys, "start"]).drop("start", "logdet"))
+    return materialise(estimate.join(best, [*keys, "start"]).drop("start", "logdet", "n").join(middle.select(*keys, "n"), keys))
 
 
 def rules(docs: DataFrame) -> DataFrame:
@@ -152,7 +177,7 @@ def rules(docs: DataFrame) -> DataFrame:
     rows = materialise(stats.select("*", F.coalesce("lang", F.lit("\0")).alias("g"), F.coalesce("source", F.lit("\0")).alias("h"), *(v.alias(f"x{i}") for i, v in enumerate(transformed()))))
     good = rows.where(~F.col("base_failed")).select("g", "h", *(f"x{i}" for i in range(P)))
     whole = good.withColumn("h", F.lit("\1"))  # the language over all sources, for small groups
-    estimate = mcd(good.unionByName(whole)).where(F.col("n") >= LEAST_ROWS * SHARE).drop("n")
+    estimate = mcd(good.unionByName(whole)).where(F.col("n") >= LEAST_ROWS).drop("n")
     small = rows.select("g", "h").distinct().join(estimate.select("g", "h"), ["g", "h"], "left_anti")
     lent = small.join(estimate.where(F.col("h") == "\1").drop("h"), "g")
     estimate = materialise(estimate.unionByName(lent))

@@ -144,6 +144,18 @@ def test_mixing(spark, docs, odd):
     assert all(abs(x - t) <= big for x, t, big in by.values())
 
 
+def test_mixing_null_and_repeated_ids(spark):
+    r = random.Random(1)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "w " * r.randint(1, 9), "x", s) for s in "abc" for i in range(600)]
+    by, sizes = {}, []
+    for x in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect():
+        t = by.setdefault((x["target"], x["source_size"]), [0, 0])
+        t[0] += x["taken"]
+        t[1] = max(t[1], x["size"])
+        sizes.append(x["size"])
+    assert len(sizes) == len(rows) and all(abs(x - target) <= big for (target, _), (x, big) in by.items())
+
+
 def test_topk_ties_and_odd_vectors(spark):
     r = random.Random(3)
     rows = [(i, [r.choice([-0.5, 0.1, 0.25, 0.9]) for _ in range(8)]) for i in range(400)] + [(400, None), (401, [None] * 8), (402, [float("nan")] * 8)]

@@ -49,6 +49,13 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` with a number of its own for every row, written once, and that column's name. The upper
+    bits (from 33 on) are the number of the partition that the row was in."""
+    name = unused(df, "row_key")
+    return materialise(df.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def annotate(df: DataFrame, text: str, kind: T.StructType, make: Callable[[], Callable]) -> tuple[DataFrame, str]:
     """Add a struct column that is computed from `text` in Arrow batches; all columns of `df` stay.
 

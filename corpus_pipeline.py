@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written and read again as the
 next one's docs. Language ID and toxicity drop the documents that they reject, near-dedup keeps one
 document of each group (five-word shingles, similarity 0.8), mixing repeats or drops documents by
-their number of copies, and the last stage returns the token digests of every copy.
+their number of copies, and the last stage returns the token digests of every copy. Near-dedup and
+mixing go by a key of each row, as ids can be null or repeated.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltide.llm import langid, mixing, neardup, pieces, toxicity
-from voltide.llm.common import materialise, table
+from voltide.llm.common import keyed, materialise, table
 from voltide.llm.queries import tokenizer_path
 
 
@@ -27,16 +28,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.near_duplicates(docs, k=5).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    rows, key = keyed(docs)
+    kept = neardup.near_duplicates(rows, k=5, row_key=key).where("kept").select(key)
+    return rows.join(kept, key, "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = mixing.mix(docs).select(F.col("doc_id").alias("mixed_id"), "copies").groupBy("mixed_id").agg(F.max("copies").cast("int").alias("copies"))
-    copies = materialise(copies.where("copies > 0"))
-    own = docs.columns
-    mixed = docs.join(copies, F.col("doc_id") == F.col("mixed_id"))
-    return mixed.withColumn("mixed_id", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(own)
+    rows, key = keyed(docs)
+    copies = mixing.mix(rows, row_key=key).where("copies > 0").select(key, F.array_repeat(F.lit(0), F.col("copies").cast("int")).alias("_copies"))
+    mixed = rows.join(materialise(copies), key)
+    return mixed.withColumn("_copies", F.explode("_copies")).select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

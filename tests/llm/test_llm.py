@@ -156,6 +156,20 @@ def test_mixing_null_and_repeated_ids(spark):
     assert len(sizes) == len(rows) and all(abs(x - target) <= big for (target, _), (x, big) in by.items())
 
 
+def test_pipeline_stages_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (1, texts[3]), (2, texts[2])]
+    docs = spark.createDataFrame([(*x, "en", "s") for x in rows], "doc_id long, text string, lang string, source string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(x["text"] for x in kept) == texts
+    got = neardup.near_duplicates(docs).collect()
+    assert sorted(str((x["doc_id"], x["component_id"])) for x in got) == sorted(map(str, [(None, None)] * 2 + [(1, 1)] * 3 + [(2, 1)])) and sum(x["kept"] for x in got) == 4
+    mixed = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert len(mixed) == 9  # one source: its target is 1.5 times its words, in documents of one size
+
+
 def test_topk_ties_and_odd_vectors(spark):
     r = random.Random(3)
     rows = [(i, [r.choice([-0.5, 0.1, 0.25, 0.9]) for _ in range(8)]) for i in range(400)] + [(400, None), (401, [None] * 8), (402, [float("nan")] * 8)]

@@ -3,7 +3,7 @@
 A document is the set of its word shingles. Under each of some hash functions both the minimum and
 the maximum are kept, which halves the evaluations for a signature of a given length; the signature
 is cut into bands and documents that agree on a band are candidates. Documents with equal sets are
-one class, represented by its smallest id, and only classes take part from there on.
+one class, represented by its first row, and only classes take part from there on.
 
 Candidates are confirmed on their full sets. Within a band's bucket they are never paired with one
 another all at once: in each round a few classes outside the bucket's largest component are centres,
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltide.llm.common import materialise
+from voltide.llm.common import keyed, materialise
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -100,32 +100,30 @@ def _signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     def run(batches):
         signer = Signer(bands, rows)
         for b in batches:
-            ids, sizes, digests, signs, sketches = [], [], [], [], []
-            for i, t in zip(b["doc_id"], b["text"], strict=True):
+            sizes, digests, signs, sketches = [], [], [], []
+            for t in b["text"]:
                 s = shingles(t, k)
-                ids.append(i)
                 sizes.append(len(s))
                 digests.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
                 values = signer.values(s)
                 signs.append(signer.bands_of(*values) if len(s) else None)
                 sketches.append(signer.sketch_of(*values) if len(s) else None)
-            yield pd.DataFrame({"doc_id": ids, "n": sizes, "digest": digests, "bands": signs, "sketch": sketches})
+            yield pd.DataFrame({"key": b["key"], "doc_id": b["doc_id"], "n": sizes, "digest": digests, "bands": signs, "sketch": sketches})
 
-    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    return rows_.mapInPandas(run, "doc_id long, n long, digest binary, bands array<long>, sketch array<long>")
+    return docs.select("key", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "key long, doc_id string, n long, digest binary, bands array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """doc_id and shingle set of the documents in `ids`; of repeated ids, one."""
+    """key and shingle set of the documents in `ids`."""
 
     def run(batches):
         for b in batches:
             for a in range(0, len(b), 500):
                 part = b.iloc[a : a + 500]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "s": [shingles(t, k).view(np.int64) for t in part["text"]]})
+                yield pd.DataFrame({"key": part["key"], "s": [shingles(t, k).view(np.int64) for t in part["text"]]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    return rows.mapInPandas(run, "doc_id long, s array<long>").groupBy("doc_id").agg(F.max("s").alias("s"))
+    rows = docs.select("key", "text").join(ids, "key", "left_semi")
+    return rows.mapInPandas(run, "key long, s array<long>")
 
 
 def _narrow(df: DataFrame, rows: int) -> DataFrame:
@@ -170,8 +168,8 @@ def _centres(live: DataFrame, n: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    one = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+    one = sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))
+    two = sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     full = pairs.join(one, "a").join(two, "b")
     return full.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b", "ca", "cb")
@@ -184,26 +182,36 @@ def _most_differing(bits: int, percent: int) -> float:
     return bits * p + 8 * (bits * p * (1 - p)) ** 0.5
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, centres: int = 32) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `docs` with a doc_id.
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, centres: int = 32, row_key: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of `docs`.
 
     Words are runs of non-white-space after lower-casing A-Z; a text with fewer than `k` words is one
     shingle; one without words has none, is linked with nothing and is kept. Linked are documents
     with 100 * intersection >= `percent` * union; component_id is the smallest doc_id that can be
     reached. At similarity 0.8 a pair agrees on none of 42 bands of 6 with probability 3e-6, and
-    its sketches differ by too much with one under 1e-11 (percent < 100). Rows
-    without doc_id cannot be named and are left out; rows that repeat one are linked like others and
-    returned one by one. Only doc_id and text are read.
+    its sketches differ by too much with one under 1e-11 (percent < 100). Every
+    row is a document of its own, linked by its text alone, whether or not its doc_id is null or is
+    repeated; a component without any doc_id has a null component_id. One row of a component is
+    kept, the first of those with its smallest doc_id. Only doc_id and text are read, and `row_key`
+    if given: a column as `keyed` adds it, which then is returned as well.
     """
-    signed = materialise(_signed(docs, k, bands, rows))
-    classes = materialise(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("bands", "doc_id").alias("bands"), F.first("sketch").alias("sketch")))
+    own = F.col("doc_id").cast("long").alias("doc_id")
+    if row_key:
+        docs = docs.select(own, "text", F.col(row_key).alias("key"))
+    else:
+        docs, name = keyed(docs.select(own, "text"))
+        docs = docs.withColumnRenamed(name, "key")
+    signed = materialise(_signed(docs, k, bands, rows).withColumn("doc_id", F.col("doc_id").cast("long")))
+    # the row to keep: ids in order, rows without one last
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    classes = materialise(signed.where("digest is not null").groupBy("digest").agg(F.min("key").alias("rep"), F.min(least).alias("least"), F.first("n").alias("n"), F.min_by("bands", "key").alias("bands"), F.first("sketch").alias("sketch")))
     banded = classes.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band")
     # the members of each bucket that have not been centres, and their components so far
     live = banded.join(shared, "band").join(classes.select("rep", "n", "sketch"), "rep")
     live = materialise(live.select("band", "rep", "n", "sketch", F.col("rep").alias("c")))
     # written, so that their real number decides whether the texts have to be shuffled
-    members = materialise(live.select(F.col("rep").alias("doc_id")).distinct())
+    members = materialise(live.select(F.col("rep").alias("key")).distinct())
     sets = materialise(_sets(docs, members, k))
     differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("csketch")[i])) for i in range(-(-bands * rows // 64))), F.lit(0))
     most = _most_differing(bands * rows, percent)
@@ -229,9 +237,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
             live = live.join(steps[-1], F.col("c") == F.col("node"), "left").withColumn("c", F.coalesce("root", "c"))
         live = materialise(_narrow(live.select("band", "rep", "n", "sketch", "c"), left))
         left = live.count()
-    label = classes.select("digest", F.col("rep").alias("label"))
+    label = classes.select("digest", "least", F.col("rep").alias("label"))
     for step in steps:
-        label = label.join(step, F.col("label") == F.col("node"), "left").select("digest", F.coalesce("root", "label").alias("label"))
-    member = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(label, "digest", "left")
-    label = F.coalesce("label", "doc_id")
-    return member.select("doc_id", "n_shingles", label.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        label = label.join(step, F.col("label") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "label").alias("label"))
+    label = materialise(label)
+    label = label.drop("least").join(label.groupBy("label").agg(F.min("least").alias("least")), "label").drop("label")
+    member = signed.select("key", "doc_id", F.col("n").alias("n_shingles"), "digest").join(label, "digest", "left")
+    component = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    kept = F.coalesce(F.col("key") == F.col("least.key"), F.lit(True))
+    return member.select("doc_id", *([F.col("key").alias(row_key)] if row_key else []), "n_shingles", component.alias("component_id"), kept.alias("kept"))

@@ -186,6 +186,17 @@ def test_extraction():
     assert extraction.main_text(None) == extraction.main_text("") == extraction.main_text("<p") == ""
 
 
+def test_extraction_other_languages_and_adverts():
+    russian = "Вчера в городе прошёл большой праздник, на который собрались жители всех районов и гости из соседних областей. " * 3
+    chinese = "昨天城里举行了盛大的节日活动，各区居民和来自邻近地区的客人都参加了这次活动，气氛非常热烈。" * 4
+    polish = "Wczoraj odbyło się wielkie święto, podczas którego zebrali się mieszkańcy wszystkich dzielnic oraz goście. " * 3
+    for text in (russian, chinese, polish):
+        assert extraction.main_text(f"<body><nav>Menu</nav><div><p>{text}</p></div></body>") == text.strip()
+    english = "The house on the hill was built for the family that had come to the town from the north. " * 3
+    advert = "Megasale! Brandnew sneakers, handbags, watches, sunglasses: discount prices, free shipping, limited stock, order today!"
+    assert extraction.main_text(f"<article><p>{english}</p><p>{advert}</p><p>{english}</p></article>") == f"{english.strip()}\n\n{english.strip()}"
+
+
 def test_licences(spark):
     texts = [licences.MIT.upper(), "Copyright (c) 2020 Someone\n" + licences.ISC.replace(",", " ,"), "prose\nReleased under the MIT License.", None, ""]
     got = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()

@@ -38,6 +38,9 @@ ATTRIBUTE = re.compile(r"([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 #: A tag that opens while one of these is open ends it.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters beyond the Latin blocks, and those of which one says as much as three Latin ones.
+OTHER = re.compile(r"[\u0370-\u1dff\u1f00-\u1fff\u2c00-\uabff\uac00-\ud7ff\uf900-\ufaff\U00010000-\U0003ffff]")
+DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def _dropped(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -122,16 +125,40 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
-def first_pass(text: str, linked: int, short: int = 70, long: int = 200, low: float = 0.1, high: float = 0.2, links: float = 0.3) -> str:
+def stop_density(text: str) -> float | None:
+    """The share of stop words; unknown (None) where most letters are of a script without a list."""
+    words = LETTERS.findall(text.lower())
+    letters = "".join(words)
+    if 2 * len(OTHER.findall(letters)) > len(letters):
+        return None
+    return sum(w in STOP for w in words) / max(len(words), 1)
+
+
+def listed(found: list[tuple[str, int, bool, bool]], short: int = 70, low: float = 0.1, links: float = 0.3) -> float | None:
+    """The share of stop words in the page's long blocks of scripts that have a list, or None where
+    it is so low that no list fits the page's language."""
+    words = [w for text, linked, _, _ in found if len(text) >= short and linked <= links * len(text) and stop_density(text) is not None for w in LETTERS.findall(text.lower())]
+    share = sum(w in STOP for w in words) / max(len(words), 1)
+    return share if share >= low else None
+
+
+def first_pass(text: str, linked: int, short: int = 70, long: int = 200, low: float = 0.1, high: float = 0.2, links: float = 0.3, usual: float | None = 0.3, inside: bool = False) -> str:
+    """`usual` is the page's share of stop words; where no list fits (None), length and link density
+    decide. `inside` a marked article a block is bad only without any stop word, if a block of so
+    many words has none with a probability under 0.001 at the usual share."""
     density = linked / max(len(text), 1)
     if density > links:
         return "bad"
-    if len(text) < short:
-        return "bad" if linked and density > links / 2 else "short"
-    words = LETTERS.findall(text.lower())
-    stop = sum(w in STOP for w in words) / max(len(words), 1)
+    size = len(text) + 2 * len(DENSE.findall(text))
+    if size < short:
+        return "bad" if not inside and linked and density > links / 2 else "short"
+    stop = None if usual is None else stop_density(text)
+    if inside:
+        return "bad" if stop == 0 and (1 - usual) ** len(LETTERS.findall(text)) < 0.001 else "good"
+    if stop is None:
+        return "good" if size > long else "near"
     if stop >= high:
-        return "good" if len(text) > long else "near"
+        return "good" if size > long else "near"
     return "near" if stop >= low else "bad"
 
 
@@ -160,19 +187,18 @@ def second_pass(labels: list[str]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """The kept blocks in page order, joined by an empty line.
 
-    Where a page marks its article, only blocks inside take part, and there nothing but link lists
-    counts as bad: the page has decided on the others, and the short ones follow their neighbours.
+    Where a page marks its article, only blocks inside take part, under milder limits, and the short
+    ones follow their neighbours.
     """
     found = blocks(page or "")
     marked = [b for b in found if b[3]]
+    found = marked or found
+    usual = listed(found)
+    labels = [first_pass(text, linked, usual=usual, inside=bool(marked)) for text, linked, _, _ in found]
     if marked:
-        found = marked
-        labels = [first_pass(text, linked) for text, linked, _, _ in found]
-        labels = [x if x == "short" or linked > 0.3 * len(text) else "good" for x, (text, linked, _, _) in zip(labels, found, strict=True)]
         if "good" not in labels:
             labels = ["good" if x == "short" else x for x in labels]
     else:
-        labels = [first_pass(text, linked) for text, linked, _, _ in found]
         if "good" not in labels:  # near good is then the best there is
             labels = ["good" if x == "near" else x for x in labels]
         if "good" not in labels:

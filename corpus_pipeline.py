@@ -52,7 +52,7 @@ STAGES = [
     ("sentencepiece", tokenize),
 ]
 
-#: Two stages are learned models and one draws at random: no SQL; tested against brute force.
+#: Two stages are learned models and one draws at random: no SQL. Not tested as a whole.
 ORACLE_SQL = None
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,20 +126,22 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
-def stop_density(text: str) -> float | None:
-    """The share of stop words; unknown (None) where most letters are of a script without a list."""
+@lru_cache(maxsize=1024)  # both passes over a page's blocks ask
+def stop_words(text: str) -> tuple[int, int] | None:
+    """The numbers of stop words and of words; None where most letters are of a script without a list."""
     words = LETTERS.findall(text.lower())
-    letters = "".join(words)
-    if 2 * len(OTHER.findall(letters)) > len(letters):
-        return None
-    return sum(w in STOP for w in words) / max(len(words), 1)
+    if max(text, default="") >= "\u0370":
+        letters = "".join(words)
+        if 2 * len(OTHER.findall(letters)) > len(letters):
+            return None
+    return sum(w in STOP for w in words), len(words)
 
 
 def listed(found: list[tuple[str, int, bool, bool]], short: int = 70, low: float = 0.1, links: float = 0.3) -> float | None:
     """The share of stop words in the page's long blocks of scripts that have a list, or None where
     it is so low that no list fits the page's language."""
-    words = [w for text, linked, _, _ in found if len(text) >= short and linked <= links * len(text) and stop_density(text) is not None for w in LETTERS.findall(text.lower())]
-    share = sum(w in STOP for w in words) / max(len(words), 1)
+    counts = [c for text, linked, _, _ in found if len(text) >= short and linked <= links * len(text) and (c := stop_words(text))]
+    share = sum(c[0] for c in counts) / max(sum(c[1] for c in counts), 1)
     return share if share >= low else None
 
 
@@ -149,12 +152,13 @@ def first_pass(text: str, linked: int, short: int = 70, long: int = 200, low: fl
     density = linked / max(len(text), 1)
     if density > links:
         return "bad"
-    size = len(text) + 2 * len(DENSE.findall(text))
+    size = len(text) + (2 * len(DENSE.findall(text)) if max(text, default="") >= "\u3040" else 0)
     if size < short:
         return "bad" if not inside and linked and density > links / 2 else "short"
-    stop = None if usual is None else stop_density(text)
+    counts = None if usual is None else stop_words(text)
+    stop = counts[0] / max(counts[1], 1) if counts else None
     if inside:
-        return "bad" if stop == 0 and (1 - usual) ** len(LETTERS.findall(text)) < 0.001 else "good"
+        return "bad" if stop == 0 and (1 - usual) ** counts[1] < 0.001 else "good"
     if stop is None:
         return "good" if size > long else "near"
     if stop >= high:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_own_folder: dict[str, str] = {}
+#: Where the frames that `materialise` gave are written.
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,22 +24,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _own_folder[app]
+    """The folder that driver and executors share: the one named in spark.checkpoint.dir. Where none
+    is named, a folder beside the warehouse, which is shared as well."""
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch/{spark.sparkContext.applicationId}"
+    return named.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, *done: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage, survives the loss of
-    executors, and gives the optimizer the real size, by which it chooses how to join."""
+    executors, and gives the optimizer the real size, by which it chooses how to join. Afterwards
+    the folders of `done` are deleted: frames from this function that nothing depends on any more."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    discard(*done)
+    return out
+
+
+def discard(*done: DataFrame) -> None:
+    """Delete what `materialise` wrote for these frames; others are left alone."""
+    for df in done:
+        if path := _folders.pop(df, None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def unused(df: DataFrame, name: str) -> str:

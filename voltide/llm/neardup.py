@@ -5,15 +5,17 @@ the maximum are kept, which halves the evaluations for a signature of a given le
 is cut into bands and documents that agree on a band are candidates. Documents with equal sets are
 one class, represented by its first row, and only classes take part from there on.
 
-Candidates are confirmed on their full sets. Within a band's bucket they are never paired with one
-another all at once: in each round a few classes outside the bucket's largest component are centres,
-compared with the members that belong to other components so far, and then leave the bucket. The
-confirmed links are joined to components. A bucket is finished, and put aside, when the members left
-are of one component, so each candidate pair is compared or already connected, and a large component
-costs one comparison of its members with each class outside it, not one round after another.
-
-One bit of every minimum and maximum is kept as a sketch. Two sets of similarity s differ in about
-(1 - s) / 2 of the bits, so pairs that differ in far more are passed over before their sets are read.
+Candidates are confirmed on their full sets, but never paired with one another all at once. First
+come light rounds: of each component in a band's bucket one member stands for it and is held against
+one member of the bucket's largest component; each component has its most promising pair confirmed,
+and links join components. When a round joins nothing, what is left is compared exhaustively: in
+every bucket the members outside its largest component with those of the other components. So each
+candidate pair is compared or already connected, and members of one component never meet.
+
+Before sets are read, a pair has to pass a bound that never errs: one bit for each of 1,024 cells
+holds the parity of the shingles that fall into it. Two sets' cells of different parity hold at
+least one shingle each that is not in both, so their number is no more than the symmetric
+difference, which similarity bounds from above.
 """
 
 from __future__ import annotations
@@ -22,10 +24,13 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltide.llm.common import keyed, materialise
+from voltide.llm.common import discard, materialise
+
+#: Cells of the parity bound, in numbers of 64 bits.
+CELLS = 16
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -58,6 +63,12 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each cell, 64 cells to a number."""
+    odd = np.bincount((s & np.uint64(64 * CELLS - 1)).astype(np.int64), minlength=64 * CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class Signer:
     """Band hashes of min-max signatures: `bands` bands of `rows` values each. Values are the upper
     half of a shingle's hash times an odd number, modulo 2^32: a permutation of 32-bit numbers."""
@@ -82,12 +93,8 @@ class Signer:
             np.maximum(high, v.max(1), out=high)
         return low, high
 
-    def sketch_of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """A middle bit of each value, 64 to a number."""
-        bits = np.packbits((np.concatenate((low, high)) >> np.uint32(12)).astype(np.uint8) & 1)
-        return np.pad(bits, (0, -len(bits) % 8)).view(np.int64)
-
-    def bands_of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    def bands_of(self, s: np.ndarray) -> np.ndarray:
+        low, high = self.values(s)
         both = np.concatenate((low.reshape(self.bands, -1), high.reshape(self.bands, -1)), 1).astype(np.uint64)
         out = np.arange(self.bands, dtype=np.uint64)
         for j in range(self.rows):
@@ -96,34 +103,42 @@ class Signer:
         return out.view(np.int64)
 
 
+def _text_key() -> Column:
+    return F.unhex(F.md5("text"))
+
+
 def _signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    """Per row, its columns but the text, and n, digest, bands and cells of its set (null: no words)."""
+    kept = [c for c in docs.columns if c != "text"]
+    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
+
     def run(batches):
         signer = Signer(bands, rows)
         for b in batches:
-            sizes, digests, signs, sketches = [], [], [], []
+            sizes, digests, signs, cells = [], [], [], []
             for t in b["text"]:
                 s = shingles(t, k)
                 sizes.append(len(s))
                 digests.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
-                values = signer.values(s)
-                signs.append(signer.bands_of(*values) if len(s) else None)
-                sketches.append(signer.sketch_of(*values) if len(s) else None)
-            yield pd.DataFrame({"key": b["key"], "doc_id": b["doc_id"], "n": sizes, "digest": digests, "bands": signs, "sketch": sketches})
+                signs.append(signer.bands_of(s) if len(s) else None)
+                cells.append(parities(s) if len(s) else None)
+            # ids go through as texts: a null would turn a column of numbers into floats
+            yield pd.DataFrame({**{c: b[c] for c in kept}, "n": sizes, "digest": digests, "bands": signs, "cells": cells})
 
-    return docs.select("key", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "key long, doc_id string, n long, digest binary, bands array<long>, sketch array<long>")
+    return docs.mapInPandas(run, f"{kinds}, n long, digest binary, bands array<long>, cells array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """key and shingle set of the documents in `ids`."""
+    """rep and shingle set of the classes in `ids` (rep, h), from any one row with that text."""
 
     def run(batches):
         for b in batches:
             for a in range(0, len(b), 500):
                 part = b.iloc[a : a + 500]
-                yield pd.DataFrame({"key": part["key"], "s": [shingles(t, k).view(np.int64) for t in part["text"]]})
+                yield pd.DataFrame({"rep": part["rep"], "s": [shingles(t, k).view(np.int64) for t in part["text"]]})
 
-    rows = docs.select("key", "text").join(ids, "key", "left_semi")
-    return rows.mapInPandas(run, "key long, s array<long>")
+    rows = docs.select(_text_key().alias("h"), "text").join(ids, "h").groupBy("rep").agg(F.first("text").alias("text"))
+    return rows.mapInPandas(run, "rep long, s array<long>")
 
 
 def _narrow(df: DataFrame, rows: int) -> DataFrame:
@@ -142,107 +157,131 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        large = materialise(_narrow(large, most))
+        large = materialise(_narrow(large, most), e)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        small = materialise(_narrow(small, most))
+        small = materialise(_narrow(small, most), large)
         # done when every node has one edge, to a node that has none: stars
         ends = small.select("a", F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(small.select(F.col("b").alias("a"), F.lit(0).alias("down"), F.lit(1).alias("up")))
         if not ends.groupBy("a").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down = 1 and up = 1").limit(1).count():
             break
         e = small
-    return small.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(small.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = small.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(small.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return materialise(_narrow(out, most), small)
+
+
+def _differ(x: str, y: str) -> Column:
+    """Cells of different parity: no more than the symmetric difference of the two sets."""
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(CELLS)), F.lit(0))
+
 
+def _possible(percent: int) -> Column:
+    """Whether the sizes and the cells of a pair allow the similarity. Intersection over union is at
+    least p exactly if the symmetric difference is at most (1 - p) / (1 + p) of the sizes' sum."""
+    sizes = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    return sizes & ((100 + percent) * _differ("cells", "cells2") <= (100 - percent) * (F.col("n") + F.col("n2")))
 
-def _centres(live: DataFrame, n: int) -> DataFrame:
-    """band, centre, cn, cc, csketch: up to `n` members of each bucket that holds two components or more, none
-    of them from the bucket's largest component. The limit on the row number is applied before the
-    shuffle as well."""
-    held = live.groupBy("band", "c").agg(F.count(F.lit(1)).alias("m"))
-    largest = held.groupBy("band").agg(F.max_by("c", F.struct("m", "c")).alias("largest"), F.count(F.lit(1)).alias("held"))
-    rest = live.join(largest.where("held > 1").select("band", "largest"), "band").where("c <> largest")
-    w = Window.partitionBy("band").orderBy("centre")
-    rest = rest.select("band", F.col("rep").alias("centre"), F.col("n").alias("cn"), F.col("c").alias("cc"), F.col("sketch").alias("csketch"))
-    return rest.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place")
+
+def _largest(live: DataFrame) -> DataFrame:
+    """band, largest, first: the component with the most members of each bucket that holds two
+    components or more, and one of its members."""
+    held = live.groupBy("band", "c").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("first"))
+    top = held.groupBy("band").agg(F.max_by(F.struct("c", "first"), F.struct("m", -F.col("c"))).alias("t"), F.count(F.lit(1)).alias("held"))
+    return top.where("held > 1").select("band", F.col("t.c").alias("largest"), F.col("t.first").alias("first"))
+
+
+def _promising(live: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """a, b, ca, cb: for every component outside the largest of its buckets one pair, of a member of
+    its own and one of a largest component: of those that sizes and cells allow, the one whose cells
+    differ least."""
+    one = live.join(_largest(live), "band").where("c <> largest").groupBy("band", "c").agg(F.min("rep").alias("a"), F.first("largest").alias("cb"), F.first("first").alias("b"))
+    pairs = one.select("a", "b", F.col("c").alias("ca"), "cb").distinct()
+    own = members.select(F.col("rep").alias("a"), "n", "cells")
+    other = members.select(F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("cells").alias("cells2"))
+    pairs = pairs.join(own, "a").join(other, "b").where(_possible(percent))
+    far = _differ("cells", "cells2") / (F.col("n") + F.col("n2"))
+    return pairs.groupBy("ca").agg(F.min_by(F.struct("a", "b", "cb"), F.struct(far, "b", "a")).alias("t")).select("t.a", "t.b", "ca", "t.cb")
+
+
+def _remaining(live: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """a < b, ca, cb: all pairs of a bucket that are of different components, one of which is not
+    the bucket's largest, and that sizes and cells allow."""
+    rest = live.join(_largest(live).select("band", "largest"), "band").join(members.select("rep", "n", "cells"), "rep")
+    rest = rest.select("band", "rep", "n", "cells", "c", "largest")
+    outside = rest.where("c <> largest").select("band", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("cells").alias("cells2"))
+    # both outside: once, from the larger one
+    pairs = rest.join(outside, "band").where((F.col("c") != F.col("c2")) & ((F.col("c") == F.col("largest")) | (F.col("rep") < F.col("rep2"))) & _possible(percent))
+    turned = F.col("rep") > F.col("rep2")
+    ordered = {"a": ("rep2", "rep"), "b": ("rep", "rep2"), "ca": ("c2", "c"), "cb": ("c", "c2")}
+    return pairs.select(*(F.when(turned, F.col(x)).otherwise(F.col(y)).alias(name) for name, (x, y) in ordered.items())).distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    one = sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))
-    two = sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
+    """a, b (components) of the pairs whose full sets are similar enough."""
+    one = sets.select(F.col("rep").alias("a"), F.col("s").alias("sa"))
+    two = sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     full = pairs.join(one, "a").join(two, "b")
-    return full.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b", "ca", "cb")
+    return full.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
 
 
-def _most_differing(bits: int, percent: int) -> float:
-    """More bits than that differ in linked sets with a probability under 1e-11: eight standard
-    deviations above the mean."""
-    p = (1 - percent / 100) / 2
-    return bits * p + 8 * (bits * p * (1 - p)) ** 0.5
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, centres: int = 32, row_key: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 42, rows: int = 6, row_key: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs`.
 
     Words are runs of non-white-space after lower-casing A-Z; a text with fewer than `k` words is one
     shingle; one without words has none, is linked with nothing and is kept. Linked are documents
     with 100 * intersection >= `percent` * union; component_id is the smallest doc_id that can be
-    reached. At similarity 0.8 a pair agrees on none of 42 bands of 6 with probability 3e-6, and
-    its sketches differ by too much with one under 1e-11 (percent < 100). Every
-    row is a document of its own, linked by its text alone, whether or not its doc_id is null or is
-    repeated; a component without any doc_id has a null component_id. One row of a component is
-    kept, the first of those with its smallest doc_id. Only doc_id and text are read, and `row_key`
-    if given: a column as `keyed` adds it, which then is returned as well.
+    reached. A pair is found if it agrees on a band. Were its values independent, a pair at
+    similarity 0.8 would agree on none of 42 bands of 6 with probability 3e-6; minimum and maximum of
+    one permutation are not quite independent in small sets (4e-5 for a union of five shingles).
+    Every row is a document of its own, linked by its text alone, whether or not its doc_id is null
+    or is repeated; a component without any doc_id has a null component_id. One row of a component
+    is kept, the first of those with its smallest doc_id. Only doc_id and text are read, and
+    `row_key` if given: a column as `keyed` adds it, which then is returned as well.
     """
-    own = F.col("doc_id").cast("long").alias("doc_id")
-    if row_key:
-        docs = docs.select(own, "text", F.col(row_key).alias("key"))
-    else:
-        docs, name = keyed(docs.select(own, "text"))
-        docs = docs.withColumnRenamed(name, "key")
-    signed = materialise(_signed(docs, k, bands, rows).withColumn("doc_id", F.col("doc_id").cast("long")))
+    own = F.col("doc_id").cast("long").cast("string").alias("doc_id")
+    given = [F.col(row_key).alias("given")] if row_key else []
+    wide = _signed(docs.select(own, *given, _text_key().alias("h"), "text"), k, bands, rows)
+    # a number of its own for every row, written once
+    key = F.col("given") if row_key else F.monotonically_increasing_id()
+    wide = materialise(wide.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("key", key).drop("given"))
     # the row to keep: ids in order, rows without one last
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    classes = materialise(signed.where("digest is not null").groupBy("digest").agg(F.min("key").alias("rep"), F.min(least).alias("least"), F.first("n").alias("n"), F.min_by("bands", "key").alias("bands"), F.first("sketch").alias("sketch")))
+    first = F.struct("h", "n", "bands", "cells")
+    classes = wide.where("digest is not null").groupBy("digest").agg(F.min("key").alias("rep"), F.min(least).alias("least"), F.min_by(first, "key").alias("x"))
+    classes = materialise(classes.select("digest", "rep", "least", "x.*"))
+    signed = materialise(wide.select("key", "doc_id", F.col("n").alias("n_shingles"), "digest"), wide)
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band")
-    # the members of each bucket that have not been centres, and their components so far
-    live = banded.join(shared, "band").join(classes.select("rep", "n", "sketch"), "rep")
-    live = materialise(live.select("band", "rep", "n", "sketch", F.col("rep").alias("c")))
-    # written, so that their real number decides whether the texts have to be shuffled
-    members = materialise(live.select(F.col("rep").alias("key")).distinct())
-    sets = materialise(_sets(docs, members, k))
-    differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("csketch")[i])) for i in range(-(-bands * rows // 64))), F.lit(0))
-    most = _most_differing(bands * rows, percent)
+    shared = materialise(banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band"))
+    # the members of each bucket, and their components so far
+    live = materialise(banded.join(shared, "band").select("band", "rep", F.col("rep").alias("c")), shared)
+    members = materialise(classes.select("rep", "h", "n", "cells").join(live.select("rep").distinct(), "rep", "left_semi"))
+    label = materialise(classes.select("digest", "least", F.col("rep").alias("label")), classes)
+    sets = materialise(_sets(docs.select("text"), members.select("rep", "h"), k))
     steps: list[DataFrame] = []
-    first, left = True, live.count()
+    exhaustive, left = False, live.count()
     while True:
-        centre = materialise(_narrow(_centres(live, 1 if first else centres), left))
-        first = False
-        if centre.isEmpty():
-            break
-        pairs = live.join(centre, "band").where("c <> cc and 100 * least(n, cn) >= %d * greatest(n, cn)" % percent).where(differ <= most)
-        turned = F.col("rep") < F.col("centre")
-        ordered = {"a": ("centre", "rep"), "b": ("rep", "centre"), "ca": ("cc", "c"), "cb": ("c", "cc")}
-        pairs = materialise(pairs.select(*(F.when(turned, F.col(x)).otherwise(F.col(y)).alias(name) for name, (x, y) in ordered.items())).distinct())
+        pairs = materialise(_narrow((_remaining if exhaustive else _promising)(live, members, percent), left))
         # links between components only: what is joined already is one node from now on
-        links = materialise(_confirmed(pairs, sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        # a bucket without a centre is finished
-        used = centre.groupBy("band").agg(F.collect_list("centre").alias("used"))
-        live = live.join(used, "band").where(~F.array_contains("used", F.col("rep"))).drop("used")
+        links = materialise(_narrow(_confirmed(pairs, sets, percent), left), pairs)
         joined = links.count()
         if joined:
-            steps.append(materialise(_narrow(components(links), 2 * joined)))
-            live = live.join(steps[-1], F.col("c") == F.col("node"), "left").withColumn("c", F.coalesce("root", "c"))
-        live = materialise(_narrow(live.select("band", "rep", "n", "sketch", "c"), left))
-        left = live.count()
-    label = classes.select("digest", "least", F.col("rep").alias("label"))
+            steps.append(components(links))
+        discard(links)
+        if exhaustive:
+            break
+        exhaustive = not joined
+        if joined:
+            moved = live.join(steps[-1], F.col("c") == F.col("node"), "left").select("band", "rep", F.coalesce("root", "c").alias("c"))
+            live = materialise(_narrow(moved, left), live)
+    discard(live, members, sets)
+    whole = label
     for step in steps:
         label = label.join(step, F.col("label") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "label").alias("label"))
-    label = materialise(label)
+    label = materialise(label, whole, *steps)
     label = label.drop("least").join(label.groupBy("label").agg(F.min("least").alias("least")), "label").drop("label")
-    member = signed.select("key", "doc_id", F.col("n").alias("n_shingles"), "digest").join(label, "digest", "left")
+    member = signed.join(label, "digest", "left")
     component = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
     kept = F.coalesce(F.col("key") == F.col("least.key"), F.lit(True))
     return member.select("doc_id", *([F.col("key").alias(row_key)] if row_key else []), "n_shingles", component.alias("component_id"), kept.alias("kept"))

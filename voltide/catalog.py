@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltide.functions import features as fx
 from voltide.operators import eda, models, network, reports
 from voltide.sources import panels
+from voltide.sources.store import written
 
-TEST, TRAIN, STEP, WINDOW = 52, 208, 10, 60
+TEST, TRAIN, STEP, WINDOW, K = 252, 1260, 5, 60, 5
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -21,20 +22,26 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*out)
 
 
-def panel(spark, d):
-    return fx.returns(panels.weekly(spark, d))
+def panel(spark, d, unit="day"):
+    return fx.returns(panels.prices(spark, d, unit))
 
 
-def featured(spark, d):
-    return fx.variance_features(panel(spark, d))
+def featured(spark, d, unit="day"):
+    return fx.variance_features(panel(spark, d, unit))
 
 
 def pairs(spark, d):
     return network.squared_distance(network.correlations(panel(spark, d), WINDOW, STEP))
 
 
+def graph(spark, d, k=K):
+    """The pairs and the edges of each series' `k` nearest, both written: several steps read them."""
+    p = written(pairs(spark, d))
+    return p, written(network.knn_edges(p, k))
+
+
 def b_returns(spark, d):
-    return rounded(fx.returns(panels.weekly(spark, d), (2, 5)).drop("i", "px"))
+    return rounded(fx.returns(panels.prices(spark, d), (2, 5)).drop("i", "px"))
 
 
 def b_variance_features(spark, d):
@@ -58,7 +65,7 @@ def c_correlation_pairs(spark, d):
 
 
 def c_knn_graph(spark, d):
-    return rounded(network.knn_edges(pairs(spark, d), 3))
+    return rounded(network.knn_edges(pairs(spark, d), K))
 
 
 def c_threshold_graph(spark, d):
@@ -70,32 +77,30 @@ def c_mean_abs_correlation(spark, d):
 
 
 def d_turnover(spark, d):
-    p = pairs(spark, d)
-    return rounded(network.turnover(network.knn_edges(p, 3), p, STEP))
+    p, e = graph(spark, d)
+    return rounded(network.turnover(e, network.nodes(p), STEP))
 
 
 def d_clustering(spark, d):
-    p = pairs(spark, d)
-    return rounded(network.clustering(network.knn_edges(p, 3), p))
+    p, e = graph(spark, d)
+    return rounded(network.clustering(e, network.nodes(p)))
 
 
 def d_neighbour_means(spark, d):
-    p = pairs(spark, d)
-    return rounded(network.neighbour_means(network.knn_edges(p, 3), featured(spark, d), "log_RV5"), 5)
+    return rounded(network.neighbour_means(network.knn_edges(pairs(spark, d), K), featured(spark, d), "log_RV5"), 5)
 
 
 def d_neighbour_means_exp(spark, d):
-    p = pairs(spark, d)
-    return rounded(network.neighbour_means(network.knn_edges(p, 3), featured(spark, d), "log_RV5", kernel="exp"), 5)
+    return rounded(network.neighbour_means(network.knn_edges(pairs(spark, d), K), featured(spark, d), "log_RV5", kernel="exp"), 5)
 
 
 def e_folds(spark, d):
     return rounded(fx.folds(panel(spark, d), 2, TEST, TRAIN).groupBy("series", "fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("dt").alias("first"), F.max("dt").alias("last")))
 
 
-def forecasts(spark, d):
+def forecasts(spark, d, unit="day", test_rows=TEST, train_rows=TRAIN):
     """Test-block forecasts of the naive models and of three linear ones."""
-    rows = fx.folds(featured(spark, d).dropna(subset=["log_RV1", "log_RV5", "log_RV22", "log_Y"]), 2, TEST, TRAIN)
+    rows = fx.folds(featured(spark, d, unit).dropna(subset=["log_RV1", "log_RV5", "log_RV22", "log_Y"]), 2, test_rows, train_rows)
     keys, columns = ["series", "fold"], ["log_RV1", "log_RV5", "log_RV22"]
     train, test = rows.where("role = 'train'"), rows.where("role = 'test'")
     g = models.gram(train, keys, columns, "log_Y")
@@ -108,9 +113,9 @@ def forecasts(spark, d):
     return out
 
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Which forecast of the next weeks' variance is best over all series?"""
-    m = reports.regression_metrics(forecasts(spark, d), ["category", "model", "series", "fold"])
+def flagship(spark: SparkSession, d: str, unit="day", test_rows=TEST, train_rows=TRAIN) -> DataFrame:
+    """Which forecast of the next days' variance is best over all series?"""
+    m = reports.regression_metrics(forecasts(spark, d, unit, test_rows, train_rows), ["category", "model", "series", "fold"])
     return m.groupBy("category", "model").agg(F.avg("RMSE_log").alias("RMSE_log"), F.avg("R2_log").alias("R2_log"), F.count_distinct("series").alias("n_series")).orderBy("RMSE_log")
 
 
@@ -125,7 +130,7 @@ def m_har_coefficients(spark, d):
 
 
 def m_ewma(spark, d):
-    return rounded(models.ewma_variance(panel(spark, d)).select("series", "dt", "ewma"), 5)
+    return rounded(models.ewma_variance(panel(spark, d)).select("series", "dt", "ewma"), 3)
 
 
 def f_regression_metrics(spark, d):
@@ -137,7 +142,7 @@ def f_regression_metrics(spark, d):
 def f_classification_metrics(spark, d):
     rows = fx.spike_labels(featured(spark, d).dropna(subset=["RV5", "Y_fwd"]))
     proba = F.round("RV5", 1)
-    return rounded(reports.classification_metrics(rows.select("series", F.col("spike").alias("label"), (5 * F.col("RV5") > F.col("threshold")).cast("int").alias("pred"), proba.alias("proba")), ["series"]))
+    return rounded(reports.classification_metrics(rows.select("series", F.col("spike").alias("label"), (F.round(5 * F.col("RV5"), 6) > F.round("threshold", 6)).cast("int").alias("pred"), proba.alias("proba")), ["series"]))
 
 
 def g_summary(spark, d):
@@ -165,7 +170,7 @@ def g_paired_differences(spark, d):
 
 
 def g_signed_rank(spark, d):
-    return rounded(reports.signed_rank(reports.paired_differences(panels.metrics(spark, d))))
+    return rounded(reports.signed_rank(reports.paired_differences(panels.metrics(spark, d))).drop("most_ties"))
 
 
 def h_autocorrelation(spark, d):
@@ -181,7 +186,7 @@ def h_tail_outliers(spark, d):
 
 
 def h_normalised(spark, d):
-    return rounded(eda.normalised(panels.weekly(spark, d)))
+    return rounded(eda.normalised(panels.prices(spark, d)))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -191,7 +196,7 @@ QUERIES = {f.__name__: f for f in (
     g_signed_rank, h_autocorrelation, h_distribution, h_tail_outliers, h_normalised,
 )}
 
-SALES = """items AS (SELECT p_brand AS series, CAST(date_trunc('week', l_shipdate) AS DATE) AS dt, CAST(l_extendedprice AS DOUBLE) AS price, CAST(l_quantity AS DOUBLE) AS qty FROM lineitem JOIN part ON l_partkey = p_partkey),
+SALES = """items AS (SELECT p_brand AS series, CAST(l_shipdate AS DATE) AS dt, CAST(l_extendedprice AS DOUBLE) AS price, CAST(l_quantity AS DOUBLE) AS qty FROM lineitem JOIN part ON l_partkey = p_partkey),
 seen AS (SELECT series, dt, sum(price) / sum(qty) AS px FROM items GROUP BY 1, 2)"""
 PANEL = f"""WITH {SALES},
 cal AS (SELECT dt, row_number() OVER (ORDER BY dt) AS i FROM (SELECT DISTINCT dt FROM seen)),
@@ -215,7 +220,7 @@ rh AS (SELECT snapshot, s1, s2, CASE WHEN va > 1e-12 AND vb > 1e-12 THEN least(g
 pr AS (SELECT snapshot, s1, s2, CASE WHEN bool_or(r0 IS NULL) OVER (PARTITION BY snapshot) THEN 0.0 ELSE r0 END AS rho FROM rh),
 p AS (SELECT *, 1 - rho * rho AS d FROM pr),
 bw AS (SELECT snapshot, s1 AS src, s2 AS dst, d, rho FROM p UNION ALL SELECT snapshot, s2, s1, d, rho FROM p),
-nn AS (SELECT * FROM bw QUALIFY row_number() OVER (PARTITION BY snapshot, src ORDER BY round(d, 9), dst) <= 3),
+nn AS (SELECT * FROM bw QUALIFY row_number() OVER (PARTITION BY snapshot, src ORDER BY round(d, 9), dst) <= {K}),
 ed AS (SELECT DISTINCT snapshot, src, dst, d, rho FROM (SELECT * FROM nn UNION ALL SELECT snapshot, dst, src, d, rho FROM nn)),
 nodes AS (SELECT DISTINCT snapshot, src FROM bw),
 deg AS (SELECT snapshot, src, count(dst) AS degree FROM nodes LEFT JOIN ed USING (snapshot, src) GROUP BY 1, 2)"""
@@ -264,7 +269,7 @@ SELECT snapshot, src, CASE WHEN degree < 2 THEN 0.0 ELSE round(2 * coalesce(t, 0
     "m_har_coefficients": PANEL + ', xx AS (SELECT * FROM x WHERE "log_RV1" IS NOT NULL AND "log_RV5" IS NOT NULL AND "log_RV22" IS NOT NULL AND "log_Y" IS NOT NULL),' + _folds("xx", 1) + """SELECT series, round(regr_slope("log_Y", "log_RV5"), 6) + 0.0 AS slope, round(regr_intercept("log_Y", "log_RV5"), 6) + 0.0 AS intercept FROM fo WHERE role = 'train' GROUP BY 1""",
     "m_ewma": PANEL.replace("WITH ", "WITH RECURSIVE ", 1) + """, q AS (SELECT series, dt, "RV1" AS r2, row_number() OVER (PARTITION BY series ORDER BY dt) AS j FROM x WHERE "Returns" IS NOT NULL),
 rc AS (SELECT series, 1 AS j, (SELECT avg(r2) FROM q b WHERE b.series = a.series AND b.j <= 50) AS e FROM (SELECT DISTINCT series FROM q) a UNION ALL SELECT rc.series, rc.j + 1, 0.94 * e + 0.06 * q.r2 FROM rc JOIN q ON q.series = rc.series AND q.j = rc.j WHERE rc.j < (SELECT max(j) FROM q))
-SELECT series, dt, round(e, 5) + 0.0 AS ewma FROM rc JOIN q USING (series, j)""",
+SELECT series, dt, round(e, 3) + 0.0 AS ewma FROM rc JOIN q USING (series, j)""",
     "f_regression_metrics": PANEL + ', xx AS (SELECT * FROM x WHERE "RV22" IS NOT NULL AND "Y_fwd" IS NOT NULL),' + _folds("xx", 1) + """, pp AS (SELECT series, "Y_fwd" AS y, 5 * "RV5" AS p, ln(greatest("Y_fwd", 1e-8)) AS ly, ln(greatest(5 * "RV5", 1e-8)) AS lp FROM fo WHERE role = 'test')
 SELECT series, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 6) + 0.0 AS "R2", round(sqrt(avg((y - p) ** 2)), 6) + 0.0 AS "RMSE", round(avg(abs(y - p)), 6) + 0.0 AS "MAE", round(1 - sum((ly - lp) ** 2) / (var_pop(ly) * count(*)), 6) + 0.0 AS "R2_log", round(sqrt(avg((ly - lp) ** 2)), 6) + 0.0 AS "RMSE_log", round(avg(abs(ly - lp)), 6) + 0.0 AS "MAE_log" FROM pp GROUP BY 1""",
     "g_summary": f'{METRICS} SELECT "Category", "Model", {r("mean_RMSE_log", "median_RMSE_log", "mean_R2_log", "share_positive")}, n_tickers FROM s',
@@ -277,8 +282,8 @@ SELECT "Base", """ + ", ".join(f"round(max(CASE WHEN k = {i} THEN v END), 6) + 0
 SELECT distance, CAST(k AS BIGINT) AS k, "Category", "Model", round(value, 6) + 0.0 AS value FROM a QUALIFY row_number() OVER (PARTITION BY distance, k ORDER BY round(value, 9), "Category", "Model") = 1""",
     "g_paired_differences": f'{METRICS}{NET} SELECT "Ticker", {r("network", "baseline", "delta")} FROM pd',
     "g_signed_rank": METRICS + NET + """, k AS (SELECT delta, rank() OVER (ORDER BY round(abs(delta), 12)) + (count(*) OVER (PARTITION BY round(abs(delta), 12)) - 1) / 2 AS rk FROM pd WHERE delta <> 0),
-t AS (SELECT count(*) AS n, coalesce(sum(rk) FILTER (delta > 0), 0) AS w_plus, coalesce(sum(rk) FILTER (delta < 0), 0) AS w_minus FROM k)
-SELECT n, CAST(w_plus AS DOUBLE) AS w_plus, CAST(w_minus AS DOUBLE) AS w_minus, round((least(w_plus, w_minus) - n * (n + 1) / 4) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24), 0), 6) + 0.0 AS z FROM t""",
+t AS (SELECT count(*) AS n, coalesce(sum(rk) FILTER (delta > 0), 0) AS w_plus, coalesce(sum(rk) FILTER (delta < 0), 0) AS w_minus, count(*) FILTER (delta < 0) AS network_wins, count(*) FILTER (delta > 0) AS baseline_wins FROM k)
+SELECT n, CAST(w_plus AS DOUBLE) AS w_plus, CAST(w_minus AS DOUBLE) AS w_minus, network_wins, baseline_wins, (SELECT round(avg(delta), 6) + 0.0 FROM pd) AS mean_delta, (SELECT round(median(delta), 6) + 0.0 FROM pd) AS median_delta, round((least(w_plus, w_minus) - n * (n + 1) / 4) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24), 0), 6) + 0.0 AS z FROM t""",
     "h_autocorrelation": PANEL + """, a AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY dt) AS j, "Returns" - avg("Returns") OVER (PARTITION BY series) AS c FROM ret WHERE "Returns" IS NOT NULL),
 t AS (SELECT series, sum(c * c) AS ss, count(*) AS n FROM a GROUP BY 1), l AS (SELECT a.series, a.j - b.j AS lag, sum(a.c * b.c) AS s FROM a JOIN a b ON a.series = b.series AND a.j - b.j BETWEEN 1 AND 10 GROUP BY 1, 2)
 SELECT series, lag, round(s / ss, 6) + 0.0 AS acf, round(1.96 / sqrt(n), 6) + 0.0 AS band FROM l JOIN t USING (series)""",
@@ -298,7 +303,7 @@ SELECT snapshot, src, {m("")} AS idw, {m("FILTER (rho > 0)")} AS idw_pos, {m("FI
 ORACLES["d_neighbour_means"] = _neighbours("1 / greatest(d, 1e-8)")
 ORACLES["d_neighbour_means_exp"] = _neighbours("exp(-5 * d)")
 ORACLES["f_classification_metrics"] = PANEL + """, xx AS (SELECT * FROM x WHERE "RV5" IS NOT NULL AND "Y_fwd" IS NOT NULL), t AS (SELECT series, quantile_cont("Y_fwd", 0.8) AS th FROM xx GROUP BY 1),
-l AS (SELECT series, "Y_fwd" > th AS y, 5 * "RV5" > th AS p, round("RV5", 1) AS s FROM xx JOIN t USING (series)),
+l AS (SELECT series, "Y_fwd" > th AS y, round(5 * "RV5", 6) > round(th, 6) AS p, round("RV5", 1) AS s FROM xx JOIN t USING (series)),
 k AS (SELECT *, rank() OVER (PARTITION BY series ORDER BY s) + (count(*) OVER (PARTITION BY series, s) - 1) / 2 AS rk FROM l),
 a AS (SELECT series, count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn, count(*) FILTER (y) AS n1, count(*) FILTER (NOT y) AS n0, sum(rk) FILTER (y) AS rs, avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END) AS acc FROM k GROUP BY 1)
 SELECT series, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) + 0.0 AS "F1", round(coalesce(tp / nullif(tp + fp, 0), 0), 6) + 0.0 AS "Precision", round(coalesce(tp / nullif(tp + fn, 0), 0), 6) + 0.0 AS "Recall", round(acc, 6) + 0.0 AS "Accuracy", CASE WHEN n1 > 0 AND n0 > 0 THEN round((rs - n1 * (n1 + 1) / 2) / (n1 * n0), 6) + 0.0 END AS "ROC_AUC" FROM a"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,9 +100,43 @@ def fill_and_keep(df: DataFrame, columns: list[str], least: int = 300) -> DataFr
 
 def realised_features(df: DataFrame, horizon: int = 5, eps: float = EPS) -> DataFrame:
     """The variance features of series whose variance `rv` is measured: rv takes the place of the
-    squared return, and the target is the sum of future rv."""
+    squared return (on days of a falling or of no falling price in the semivariances), and the target
+    is the sum of future rv."""
+    down, up = F.when(F.col("r") < 0, F.col("rv")).otherwise(0.0), F.when(F.col("r") >= 0, F.col("rv")).otherwise(0.0)
     df = df.withColumn("Returns", 100 * F.col("r")).withColumn("RV1", F.col("rv"))
-    for n in (5, 22):
+    for n in (5, 10, 22):
         df = df.withColumn(f"RV{n}", _full(F.avg("RV1"), F.col("RV1"), n, -(n - 1), 0))
+    df = df.withColumn("neg_semi_var5", _full(F.avg(down), down, 5, -4, 0)).withColumn("pos_semi_var5", _full(F.avg(up), up, 5, -4, 0))
     df = df.withColumn("Y_fwd", _full(F.sum("RV1"), F.col("RV1"), horizon, 1, horizon))
-    return df.withColumns({f"log_{c.replace('Y_fwd', 'Y')}": F.log(F.col(c) + eps) for c in ("RV1", "RV5", "RV22", "Y_fwd")})
+    logs = {"log_RV1": "RV1", "log_RV5": "RV5", "log_RV10": "RV10", "log_RV22": "RV22", "log_neg_semi5": "neg_semi_var5", "log_pos_semi5": "pos_semi_var5", "log_Y": "Y_fwd"}
+    return df.withColumns({k: F.log(F.col(v) + eps) for k, v in logs.items()})
+
+
+def realised_market(df: DataFrame, market: DataFrame, eps: float = EPS) -> DataFrame:
+    """Market features from the proxy's own measured variance: `market` has dt, rv and r. Both windows
+    run over each series' own rows."""
+    proxy = market.select("dt", (100 * F.col("r")).alias("Market_Returns"), F.col("rv").alias("m2"))
+    df = df.join(proxy, "dt", "left")
+    for n in (5, 22):
+        df = df.withColumn(f"Market_RV{n}", _full(F.avg("m2"), F.col("m2"), n, -(n - 1), 0)).withColumn(f"log_Market_RV{n}", F.log(F.col(f"Market_RV{n}") + eps))
+    return df.drop("m2")
+
+
+HAR_COLUMNS = ["log_RV1", "log_RV5", "log_RV10", "log_RV22", "log_neg_semi5", "log_pos_semi5", "Returns", "log_Y", "Y_fwd"]
+
+
+def har_panel(panel: DataFrame, market: DataFrame | None = None, least: int = 2) -> DataFrame:
+    """The features of a panel of prices with those of the market, complete rows only, of the series
+    that keep `least` of them or more."""
+    rows = variance_features(returns(panel))
+    needed = list(HAR_COLUMNS)
+    if market is not None:
+        rows = market_features(rows, market)
+        needed += ["Market_Returns", "log_Market_RV5", "log_Market_RV22"]
+    rows = rows.dropna(subset=needed)
+    return rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("series"))).where(F.col("_n") >= least).drop("_n")
+
+
+def preprocess(panel: DataFrame, lags: tuple[int, ...], own: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Returns over the lags, then a function of the caller's from panel to panel."""
+    return returns(panel, lags).transform(own)

@@ -43,3 +43,26 @@ def histogram(panel: DataFrame, bins: int = 20, tail: float = 0.01) -> DataFrame
     rows = r.join(F.broadcast(ends)).where("Returns between lo and hi").groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.first(width).alias("width"))
     total = rows.agg(F.sum("n").alias("total"))
     return rows.join(F.broadcast(total)).select("bin", "n", (F.col("n") / (F.col("total") * F.col("width"))).alias("density"))
+
+
+def between(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The rows from `start` to `end`, both included; an end that is None is open."""
+    out = df if start is None else df.where(F.col("dt") >= F.lit(start).cast("date"))
+    return out if end is None else out.where(F.col("dt") <= F.lit(end).cast("date"))
+
+
+def common_autocorrelation(df: DataFrame, column: str = "Returns", lags: int = 10) -> DataFrame:
+    """Autocorrelations of all series up to the lag that the shortest one allows, with its band."""
+    shortest = df.where(F.col(column).isNotNull()).groupBy("series").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("n"))
+    out = autocorrelation(df, column, lags).drop("band").join(F.broadcast(shortest))
+    return out.where(F.col("lag") < F.col("n")).select("series", "lag", "acf", (1.96 / F.sqrt("n")).alias("band"))
+
+
+def sigma_outliers(df: DataFrame, column: str = "Returns", z: float = 3.0) -> DataFrame:
+    """Cutoffs at mean -+ z deviations per series, how many values are at or beyond them, and their
+    share."""
+    x = F.col(column)
+    rows = df.where(x.isNotNull())
+    cut = rows.groupBy("series").agg((F.avg(x) - z * F.stddev_samp(x)).alias("low"), (F.avg(x) + z * F.stddev_samp(x)).alias("high"))
+    out = rows.join(F.broadcast(cut), "series").groupBy("series", "low", "high").agg(F.count_if(x <= F.col("low")).alias("n_low"), F.count_if(x >= F.col("high")).alias("n_high"), F.count(F.lit(1)).alias("n"))
+    return out.withColumn("share", (F.col("n_low") + F.col("n_high")) / F.col("n"))

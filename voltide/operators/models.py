@@ -1,11 +1,14 @@
 """Forecasting models fitted for all series and folds as Spark jobs.
 
 One centred cross-product matrix per key serves every linear model: the rows are read once, partial
-matrices are combined by sums, and the small solves run on one row per key.
+matrices of the tasks are merged, and the small solves run on one row per key.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,66 +24,134 @@ def naive_month(horizon: int = 5) -> Column:
 
 
 def ewma_variance(df: DataFrame, decay: float = 0.94, seed_rows: int = 50) -> DataFrame:
-    """s_i = decay * s_(i-1) + (1 - decay) * r_(i-1)^2, seeded with the mean of the first rows, in
-    closed form as a weighted running sum; exact while decay**-n stays in range (about 10,000 rows)."""
+    """s_i = decay * s_(i-1) + (1 - decay) * r_(i-1)^2, seeded with the mean of the first rows, as
+    weighted running sums inside blocks over which decay falls to 1e-100: of what is older than the
+    block before nothing is left in double precision, so series of any length stay in range."""
+    size = max(1, math.floor(100 * math.log(10) / -math.log(decay)))
     w = Window.partitionBy("series").orderBy("dt")
     rows = df.where("Returns is not null").withColumn("j", F.row_number().over(w) - 1).withColumn("r2", F.col("Returns") ** 2)
+    rows = rows.withColumn("b", F.floor(F.col("j") / size)).withColumn("k", F.col("j") % size)
     seed = F.avg(F.when(F.col("j") < seed_rows, F.col("r2"))).over(Window.partitionBy("series"))
-    past = F.coalesce(F.sum(F.col("r2") * F.pow(F.lit(decay), -F.col("j"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return rows.withColumn("ewma", F.pow(F.lit(decay), F.col("j")) * seed + (1 - decay) * F.pow(F.lit(decay), F.col("j") - 1) * past).drop("j", "r2")
+    inside = Window.partitionBy("series", "b").orderBy("dt").rowsBetween(Window.unboundedPreceding, -1)
+    past = F.coalesce(F.sum(F.col("r2") * F.pow(F.lit(decay), -F.col("k"))).over(inside), F.lit(0.0))
+    within = (1 - decay) * F.pow(F.lit(decay), F.col("k") - 1) * past
+    # what a block hands to the next: its rows' sum, and the seed's remainder in the first
+    ends = rows.groupBy("series", (F.col("b") + 1).alias("b")).agg(((1 - decay) * decay ** (size - 1) * F.sum(F.col("r2") * F.pow(F.lit(decay), -F.col("k")))).alias("handed"))
+    start = F.when(F.col("b") == 0, F.col("seed")).otherwise(F.col("handed"))
+    rows = rows.withColumn("seed", seed).withColumn("within", within).join(ends, ["series", "b"], "left")
+    return rows.withColumn("ewma", F.pow(F.lit(decay), F.col("k")) * start + F.col("within")).drop("j", "r2", "b", "k", "seed", "within", "handed")
+
+
+def _kinds(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
+
 
+def _merge(one: tuple, two: tuple) -> tuple:
+    """n, means and centred cross products of two disjoint parts together."""
+    (n, m, c), (k, u, d) = one, two
+    gap = u - m
+    return n + k, m + gap * (k / (n + k)), c + d + np.outer(gap, gap) * (n * k / (n + k))
 
-def gram(train: DataFrame, keys: list[str], columns: list[str], target: str) -> DataFrame:
-    """Per key: n, means and the centred cross products of columns and target, as arrays."""
+
+def gram(train: DataFrame, keys: list[str], columns: list[str], target: str, most_keys: int = 20_000) -> DataFrame:
+    """Per key: n, means and the centred cross products (upper triangle) of columns and target, as
+    arrays. Every task merges its own rows' parts, `most_keys` keys at a time, so a key has about one
+    part for each task, and the parts are merged once more. Rows with a missing value do not count."""
     names = [*columns, target]
-    w = Window.partitionBy(*keys)
-    rows = train.dropna(subset=names)
-    rows = rows.withColumns({f"c{i}": F.col(c) - F.avg(c).over(w) for i, c in enumerate(names)})
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*(F.avg(c) for c in names)).alias("mean"),
-        F.array(*(F.sum(F.col(f"c{i}") * F.col(f"c{j}")) for i, j in pairs)).alias("cross"),
-    )
+    rows = train.dropna(subset=names).select(*keys, F.array(*(F.col(c).cast("double") for c in names)).alias("v"))
+    upper = np.triu_indices(len(names))
+    kinds = f"{_kinds(rows, keys)}, n long, mean array<double>, cross array<double>"
+
+    def frame(parts: dict) -> pd.DataFrame:
+        out = pd.DataFrame(list(parts), columns=keys)
+        out["n"] = [n for n, _, _ in parts.values()]
+        out["mean"] = [m.tolist() for _, m, _ in parts.values()]
+        out["cross"] = [c[upper].tolist() for _, _, c in parts.values()]
+        return out
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: dict = {}
+        for b in batches:
+            for key, own in b.groupby(keys, sort=False):
+                x = np.stack(own["v"])
+                m = x.mean(0)
+                part = (len(x), m, (x - m).T @ (x - m))
+                parts[key] = _merge(parts[key], part) if key in parts else part
+            if len(parts) > most_keys:
+                yield frame(parts)
+                parts = {}
+        yield frame(parts)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = None
+        for n, m, c in zip(pdf["n"], pdf["mean"], pdf["cross"], strict=True):
+            full = np.zeros((len(names),) * 2)
+            full[upper] = c
+            full = full + np.triu(full, 1).T
+            got = (n, np.asarray(m), full) if got is None else _merge(got, (n, np.asarray(m), full))
+        return frame({tuple(pdf[keys].iloc[0]): got})
+
+    return rows.mapInPandas(partial, kinds).groupBy(*keys).applyInPandas(whole, kinds)
+
+
+class Gram:
+    """A key's cross products, with the standardised solves that every linear model is made of."""
+
+    def __init__(self, n: int, mean, cross):
+        p = len(mean)
+        g = np.zeros((p, p))
+        g[np.triu_indices(p)] = cross
+        self.n, self.mean, self.g = int(n), np.asarray(mean, float), g + np.triu(g, 1).T
+
+    def solve(self, at: np.ndarray, target: np.ndarray | None = None, ridge: float = 0.0, lasso: float = 0.0, turn: np.ndarray | None = None) -> np.ndarray:
+        """Coefficients, on the original scale, of the columns `at` (or of linear combinations of
+        them, rows of `turn`) against the cross products `target` (with the last column if None)."""
+        a = self.g[np.ix_(at, at)]
+        b = self.g[at, -1] if target is None else target
+        if turn is not None:
+            a, b = turn @ a @ turn.T, turn @ b
+        sd = np.sqrt(np.maximum(np.diag(a), 0) / self.n)
+        sd[sd <= 1e-12] = 1
+        beta = _standard(a / np.outer(sd, sd), b / sd, self.n, ridge, lasso) / sd
+        return beta if turn is None else turn.T @ beta
+
+
+def _standard(a: np.ndarray, b: np.ndarray, n: int, ridge: float, lasso: float) -> np.ndarray:
+    if lasso:  # coordinate descent on the cross products
+        beta, rest, own = np.zeros(len(b)), b.copy(), np.diag(a)
+        for _ in range(20_000):
+            most = 0.0
+            for j in np.flatnonzero(own > 0):
+                z = rest[j] + own[j] * beta[j]
+                new = np.sign(z) * max(abs(z) - n * lasso, 0) / own[j]
+                if new != beta[j]:
+                    rest -= a[:, j] * (new - beta[j])
+                    most = max(most, abs(new - beta[j]))
+                    beta[j] = new
+            if most < 1e-9:
+                break
+        return beta
+    if ridge:
+        return np.linalg.solve(a + ridge * np.eye(len(b)), b)
+    return np.linalg.lstsq(a, b, rcond=1e-12)[0]  # the shortest solution where columns depend on each other
 
 
 def solve_one(n: int, mean: np.ndarray, cross: np.ndarray, ridge: float = 0.0, lasso: float = 0.0) -> tuple[np.ndarray, float]:
     """Coefficients on the original scale and intercept, of standardised columns."""
-    p = len(mean)
-    g = np.zeros((p, p))
-    g[np.triu_indices(p)] = cross
-    g = g + np.triu(g, 1).T
-    sd = np.sqrt(np.diag(g)[:-1] / n)
-    sd[sd == 0] = 1
-    a, b = g[:-1, :-1] / np.outer(sd, sd), g[:-1, -1] / sd
-    if lasso:
-        beta = np.zeros(p - 1)
-        for _ in range(1000):
-            old = beta.copy()
-            for j in range(p - 1):
-                if a[j, j] > 0:
-                    z = b[j] - a[j] @ beta + a[j, j] * beta[j]
-                    beta[j] = np.sign(z) * max(abs(z) - n * lasso, 0) / a[j, j]
-            if np.abs(beta - old).max() < 1e-10:
-                break
-    elif ridge:
-        beta = np.linalg.solve(a + ridge * np.eye(p - 1), b)
-    else:
-        beta = np.linalg.lstsq(a, b, rcond=None)[0]
-    coef = beta / sd
-    return coef, float(mean[-1] - coef @ mean[:-1])
+    g = Gram(n, mean, cross)
+    coef = g.solve(np.arange(len(mean) - 1), ridge=ridge, lasso=lasso)
+    return coef, float(g.mean[-1] - coef @ g.mean[:-1])
 
 
 def fit_linear(grams: DataFrame, keys: list[str], ridge: float = 0.0, lasso: float = 0.0) -> DataFrame:
     """keys, coef, intercept: one small solve per row."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grams.schema if f.name in keys)
 
     def run(batches):
         for b in batches:
-            got = [solve_one(int(n), np.asarray(m), np.asarray(c), ridge, lasso) for n, m, c in zip(b["n"], b["mean"], b["cross"], strict=True)]
+            got = [solve_one(n, m, c, ridge, lasso) for n, m, c in zip(b["n"], b["mean"], b["cross"], strict=True)]
             yield pd.DataFrame({**{k: b[k] for k in keys}, "coef": [c.tolist() for c, _ in got], "intercept": [i for _, i in got]})
 
-    return grams.mapInPandas(run, f"{kinds}, coef array<double>, intercept double")
+    return grams.mapInPandas(run, f"{_kinds(grams, keys)}, coef array<double>, intercept double")
 
 
 def predict_linear(test: DataFrame, models: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def covered(panel: DataFrame, window: int = 60, step: int = 5, coverage: float = 0.8, least: int = 10) -> DataFrame:
+    """snapshot, series: the series with `coverage` of their trailing window at every `step`-th date,
+    in snapshots that have `least` of them or more. Counts per block of `step` dates are added up, so
+    no row is copied into the snapshots that hold it."""
+    if window % step:
+        raise ValueError("the window must hold whole steps")
+    block = F.floor((F.col("i") - 1) / step).cast("int")
+    counts = panel.groupBy("series", block.alias("block")).agg(F.count("Returns").alias("n"), F.max("i").alias("top"))
+    top = counts.agg(F.max("top").alias("top"))
+    ends = F.explode(F.sequence((F.col("block") + 1) * step, (F.col("block") + window // step) * step, F.lit(step)))
+    own = counts.select("series", "n", ends.alias("snapshot")).join(F.broadcast(top)).where((F.col("snapshot") >= window) & (F.col("snapshot") <= F.col("top")))
+    own = own.groupBy("snapshot", "series").agg(F.sum("n").alias("n")).where(F.col("n") >= coverage * window).drop("n")
+    enough = own.groupBy("snapshot").agg(F.count(F.lit(1)).alias("p")).where(F.col("p") >= least).select("snapshot")
+    return own.join(enough, "snapshot", "left_semi")
+
+
 def windows(panel: DataFrame, window: int = 60, step: int = 5, coverage: float = 0.8, least: int = 10) -> DataFrame:
-    """snapshot, series, i, r: the trailing window of every `step`-th date.
-
-    Series with less than `coverage` of the window drop out, gaps count as zero, a snapshot with
-    under `least` series is skipped. Membership of a row in snapshots is an explode of the few that
-    hold it, so what compares series is an equi-join on (snapshot, i) and needs no range join.
-    """
-    r = panel.select("series", "i", "Returns")
-    first = F.greatest(F.ceil((F.col("i") - window) / step), F.lit(0))
-    last = F.floor((F.col("i") - 1) / step)
-    top = r.agg(F.max("i").alias("top"))
-    held = r.join(top).withColumn("j", F.explode(F.sequence(first.cast("int"), last.cast("int")))).withColumn("snapshot", F.col("j") * step + window)
-    held = held.where((F.col("snapshot") <= F.col("top")) & (F.col("i") > F.col("snapshot") - window) & (F.col("i") <= F.col("snapshot")))
-    w = Window.partitionBy("snapshot", "series")
-    held = held.withColumn("n", F.count("Returns").over(w)).where(F.col("n") >= coverage * window).select("snapshot", "series", "i", F.coalesce("Returns", F.lit(0.0)).alias("r"))
-    enough = held.groupBy("snapshot").agg(F.count_distinct("series").alias("p")).where(F.col("p") >= least).select("snapshot")
-    return held.join(enough, "snapshot")
+    """snapshot, series, i, r: the trailing window of every `step`-th date, gaps as zero, for the
+    series of `covered`. Membership of a row in snapshots is an explode of the few that hold it, so
+    what compares series is an equi-join on (snapshot, i) and needs no range join."""
+    first = ((F.floor((F.col("i") - 1) / step) + 1) * step).cast("int")
+    rows = panel.select("series", "i", F.coalesce("Returns", F.lit(0.0)).alias("r"), F.explode(F.sequence(first, first + (window - step), F.lit(step))).alias("snapshot"))
+    return rows.join(covered(panel, window, step, coverage, least), ["snapshot", "series"]).select("snapshot", "series", "i", "r")
 
 
 def _moments() -> tuple[list[Column], Column]:
@@ -44,8 +54,23 @@ def _all_defined(df: DataFrame) -> DataFrame:
 
 
 def correlations(panel: DataFrame, window: int = 60, step: int = 5, coverage: float = 0.8, least: int = 10) -> DataFrame:
-    """snapshot, s1 < s2, rho over the rows of `windows`; an undefined one makes its snapshot 0."""
-    return pair_correlations(windows(panel, window, step, coverage, least))
+    """snapshot, s1 < s2, rho of the trailing windows; an undefined one makes its snapshot 0.
+
+    Each pair of values is multiplied once: products are added up per block of `step` dates, and a
+    snapshot adds up the blocks that it holds."""
+    held = covered(panel, window, step, coverage, least)
+    block = F.floor((F.col("i") - 1) / step).cast("int")
+    rows = panel.select("series", "i", block.alias("block"), F.coalesce("Returns", F.lit(0.0)).alias("v"))
+    a = rows.select("i", "block", F.col("series").alias("s1"), F.col("v").alias("x"))
+    b = rows.select("i", F.col("series").alias("s2"), F.col("v").alias("y"))
+    parts = {"mx": F.col("x"), "my": F.col("y"), "xx": F.col("x") ** 2, "yy": F.col("y") ** 2, "xy": F.col("x") * F.col("y")}
+    sums = a.join(b, "i").where("s1 < s2").groupBy("s1", "s2", "block").agg(*(F.sum(e).alias(n) for n, e in parts.items()))
+    trailing = Window.partitionBy("s1", "s2").orderBy("block").rangeBetween(1 - window // step, 0)
+    _, rho = _moments()
+    out = sums.select("s1", "s2", ((F.col("block") + 1) * step).alias("snapshot"), *((F.sum(n).over(trailing) / window).alias(n) for n in parts))
+    for s in ("s1", "s2"):
+        out = out.join(held.withColumnRenamed("series", s), ["snapshot", s], "left_semi")
+    return _all_defined(out.select("snapshot", "s1", "s2", rho.alias("rho")))
 
 
 def pair_correlations(held: DataFrame) -> DataFrame:
@@ -55,6 +80,51 @@ def pair_correlations(held: DataFrame) -> DataFrame:
     return _all_defined(pairs.agg(*means).select("snapshot", "s1", "s2", rho.alias("rho")))
 
 
+def by_matrix(held: DataFrame, distance: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """snapshot, s1 < s2, rho, d by a function of a snapshot's (dates x series) matrix that gives the
+    similarities and the distances as matrices: the extension point for distances that are no sums
+    over dates. A task holds one snapshot's window, whose size the calendar and the universe set."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf.pivot(index="i", columns="series", values="r").sort_index(axis=1)
+        rho, d = distance(m.to_numpy())
+        x, y = np.triu_indices(m.shape[1], 1)
+        names = m.columns.to_numpy()
+        return pd.DataFrame({"snapshot": pdf["snapshot"].iloc[0], "s1": names[x], "s2": names[y], "rho": rho[x, y], "d": d[x, y]})
+
+    return held.groupBy("snapshot").applyInPandas(run, "snapshot int, s1 string, s2 string, rho double, d double")
+
+
+def safe_correlation(m: np.ndarray) -> np.ndarray:
+    """The correlation matrix, or the identity if any of its cells is undefined."""
+    x = m - m.mean(0)
+    sd = np.sqrt((x**2).mean(0))
+    if (sd**2 <= 1e-12).any():
+        return np.eye(m.shape[1])
+    rho = np.clip((x.T @ x) / len(m) / np.outer(sd, sd), -1 + 1e-8, 1 - 1e-8)
+    np.fill_diagonal(rho, 1.0)
+    return rho
+
+
+def precision_distance(shrinkage: float = 0.1) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Partial correlations from the inverse of a correlation matrix that is drawn towards the
+    identity, by 0.2 more (at most to a half) with no more dates than series; 1 - their squares."""
+
+    def distance(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, p = m.shape
+        a = shrinkage if n > p else min(shrinkage + 0.2, 0.5)
+        inverse = np.linalg.inv((1 - a) * safe_correlation(m) + a * np.eye(p))
+        scale = np.sqrt(np.clip(np.diag(inverse), 1e-12, None))
+        rho = np.clip(-inverse / np.outer(scale, scale), -1 + 1e-8, 1 - 1e-8)
+        return rho, 1 - rho**2
+
+    return distance
+
+
+def precision_partial(held: DataFrame, shrinkage: float = 0.1) -> DataFrame:
+    return by_matrix(held, precision_distance(shrinkage))
+
+
 def market_partial(held: DataFrame) -> DataFrame:
     """snapshot, s1 < s2, rho, d: correlations given the equal-weight mean of all series, in closed
     form, and 1 - rho squared."""
@@ -84,15 +154,27 @@ def entropies(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mutual_information(held: DataFrame, bins: int = 10) -> DataFrame:
-    """snapshot, s1 < s2, nmi, d = 1 - nmi: mutual information by the geometric mean of entropies."""
+    """snapshot, s1 < s2, nmi, d = 1 - nmi: mutual information by the geometric mean of entropies.
+
+    A series' bins of a window are one array, so a pair of series meets once a snapshot; the counts of
+    all pairs of a batch come from one histogram of (pair, bin, bin)."""
     b = rank_bins(held, bins)
-    count = F.count(F.lit(1)).alias("c")
-    one = entropies(b.groupBy("snapshot", "series", "bin").agg(count), ["snapshot", "series"])
-    x, y = b.select("snapshot", "i", F.col("series").alias("s1"), F.col("bin").alias("b1")), b.select("snapshot", "i", F.col("series").alias("s2"), F.col("bin").alias("b2"))
-    both = x.join(y, ["snapshot", "i"]).where("s1 < s2").groupBy("snapshot", "s1", "s2", "b1", "b2").agg(count)
-    out = entropies(both, ["snapshot", "s1", "s2"])
-    for s, name in (("s1", "h1"), ("s2", "h2")):
-        out = out.join(one.select("snapshot", F.col("series").alias(s), F.col("h").alias(name)), ["snapshot", s])
+    one = entropies(b.groupBy("snapshot", "series", "bin").agg(F.count(F.lit(1)).alias("c")), ["snapshot", "series"])
+    arrays = b.groupBy("snapshot", "series").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "bin"))), lambda x: x["bin"]).alias("bins")).join(one, ["snapshot", "series"])
+    x = arrays.select("snapshot", F.col("series").alias("s1"), F.col("bins").alias("b1"), F.col("h").alias("h1"))
+    y = arrays.select("snapshot", F.col("series").alias("s2"), F.col("bins").alias("b2"), F.col("h").alias("h2"))
+
+    def joint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            if len(p):
+                one, two = np.stack(p["b1"]), np.stack(p["b2"])
+                cell = np.arange(len(p))[:, None] * bins * bins + one * bins + two
+                c = np.bincount(cell.ravel(), minlength=len(p) * bins * bins).reshape(len(p), -1)
+                n = one.shape[1]
+                h = np.log(n) - (c * np.log(np.maximum(c, 1))).sum(1) / n
+                yield pd.DataFrame({"snapshot": p["snapshot"], "s1": p["s1"], "s2": p["s2"], "h1": p["h1"], "h2": p["h2"], "h": h})
+
+    out = x.join(y, "snapshot").where("s1 < s2").mapInPandas(joint, "snapshot int, s1 string, s2 string, h1 double, h2 double, h double")
     scale = F.sqrt(F.col("h1") * F.col("h2"))
     nmi = F.when(scale > 1e-10, (F.col("h1") + F.col("h2") - F.col("h")) / scale).otherwise(0.0)
     out = out.select("snapshot", "s1", "s2", F.least(F.greatest(nmi, F.lit(0.0)), F.lit(1.0)).alias("nmi"))
@@ -120,53 +202,136 @@ def threshold_edges(pairs: DataFrame, limit: float) -> DataFrame:
     return both_ways(pairs).where(F.col("d") < limit)
 
 
-def degrees(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+def nodes(pairs: DataFrame) -> DataFrame:
+    """snapshot, src of every series that is in a snapshot, isolates included."""
+    return pairs.select("snapshot", F.explode(F.array("s1", "s2")).alias("src")).distinct()
+
+
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Degree of every node, 0 for isolates."""
-    nodes = both_ways(pairs).select("snapshot", "src").distinct()
     n = edges.groupBy("snapshot", "src").agg(F.count(F.lit(1)).alias("n"))
     return nodes.join(n, ["snapshot", "src"], "left").select("snapshot", "src", F.coalesce("n", F.lit(0)).alias("degree"))
 
 
-def turnover(edges: DataFrame, pairs: DataFrame, step: int) -> DataFrame:
+def turnover(edges: DataFrame, nodes: DataFrame, step: int) -> DataFrame:
     """1 - |previous and current neighbours| / max(1, degree); null where the node was absent."""
-    deg = degrees(pairs, edges)
+    deg = degrees(nodes, edges)
     before = edges.select((F.col("snapshot") + step).alias("snapshot"), "src", "dst")
     same = edges.join(before, ["snapshot", "src", "dst"]).groupBy("snapshot", "src").agg(F.count(F.lit(1)).alias("same"))
-    was = deg.select((F.col("snapshot") + step).alias("snapshot"), "src", F.lit(True).alias("was"))
+    was = nodes.select((F.col("snapshot") + step).alias("snapshot"), "src", F.lit(True).alias("was"))
     out = deg.join(was, ["snapshot", "src"], "left").join(same, ["snapshot", "src"], "left")
     return out.select("snapshot", "src", "degree", F.when(F.col("was"), 1 - F.coalesce("same", F.lit(0)) / F.greatest("degree", F.lit(1))).alias("turnover"))
 
 
-def clustering(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def clustering(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Local clustering coefficient by joining edges to triangles; 0 below two neighbours."""
     e = edges.select("snapshot", "src", "dst")
     two = e.select("snapshot", F.col("src").alias("c"), F.col("dst").alias("a")).join(e.select("snapshot", F.col("src").alias("c"), F.col("dst").alias("b")), ["snapshot", "c"]).where("a < b")
     closed = two.join(e.select("snapshot", F.col("src").alias("a"), F.col("dst").alias("b")), ["snapshot", "a", "b"]).groupBy("snapshot", F.col("c").alias("src")).agg(F.count(F.lit(1)).alias("t"))
-    d = degrees(pairs, edges).join(closed, ["snapshot", "src"], "left")
+    d = degrees(nodes, edges).join(closed, ["snapshot", "src"], "left")
     value = F.when(F.col("degree") < 2, 0.0).otherwise(2 * F.coalesce("t", F.lit(0)) / (F.col("degree") * (F.col("degree") - 1)))
     return d.select("snapshot", "src", value.alias("clustering"))
 
 
+def global_clustering(local: DataFrame) -> DataFrame:
+    """Mean local coefficient over all nodes of a snapshot, isolates included."""
+    return local.groupBy("snapshot").agg(F.avg("clustering").alias("clustering"))
+
+
+def with_saved_signs(edges: DataFrame, pairs: DataFrame, stride: int) -> DataFrame:
+    """The edges with the correlations of the latest saved snapshot: of the snapshots in order every
+    `stride`-th is saved, from the first on. rho is null where the pair was not in that snapshot."""
+    order = Window.orderBy("snapshot")  # of snapshots alone
+    numbered = pairs.select("snapshot").distinct().withColumn("o", F.row_number().over(order) - 1)
+    source = numbered.select("snapshot", (F.col("o") - F.col("o") % stride).alias("o")).join(numbered.select("o", F.col("snapshot").alias("saved")), "o").drop("o")
+    known = pairs.select(F.col("snapshot").alias("saved"), "s1", "s2", F.col("rho").alias("rho"))
+    e = edges.drop("rho").join(F.broadcast(source), "snapshot").withColumn("s1", F.least("src", "dst")).withColumn("s2", F.greatest("src", "dst"))
+    return e.join(known, ["saved", "s1", "s2"], "left").select("snapshot", "src", "dst", "d", "rho")
+
+
+def _weight(kernel: str, rate: float) -> Column:
+    return 1 / F.greatest("d", F.lit(1e-8)) if kernel == "inverse" else F.exp(-rate * F.col("d"))
+
+
 def neighbour_means(edges: DataFrame, values: DataFrame, column: str, kernel: str = "inverse", rate: float = 5.0) -> DataFrame:
-    """Weighted mean of the neighbours' `column`, all and by the sign of the correlation."""
-    w = 1 / F.greatest("d", F.lit(1e-8)) if kernel == "inverse" else F.exp(-rate * F.col("d"))
-    v = values.select(F.col("i").alias("snapshot"), F.col("series").alias("dst"), F.col(column).alias("v")).where("v is not null")
-    rows = edges.join(v, ["snapshot", "dst"]).withColumn("w", w)
-    mean = lambda on: F.try_divide(F.sum(F.when(on, F.col("w") * F.col("v"))), F.sum(F.when(on, F.col("w"))))
-    pos = F.col("rho") > 0
-    return rows.groupBy("snapshot", "src").agg(mean(F.lit(True)).alias("idw"), mean(pos).alias("idw_pos"), mean(~pos).alias("idw_neg"))
-
-
-def rank_features(edges: DataFrame, values: DataFrame, column: str, k: int) -> DataFrame:
-    """Value of `column` and distance of each node's r-th nearest neighbour in the graph, r < k."""
-    v = values.select(F.col("i").alias("snapshot"), F.col("series").alias("dst"), F.col(column).alias("v"))
+    """Weighted mean of the neighbours' `column`, all and by the sign of the correlation; a neighbour
+    without a known sign counts as negative."""
+    out = neighbour_features(edges, values, [column], kernel, rate)
+    return out.select("snapshot", "src", *(F.col(f"net_idw{s}_{column}").alias(f"idw{s}") for s in ("", "_pos", "_neg")))
+
+
+def neighbour_features(edges: DataFrame, values: DataFrame, columns: list[str], kernel: str = "inverse", rate: float = 5.0) -> DataFrame:
+    """net_idw_{c}, net_idw_pos_{c} and net_idw_neg_{c} of all columns from one join; missing values
+    are skipped, a mean of none is null."""
+    v = values.select(F.col("i").alias("snapshot"), F.col("series").alias("dst"), *columns)
+    rows = edges.join(v, ["snapshot", "dst"]).withColumn("w", _weight(kernel, rate))
+    pos = F.coalesce(F.col("rho") > 0, F.lit(False))
+    out = []
+    for c in columns:
+        there = F.col(c).isNotNull()
+        for name, on in (("", there), ("_pos", there & pos), ("_neg", there & ~pos)):
+            out.append(F.try_divide(F.sum(F.when(on, F.col("w") * F.col(c))), F.sum(F.when(on, F.col("w")))).alias(f"net_idw{name}_{c}"))
+    return rows.groupBy("snapshot", "src").agg(*out)
+
+
+def rank_features(edges: DataFrame, values: DataFrame, columns: list[str] | str, k: int) -> DataFrame:
+    """Values of the columns and distance of each node's r-th nearest neighbour in the graph, r < k."""
+    columns = [columns] if isinstance(columns, str) else columns
+    v = values.select(F.col("i").alias("snapshot"), F.col("series").alias("dst"), *columns)
     r = F.row_number().over(Window.partitionBy("snapshot", "src").orderBy(F.round("d", 9), "dst")) - 1
     near = edges.withColumn("r", r).where(F.col("r") < k).join(v, ["snapshot", "dst"], "left")
     at = lambda i, c: F.max(F.when(F.col("r") == i, F.col(c)))
-    out = [at(i, "v").alias(f"net_nn{i}_{column}") for i in range(k)] + [at(i, "d").alias(f"net_nn{i}_dist") for i in range(k)]
+    out = [at(i, c).alias(f"net_nn{i}_{c}") for i in range(k) for c in columns] + [at(i, "d").alias(f"net_nn{i}_dist") for i in range(k)]
     return near.groupBy("snapshot", "src").agg(*out)
 
 
+VALUES = ["log_RV1", "log_RV5", "log_RV22", "Returns"]
+
+
+def feature_names(columns: list[str], k: int) -> list[str]:
+    """All columns that `graph_features` adds, in order."""
+    return [
+        "net_degree", "net_degree_change", "net_node_clustering", "net_global_clustering", "net_avg_abs_corr",
+        *(f"net_idw{s}_{c}" for s in ("", "_pos", "_neg") for c in columns),
+        *(f"net_nn{i}_{c}" for i in range(k) for c in columns), *(f"net_nn{i}_dist" for i in range(k)),
+    ]
+
+
+def graph_features(pairs: DataFrame, edges: DataFrame, values: DataFrame, k: int, step: int, columns: list[str] = VALUES, kernel: str = "inverse", rate: float = 5.0, stride: int = 1) -> DataFrame:
+    """snapshot, src and every feature of the nodes. `values` is the panel with the columns that
+    neighbours lend, their last known values carried forward to the snapshot's date; `pairs` and
+    `edges` are written tables, as several parts read them."""
+    w = Window.partitionBy("series").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.select("series", "i", *(F.last(c, ignorenulls=True).over(w).alias(c) for c in columns))
+    everyone = nodes(pairs)
+    signed = with_saved_signs(edges, pairs, stride) if stride > 1 else edges
+    keys = ["snapshot", "src"]
+    local = clustering(edges, everyone)
+    out = turnover(edges, everyone, step).withColumnsRenamed({"degree": "net_degree", "turnover": "net_degree_change"})
+    out = out.join(local.withColumnRenamed("clustering", "net_node_clustering"), keys, "left")
+    out = out.join(F.broadcast(global_clustering(local).withColumnRenamed("clustering", "net_global_clustering")), "snapshot", "left")
+    out = out.join(F.broadcast(pairs.groupBy("snapshot").agg(F.avg(F.abs("rho")).alias("net_avg_abs_corr"))), "snapshot", "left")
+    out = out.join(neighbour_features(signed, values, columns, kernel, rate), keys, "left")
+    return out.join(rank_features(edges, values, columns, k), keys, "left").select(*keys, *feature_names(columns, k))
+
+
+def with_network(panel: DataFrame, features: DataFrame, columns: list[str]) -> DataFrame:
+    """The panel with the node features of the latest snapshot, column by column."""
+    f = features.select(F.col("snapshot").alias("i"), F.col("src").alias("series"), *columns)
+    w = Window.partitionBy("series").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return panel.join(f, ["series", "i"], "left").withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+
+
+def on_dates(features: DataFrame, dates: DataFrame) -> DataFrame:
+    """The rows of `features` on the dates of `dates`."""
+    return features.join(dates.select("dt").distinct(), "dt", "left_semi")
+
+
+def degree_table(deg: DataFrame, series: list[str]) -> DataFrame:
+    """snapshot, and one column of degrees for each series, null where it is not in the snapshot."""
+    return deg.groupBy("snapshot").pivot("src", series).agg(F.first("degree"))
+
+
 def as_of(panel: DataFrame, features: DataFrame, columns: list[str]) -> DataFrame:
     """The node features of the latest snapshot on every date of each series, column by column."""
     f = features.select(F.col("snapshot").alias("i"), F.col("src").alias("series"), *columns)

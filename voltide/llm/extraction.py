@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -28,13 +29,16 @@ STOP = frozenset(
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 DROPPED = frozenset("script style noscript template svg math iframe object canvas head title textarea select button nav footer aside form menu dialog".split())
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
+RAW_END = {t: re.compile(f"</{t}\\s*>", re.I) for t in RAW}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BAD_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|footer|foot|masthead|topbar|toolbar|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|commentlist|replies|respond|disqus|widget|tags|pagination|pager|skip|copyright|legal)(?:$|[\s_-])",
     re.I,
 )
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][\w:-]*)")
+STOPS = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: A tag that opens while one of these is open ends it.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -57,14 +61,59 @@ def _dropped(tag: str, attributes: str, inside_article: bool) -> bool:
     return a.get("role", "").lower() in BAD_ROLE or bool(BAD_NAME.search(f"{a.get('class', '')} {a.get('id', '')}"))
 
 
+def _tag_end(page: str, at: int) -> int:
+    """The place of the `>` that ends the tag whose attributes start at `at`, or -1. A quote that is
+    never closed is an ordinary character."""
+    while m := STOPS.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        close = page.find(m[0], m.end())
+        at = close + 1 if close >= 0 else m.end()
+    return -1
+
+
+def _tokens(page: str):
+    """(slash, tag, attributes, text) in page order, in one forward scan: a comment, declaration or
+    tag that is never ended takes the rest of the page."""
+    at, n = 0, len(page)
+    while at < n:
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = n if end < 0 else end
+            yield "", "", "", page[at:end]
+            at = end
+            continue
+        name = NAME.match(page, at + 1)
+        if name:
+            end = _tag_end(page, name.end())
+            if end < 0:
+                return
+            tag, attributes = name[2].lower(), page[name.end() : end]
+            yield name[1], tag, attributes, ""
+            at = end + 1
+            if tag in RAW and not name[1] and not attributes.rstrip().endswith("/"):  # no markup inside
+                close = RAW_END[tag].search(page, at)
+                at = close.end() if close else n
+        elif page.startswith(("<!", "<?"), at):
+            mark = "-->" if page.startswith("<!--", at) else "]]>" if page.startswith("<![CDATA[", at) else ">"
+            end = page.find(mark, at + 2)
+            if end < 0:
+                return
+            at = end + len(mark)
+        else:
+            yield "", "", "", "<"
+            at += 1
+
+
 def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
-    """Text, characters in links, heading and inside an article element, of every kept block."""
+    """Text, characters in links, heading and inside an article element, of every kept block. The
+    work is in proportion to the page's length, whatever it holds."""
     out: list[tuple[str, int, bool, bool]] = []
     stack: list[tuple[str, bool]] = []  # open tags; whether each drops what it holds
+    opened: Counter[str] = Counter()
     drops = linked = articles = 0
     parts: list[str] = []
     in_link = heading = False
-    at = 0
 
     def end() -> None:
         nonlocal linked
@@ -77,29 +126,26 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     def pop() -> str:
         nonlocal drops, articles
         tag, bad = stack.pop()
+        opened[tag] -= 1
         drops -= bad
         articles -= tag in ("article", "main")
         return tag
 
-    while m := TOKEN.match(page, at):
-        at = m.end()
-        if m[4] is not None:
+    for slash, tag, attributes, text in _tokens(page):
+        if not tag:
             if not drops:
-                text = entities.unescape(m[4])
+                text = entities.unescape(text)
                 parts.append(text)
                 linked += len(text.strip()) if in_link else 0
             continue
-        if not m[2]:
-            continue
-        tag = m[2].lower()
         if tag in BLOCKS:
             end()
-        if m[1]:
+        if slash:
             in_link = in_link and tag != "a"
-            if any(t == tag for t, _ in stack):
+            if opened[tag]:
                 while pop() != tag:
                     pass
-            heading = heading and not re.fullmatch("h[1-6]", tag)
+            heading = heading and tag not in HEADINGS
             continue
         if tag == "br" and not drops:
             parts.append(" ")
@@ -111,15 +157,12 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             while stack and stack[-1][0] == "p":
                 pop()
         in_link = in_link or tag == "a"
-        heading = bool(re.fullmatch("h[1-6]", tag)) if tag in BLOCKS else heading
-        bad = _dropped(tag, m[3], articles > 0)
-        if tag in RAW and not m[3].rstrip().endswith("/"):
-            close = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
-            continue
-        if m[3].rstrip().endswith("/") and tag not in BLOCKS:
+        heading = tag in HEADINGS if tag in BLOCKS else heading
+        if tag in RAW or (attributes.rstrip().endswith("/") and tag not in BLOCKS):
             continue
+        bad = _dropped(tag, attributes, articles > 0)
         stack.append((tag, bad))
+        opened[tag] += 1
         drops += bad
         articles += tag in ("article", "main")
     end()
@@ -147,8 +190,9 @@ def listed(found: list[tuple[str, int, bool, bool]], short: int = 70, low: float
 
 def first_pass(text: str, linked: int, short: int = 70, long: int = 200, low: float = 0.1, high: float = 0.2, links: float = 0.3, usual: float | None = 0.3, inside: bool = False) -> str:
     """`usual` is the page's share of stop words; where no list fits (None), length and link density
-    decide. `inside` a marked article a block is bad only without any stop word, if a block of so
-    many words has none with a probability under 0.001 at the usual share."""
+    decide. `inside` a marked article length decides nothing more, and a block with few stop words is
+    bad only if it has none at all, where so many words have none with a probability under 0.001 at
+    the usual share; else it is undecided."""
     density = linked / max(len(text), 1)
     if density > links:
         return "bad"
@@ -157,22 +201,21 @@ def first_pass(text: str, linked: int, short: int = 70, long: int = 200, low: fl
         return "bad" if not inside and linked and density > links / 2 else "short"
     counts = None if usual is None else stop_words(text)
     stop = counts[0] / max(counts[1], 1) if counts else None
-    if inside:
-        return "bad" if stop == 0 and (1 - usual) ** counts[1] < 0.001 else "good"
-    if stop is None:
-        return "good" if size > long else "near"
-    if stop >= high:
-        return "good" if size > long else "near"
-    return "near" if stop >= low else "bad"
+    if stop is None or stop >= high:
+        return "good" if inside or size > long else "near"
+    if stop >= low or (inside and (stop > 0 or (1 - usual) ** counts[1] >= 0.001)):
+        return "near"
+    return "bad"
 
 
-def second_pass(labels: list[str]) -> list[bool]:
+def second_pass(labels: list[str], edge: str = "") -> list[bool]:
     """Undecided blocks take the label of the nearest decided block before and after: good if both
-    are, or if it is near good and one is; a page's edge takes the other side's label."""
+    are, or if it is near good and one is. `edge` is the label beyond the first and the last block; if
+    it has none, the other side's counts."""
     n = len(labels)
     before, after = ["" for _ in labels], ["" for _ in labels]
     for order, side in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last = ""
+        last = edge
         for i in order:
             side[i] = last
             last = labels[i] if labels[i] in ("good", "bad") else last
@@ -191,23 +234,19 @@ def second_pass(labels: list[str]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """The kept blocks in page order, joined by an empty line.
 
-    Where a page marks its article, only blocks inside take part, under milder limits, and the short
-    ones follow their neighbours.
+    Where a page marks its article, only blocks inside take part, and the mark speaks for the
+    undecided ones: what lies beyond the first and the last block counts as good.
     """
     found = blocks(page or "")
     marked = [b for b in found if b[3]]
     found = marked or found
     usual = listed(found)
     labels = [first_pass(text, linked, usual=usual, inside=bool(marked)) for text, linked, _, _ in found]
-    if marked:
-        if "good" not in labels:
-            labels = ["good" if x == "short" else x for x in labels]
-    else:
-        if "good" not in labels:  # near good is then the best there is
-            labels = ["good" if x == "near" else x for x in labels]
+    if not marked and "good" not in labels:  # near good is then the best there is
+        labels = ["good" if x == "near" else x for x in labels]
         if "good" not in labels:
             return ""
-    keep = second_pass(labels)
+    keep = second_pass(labels, "good" if marked else "")
     return "\n\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from voltide.functions.features import folds
 from voltide.operators.models import Gram, _kinds, gram
 from voltide.operators.network import VALUES
+from voltide.sources.store import written
 
 # The column sets that the models are defined by.
 MARKET = ["Market_Returns", "log_Market_RV5", "log_Market_RV22"]
@@ -129,6 +130,11 @@ def fill_net(df: DataFrame) -> DataFrame:
     return df.fillna(0.0, subset=[c for c in df.columns if c.startswith("net_")])
 
 
+def needed(columns: list[str]) -> list[str]:
+    """What a row must have: all but the network's columns, which are filled."""
+    return unique([c for c in columns if not c.startswith("net_")] + ["log_Y", "log_RV22"])
+
+
 def _marked(rows: DataFrame, limit: float = 3.0) -> DataFrame:
     """Training rows with `usual`: no outlier column is `limit` deviations or more from its mean."""
     w = Window.partitionBy("series", "fold")
@@ -238,7 +244,8 @@ def evaluate(panel: DataFrame, models: list[Model], n_splits: int = 1, test: int
     """The predictions and the fitted parts of every model for all series and folds."""
     columns = unique([c for m in models for c in m.columns])
     quantiles = sorted({m.regime for m in models if m.regime is not None} | {0.5})
-    rows = folds(fill_net(panel).dropna(subset=[*columns, "log_Y", "log_RV22"]), n_splits, test, min_train)
+    # written, as training and test rows are read several times
+    rows = written(folds(fill_net(panel.dropna(subset=needed(columns))), n_splits, test, min_train))
     train = rows.where("role = 'train'")
     fitted = fit(grams(train, columns, "log_Y", quantiles), models, columns)
     return predict(rows.where("role = 'test'"), fitted, thresholds(train, quantiles), models, columns, quantiles), fitted

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from voltide.functions.features import folds
 from voltide.operators import forecasting as fc
 from voltide.operators.network import VALUES
+from voltide.sources.store import written
 
 
 @dataclass(frozen=True)
@@ -157,7 +158,7 @@ def _outcomes(m: Logit, take, x: np.ndarray, y: np.ndarray, usual: np.ndarray, l
 def labelled(panel: DataFrame, columns: list[str], n_splits: int, test: int, min_train: int, quantile: float, lookback: int | None) -> DataFrame:
     """The rows of every fold with role, `usual`, the fold's threshold (of its training rows, or their
     last `lookback`) and the label."""
-    rows = folds(fc.fill_net(panel).dropna(subset=[*columns, "Y_fwd", "log_Y", "log_RV22"]), n_splits, test, min_train)
+    rows = written(folds(fc.fill_net(panel.dropna(subset=[*fc.needed(columns), "Y_fwd"])), n_splits, test, min_train))
     train = rows.where("role = 'train'")
     seen = train
     if lookback:

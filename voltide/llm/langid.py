@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from voltide.llm.common import annotate, fraction, held_out, materialise
 
 DIMS = 4096
+#: Languages up to which their rates are sent to all tasks.
+MOST_SENT = 100_000
 _letters: list[np.ndarray] = []
 
 
@@ -67,20 +69,17 @@ def _centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, per_language: int = 400, max_languages: int = 256, k: int = 4) -> dict:
+def fit(docs: DataFrame, per_language: int = 400, k: int = 4) -> dict:
     """Learn from text and non-null lang of the documents that are not held out.
 
-    At most about `per_language` texts of each language are used, chosen by a hash of doc_id, and
-    the `max_languages` most frequent languages: the documented bounds of this fit. Returns arrays
-    of bounded size (dims, idf, centroids, their languages, the least cosine by text length).
+    At most about `per_language` different texts of each language are used, chosen by a hash of the
+    text: the documented bound of this fit. Every language takes part. Returns arrays (dims, idf,
+    centroids, their languages, the least cosine by text length) that grow with the languages alone.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", "lang").where(~F.coalesce(held_out("doc_id"), F.lit(False)) & F.col("lang").isNotNull())
-    sizes = rows.where(F.col("text").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not sizes:
-        return {"langs": [], "idf": np.ones(DIMS), "centroids": np.zeros((0, DIMS), np.float32), "owner": np.zeros(0, int), "least": {}}
-    rate = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))))
-    drawn = rows.where(fraction("doc_id", "langid") < F.element_at(rate, F.col("lang")))
+    rows = docs.select("doc_id", "text", "lang").where(~F.coalesce(held_out("doc_id"), F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rate = materialise(rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("rate")))
+    sent = F.broadcast(rate) if rate.count() <= MOST_SENT else rate
+    drawn = rows.join(sent, "lang").where(fraction("text", "langid") < F.col("rate")).dropDuplicates(["lang", "text"])
 
     def vectors(batches):
         for b in batches:
@@ -98,6 +97,8 @@ def fit(docs: DataFrame, per_language: int = 400, max_languages: int = 256, k: i
     total, df = 0, np.zeros(DIMS)
     for r in sample.mapInPandas(present, "rows long, df array<long>").toLocalIterator():
         total, df = total + r["rows"], df + np.array(r["df"])
+    if not total:
+        return {"langs": [], "idf": np.ones(DIMS), "centroids": np.zeros((0, DIMS), np.float32), "owner": np.zeros(0, int), "least": {}}
     idf = np.log((1 + total) / (1 + df)) + 1
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -75,7 +75,17 @@ class Matcher:
                     spared.append((at, end))
                 else:
                     found[at] = max(w, found.get(at, w))
-        return {a: w for a, w in found.items() if not any(x <= a < y for x, y in spared)} if spared else found
+        if not spared:
+            return found
+        spared.sort()
+        kept, i, reach = {}, 0, -1
+        for a in sorted(found):  # both in page order: one sweep
+            while i < len(spared) and spared[i][0] <= a:
+                reach = max(reach, spared[i][1])
+                i += 1
+            if a >= reach:
+                kept[a] = found[a]
+        return kept
 
 
 def features(folded: str, matcher: Matcher) -> tuple[float, float, float]:
@@ -92,12 +102,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_entries: int = 4_000, least_share: float = 0.006, least_weight: float = 2.5) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, least_share: float = 0.006, least_weight: float = 2.5) -> dict:
     """Learn lexicon, exception phrases and calibration from labelled, not held-out documents.
 
-    About `max_rows` labelled documents at most are used, chosen by a hash of doc_id, and the
-    `max_entries` heaviest entries are kept: the documented bounds of this fit. Labels that are null
-    or given twice with different values are not used.
+    About `max_rows` labelled documents at most are used, chosen by a hash of doc_id: the documented
+    bound of this fit. An entry is in `least_share` of the toxic ones at least, which bounds their
+    number by the length of the texts. Labels that are null or given twice with different values are
+    not used.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").alias("id"), "toxic").where(F.col("toxic").isNotNull() & ~F.coalesce(held_out("doc_id"), F.lit(True)))
@@ -129,11 +140,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_entries:
 
     kind = "entry string, n long"
     often = rows.where("y = 1").mapInPandas(count(None), kind).groupBy("entry").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, least_share * toxic))
-    often = {r["entry"]: r["n"] for r in often.orderBy(F.desc("n"), "entry").limit(20 * max_entries).collect()}
+    often = {r["entry"]: r["n"] for r in often.collect()}
     keep = set(often)
     there = {r["entry"]: r["n"] for r in rows.where("y = 0").mapInPandas(count(keep), kind).groupBy("entry").agg(F.sum("n").alias("n")).collect()}
     weight = {e: float(np.log((k + 0.5) / (toxic + 1)) - np.log((there.get(e, 0) + 0.5) / (clean + 1))) for e, k in often.items()}
-    best = sorted((e for e in weight if weight[e] >= least_weight), key=lambda e: (-weight[e], e))[:max_entries]
+    best = sorted((e for e in weight if weight[e] >= least_weight), key=lambda e: (-weight[e], e))
     lexicon = {e: weight[e] for e in best}
     # an entry says nothing that its own beginning does not say as surely
     lexicon = {e: w for e, w in lexicon.items() if not any(lexicon.get(e[:m], -1) >= w - 0.3 for m in range(5, len(e)))}
@@ -155,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_entries:
             yield pd.DataFrame({"entry": [p for p, _ in seen], "y": [y for _, y in seen], "n": list(seen.values())})
 
     harmless = rows.mapInPandas(phrases, "entry string, y int, n long").groupBy("entry").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"))
-    exceptions = [r["entry"] for r in harmless.where("c >= 5 and t = 0").orderBy(F.desc("c"), "entry").limit(max_entries).collect()]
+    exceptions = [r["entry"] for r in harmless.where("c >= 5 and t = 0").orderBy("entry").collect()]
 
     def measured(batches):
         matcher = Matcher(lexicon, exceptions)

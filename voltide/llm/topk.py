@@ -1,11 +1,12 @@
 """Exact top-k inner products from an impact-ordered index, score at a time.
 
 Vectors are dealt to blocks of bounded size. A block's index has, for every dimension, segments of
-vectors whose component falls in the same band of values, with the band's bound as their impact.
-For a query the segments of all dimensions are processed by descending contribution, and bounded
-sums are gathered per vector. Processing stops only on proof: when what the remaining segments can
-still add leaves few vectors that could reach the k-th score known so far. Those are rescored
-exactly. The best of every block meet in one ranking per query.
+vectors whose component falls in the same band of values. For a query a segment's impact is the most
+that its band contributes; segments of all dimensions are processed by descending impact, and the
+impacts are gathered per vector. What a vector can still get is bounded, for each of its dimensions
+that is not processed yet, by the next impact, which in the end is below zero.
+A vector whose bound is below the k-th score known so far is proven out. Processing stops when so few
+are left that to rescore them exactly, which then is done, costs less than the postings to come. The best of every block meet in one ranking per query.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from voltide.llm.common import materialise
 
-BAND = 4  # bits: components within 16 of each other share a segment
+BAND = 1  # bits: components within 2 of each other share a segment
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -48,55 +49,51 @@ class Index:
         self.dim, self.low, self.high = np.array(self.dim, int), np.array(self.low), np.array(self.high)
         self.size = np.array([len(r) for r in self.rows], int)
 
-    def search(self, q: np.ndarray, own: int, k: int, rounds: int = 16) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to smaller ids, of all vectors but those called `own`."""
+    def search(self, q: np.ndarray, own: int, k: int, rounds: int = 24) -> list[tuple[int, int]]:
+        """The k best (score, id), ties to smaller ids, of all vectors but those called `own`.
+        `self.share` becomes the share of the postings that were processed."""
         x, n = self.x, len(self.ids)
-        most = np.maximum(q[self.dim] * self.low, q[self.dim] * self.high)  # bound of a segment
+        most = np.maximum(q[self.dim] * self.low, q[self.dim] * self.high)
         order = np.argsort(-most, kind="stable")
-        # after each segment, what the unprocessed ones can add at most, per dimension the next one
-        rest = np.full(len(q), -np.inf)
-        np.maximum.at(rest, self.dim, most)
-        bound = np.zeros(n)
-        todo = np.ones(n, bool)
-        todo[self.ids == own] = False
-        if not todo.any():
-            return []
+        ends = np.searchsorted(np.cumsum(self.size[order]), np.arange(1, rounds + 1) * self.size.sum() / rounds) + 1
+        bound, dims = np.zeros(n), np.full(n, float(len(q)))  # of dims not processed yet
+        alive = np.flatnonzero(self.ids != own)
         best: list[tuple[int, int]] = []
-        done = 0
-        step = max(1, -(-len(order) // rounds))
-        alive = np.flatnonzero(todo)
-        while done < len(order):
-            part = order[done : done + step]
-            done += step
+        at, left = 0, int(self.size.sum())
+        # on while the postings left cost more than to rescore the possible members
+        for end in ends:
+            if at >= len(order) or len(alive) <= 8 * k or len(alive) * len(q) <= left / 4:
+                break
+            end = min(max(int(end), at + 1), len(order))
+            part, at = order[at:end], end
             rows = np.concatenate([self.rows[s] for s in part])
             bound += np.bincount(rows, np.repeat(most[part], self.size[part]), n)
-            left = np.zeros(len(q))
-            if done < len(order):  # segments come by descending bound, so the next bounds them all
-                ahead = order[done:]
-                left = np.full(len(q), -np.inf)
-                np.maximum.at(left, self.dim[ahead], most[ahead])
-                left = np.where(np.isfinite(left), np.maximum(left, 0), 0)
-            upper = bound + left.sum()
-            top = alive[np.argpartition(-upper[alive], min(4 * k, len(alive) - 1))[: 4 * k]]
+            dims -= np.bincount(rows, minlength=n)
+            left -= len(rows)
+            coming = most[order[at]] if at < len(order) else 0.0  # impacts descend: no dimension adds more
+            upper = bound[alive] + dims[alive] * coming
+            top = alive[np.argpartition(-upper, min(4 * k, len(alive) - 1))[: 4 * k]]
             exact = x[top] @ q
-            best = sorted(((int(s), int(i)) for s, i in zip(exact, self.ids[top], strict=True)), key=lambda r: (-r[0], r[1]))[:k]
+            found = {*best, *((int(s), int(i)) for s, i in zip(exact, self.ids[top], strict=True))}
+            best = sorted(found, key=lambda r: (-r[0], r[1]))[:k]
             if len(best) == k:
-                alive = alive[upper[alive] >= best[-1][0]]  # proof: the others cannot reach the k-th
-            if len(alive) <= max(64, 8 * k):
-                break
+                alive = alive[upper >= best[-1][0] - 0.5]  # proof: the others cannot reach the k-th; scores are whole
+        self.share = float(self.size[order[:at]].sum() / max(self.size.sum(), 1))
         exact = x[alive] @ q
         keep = np.lexsort((self.ids[alive], -exact))[:k]
         both = {*best, *((int(exact[i]), int(self.ids[alive[i]])) for i in keep)}
         return sorted(both, key=lambda r: (-r[0], r[1]))[:k]
 
 
-def top_k(vectors: DataFrame, query: Column, k: int = 5, scale: int = 256, block_rows: int = 16_384, query_rows: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, query: Column, k: int = 5, scale: int = 256, block_rows: int = 16_384, query_rows: int = 16_384) -> DataFrame:
     """query_id, rank, vec_id, score: the `k` best inner products of every row that `query` marks
     against all rows but those with its own vec_id; ties go to the smaller vec_id.
 
     Rows that repeat a vec_id count as one if equal; with different vectors each is a candidate, and
     the query is the one with the least components. Vectors of another length than the query's are
-    not compared. Every vector is in exactly one block and every query meets every block.
+    not compared. Every vector is in exactly one block and every query meets every block: a task holds
+    one block and one part of the queries, `block_rows` and `query_rows` vectors at most, so both are
+    copied once for every `query_rows` queries and `block_rows` vectors.
     """
     rows = materialise(quantised(vectors, scale).distinct())
     n = rows.count()

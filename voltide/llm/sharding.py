@@ -14,6 +14,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltide.llm.common import unused
+
 SIZE = 2039  # prime, over a hundred slots per shard for 16 shards
 
 
@@ -46,11 +48,14 @@ def lookup_table(spark: SparkSession, shards: list[str], size: int = SIZE) -> Da
 
 
 def assign(df: DataFrame, key: str, shards: list[str], size: int = SIZE) -> DataFrame:
-    """Add slot and shard to the key of every row: key, slot, shard.
+    """Add slot and shard to the key of every row: key, slot, shard (with underscores in front where
+    the key has that name).
 
     The slot is the number in the first 12 hex digits of the key's MD5 modulo `size`; a null key
     counts as an empty text. Equal keys share a shard; an empty table gives an empty result.
     """
     slot = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long"), F.lit(size)).cast("int")
     placed = df.select(F.col(key).alias("key"), slot.alias("slot"))
-    return placed.join(F.broadcast(lookup_table(df.sparkSession, shards, size)), "slot").select(F.col("key").alias(key), F.col("slot").cast("long").alias("slot"), "shard")
+    own = df.select(key)
+    names = [F.col("key").alias(key), F.col("slot").cast("long").alias(unused(own, "slot")), F.col("shard").alias(unused(own, "shard"))]
+    return placed.join(F.broadcast(lookup_table(df.sparkSession, shards, size)), "slot").select(*names)

@@ -203,7 +203,8 @@ def fit(found: DataFrame, models: list[Model], columns: list[str]) -> DataFrame:
                     if wanted:
                         coef, intercept, second, offset = _vectors(g, m, place)
                         out.append((s, f, m.category, m.name, part, n, coef.tolist(), intercept, second.tolist(), offset))
-            yield pd.DataFrame(out, columns=["series", "fold", "category", "model", "part", "n", "coef", "intercept", "second", "offset"])
+            if out:
+                yield pd.DataFrame(out, columns=["series", "fold", "category", "model", "part", "n", "coef", "intercept", "second", "offset"])
 
     return found.mapInPandas(run, f"{_kinds(found, ['series', 'fold'])}, category string, model string, part string, n long, coef array<double>, intercept double, second array<double>, offset double")
 
@@ -214,7 +215,7 @@ def predict(test: DataFrame, fitted: DataFrame, limits: DataFrame, models: list[
     by = {(m.category, m.name): m for m in models}
     rows = test.join(F.broadcast(limits), ["series", "fold"]).select("series", "dt", "fold", "Y_fwd", "log_RV22", "limits", F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
 
-    def run(key, own: pd.DataFrame, solved: pd.DataFrame) -> pd.DataFrame:
+    def run(key, own, solved):
         out = []
         if len(own) and len(solved):
             x = np.stack(own["x"])

@@ -80,7 +80,8 @@ def gram(train: DataFrame, keys: list[str], columns: list[str], target: str, mos
             if len(parts) > most_keys:
                 yield frame(parts)
                 parts = {}
-        yield frame(parts)
+        if parts:
+            yield frame(parts)
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         got = None

@@ -178,7 +178,7 @@ def evaluate(panel: DataFrame, models: list[Logit], n_splits: int = 1, test: int
     rows = labelled(panel, columns, n_splits, test, min_train, quantile, lookback)
     rows = rows.select("series", "fold", "dt", "role", "usual", "label", "Y_fwd", "log_RV22", F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         pdf = pdf.sort_values("dt")
         train, own = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"]
         out = []

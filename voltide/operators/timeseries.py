@@ -88,7 +88,7 @@ def arima_forecasts(panel: DataFrame, orders=ARIMA_ORDERS, n_splits: int = 1, te
     value before): as many steps as the block has rows, exponentiated."""
     rows = folds(panel.dropna(subset=["log_Y", "Y_fwd"]), n_splits, test, min_train).select("series", "fold", "dt", "role", "log_Y", "Y_fwd")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         pdf = pdf.sort_values("dt")
         train, own = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"]
         y = pd.Series(train["log_Y"].to_numpy(), pd.DatetimeIndex(train["dt"])).asfreq("B").ffill().dropna().to_numpy()
@@ -149,7 +149,7 @@ def garch_forecasts(panel: DataFrame, orders=GARCH_ORDERS, horizon: int = 5, mul
     """Sums of the expected variances of the next `horizon` days for every test row."""
     rows = folds(panel.dropna(subset=["Returns", "Y_fwd"]), n_splits, test, min_train).select("series", "fold", "dt", "role", "Returns", "Y_fwd")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         pdf = pdf.sort_values("dt")
         r, n, own = pdf["Returns"].to_numpy(), int((pdf["role"] == "train").sum()), pdf[pdf["role"] == "test"]
         out = []
@@ -215,7 +215,7 @@ def _with_market(panel: DataFrame, n_splits: int, test: int, min_train: int) ->
 
 
 def dcc_forecasts(panel: DataFrame, horizon: int = 5, multiplier: float = 1.0, n_splits: int = 1, test: int = 252, min_train: int = 1260) -> DataFrame:
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         pdf = pdf.sort_values("dt")
         n, own = int((pdf["role"] == "train").sum()), pdf[pdf["role"] == "test"]
         value = Correlated(pdf["Returns"].to_numpy(), pdf["Market_Returns"].to_numpy(), n).scores(n, horizon) / multiplier**2
@@ -228,7 +228,7 @@ def dcc_spikes(panel: DataFrame, cs=(0.1, 1.0), quantile: float = 0.8, n_splits:
     """Logits on one number, the logarithm of the next day's score, which is filtered over the
     training rows once, in their own order."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         pdf = pdf.sort_values("dt")
         n, own = int((pdf["role"] == "train").sum()), pdf[pdf["role"] == "test"]
         y = pdf["Y_fwd"].to_numpy()

@@ -35,7 +35,7 @@ LEAST_FALL = 1e-4
 #: keeps statistics that depend on each other from making a matrix singular.
 RIDGE = 0.02
 #: Rows at which a group's own estimate weighs as much as the one that it is drawn towards.
-HALF_WEIGHT = 30
+HALF_WEIGHT = 100
 RANDOM_STARTS = 3
 #: Groups up to which their estimates are sent to all tasks (some 200 bytes each).
 MOST_SENT = 100_000

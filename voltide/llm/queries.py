@@ -88,11 +88,18 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def op8_sql() -> str:
-    owners = ",".join(str(k) for k in sharding.fill(SHARDS))
+    """The table is filled anew, turn by turn, from the names of the shards alone."""
+    names = ", ".join(f"('{s}')" for s in SHARDS)
+    number = lambda text: f"CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT)"
+    n, size = len(SHARDS), sharding.SIZE
     return f"""
-WITH t AS (SELECT string_split('{owners}', ',') AS o),
-k AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) % {sharding.SIZE} AS BIGINT) AS slot FROM documents)
-SELECT doc_id, slot, 'shard-' || lpad(o[slot + 1], 2, '0') AS shard FROM k, t
+WITH RECURSIVE s AS (SELECT shard, row_number() OVER (ORDER BY shard) - 1 AS k, {number("shard || '/offset'")} % {size} AS o, {number("shard || '/skip'")} % {size - 1} + 1 AS j FROM (VALUES {names}) t(shard)),
+p AS (SELECT list(list_transform(range({size}), lambda i: (o + i * j) % {size}) ORDER BY k) AS orders FROM s),
+f AS (SELECT 0 AS turn, list_transform(range({size}), lambda i: -1) AS owner
+  UNION ALL SELECT turn + 1, owner[1:slot] || [turn % {n}] || owner[slot + 2:] FROM (SELECT turn, owner, list_filter(orders[turn % {n} + 1], lambda z: owner[z + 1] = -1)[1] AS slot FROM f, p WHERE turn < {size})),
+t AS (SELECT owner FROM f WHERE turn = {size}),
+d AS (SELECT doc_id, {number("CAST(doc_id AS VARCHAR)")} % {size} AS slot FROM documents)
+SELECT doc_id, slot, 'shard-' || lpad(CAST(owner[slot + 1] AS VARCHAR), 2, '0') AS shard FROM d, t
 """
 
 

@@ -134,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, least_share:
                 for t in b["text"]:
                     own = {e for w in set(fold(t).split()) for e in entries(w)}
                     seen.update(own if keep is None else own & keep)
-                yield pd.DataFrame({"entry": list(seen), "n": list(seen.values())})
+                if seen:
+                    yield pd.DataFrame({"entry": list(seen), "n": list(seen.values())})
 
         return run
 
@@ -163,7 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, least_share:
                     own |= {f" {before[0]} {word[0]} "} if before else set()
                     own |= {f" {word[0]} {after[0]} "} if after else set()
                 seen.update((p, int(y)) for p in own)
-            yield pd.DataFrame({"entry": [p for p, _ in seen], "y": [y for _, y in seen], "n": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"entry": [p for p, _ in seen], "y": [y for _, y in seen], "n": list(seen.values())})
 
     harmless = rows.mapInPandas(phrases, "entry string, y int, n long").groupBy("entry").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"))
     exceptions = [r["entry"] for r in harmless.where("c >= 5 and t = 0").orderBy("entry").collect()]
@@ -171,6 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, least_share:
     def measured(batches):
         matcher = Matcher(lexicon, exceptions)
         for b in batches:
+            if not len(b):
+                continue
             yield pd.DataFrame([(*features(fold(t), matcher)[1:], float(y)) for t, y in zip(b["text"], b["y"], strict=True)], columns=["u", "v", "y"])
 
     got = np.array([tuple(r) for r in rows.mapInPandas(measured, "u double, v double, y double").collect()])

@@ -190,9 +190,9 @@ def listed(found: list[tuple[str, int, bool, bool]], short: int = 70, low: float
 
 def first_pass(text: str, linked: int, short: int = 70, long: int = 200, low: float = 0.1, high: float = 0.2, links: float = 0.3, usual: float | None = 0.3, inside: bool = False) -> str:
     """`usual` is the page's share of stop words; where no list fits (None), length and link density
-    decide. `inside` a marked article length decides nothing more, and a block with few stop words is
-    bad only if it has none at all, where so many words have none with a probability under 0.001 at
-    the usual share; else it is undecided."""
+    decide. A block with few stop words is undecided if so few words have none with a probability of
+    0.001 or more at the usual share, or if it is long and not without any; else it is bad. `inside` a
+    marked article length decides nothing more, and only a block without any stop word can be bad."""
     density = linked / max(len(text), 1)
     if density > links:
         return "bad"
@@ -203,8 +203,10 @@ def first_pass(text: str, linked: int, short: int = 70, long: int = 200, low: fl
     stop = counts[0] / max(counts[1], 1) if counts else None
     if stop is None or stop >= high:
         return "good" if inside or size > long else "near"
-    if stop >= low or (inside and (stop > 0 or (1 - usual) ** counts[1] >= 0.001)):
+    if stop >= low or (stop > 0 if inside else size > long and stop > low / 2):
         return "near"
+    if (1 - usual) ** counts[1] >= 0.001:  # too few words to tell
+        return "near" if inside else "short"
     return "bad"
 
 

@@ -543,6 +543,8 @@ SELECT series, dt, round(h, 4) + 0.0 AS variance FROM rc JOIN q USING (series, j
     "g_spike_summary": CLF_SUMMARY + ' SELECT "Category", "Model", ' + _rounded([f"mean_{n}" for n in _SCORES] + ["median_ROC_AUC"], 6) + ", n_tickers FROM s",
     "g_leaderboard": METRICS + """, w AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY "Category" ORDER BY round(mean_RMSE_log, 9), "Model") = 1) SELECT row_number() OVER (ORDER BY round(mean_RMSE_log, 9), "Category") AS place, "Category", "Model", round(mean_RMSE_log, 6) + 0.0 AS "mean_RMSE_log" FROM w""",
     "g_spike_leaderboard": CLF_SUMMARY + """, w AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY "Category" ORDER BY round("mean_ROC_AUC", 9) DESC NULLS LAST, "Model") = 1) SELECT row_number() OVER (ORDER BY round("mean_ROC_AUC", 9) DESC NULLS LAST, "Category") AS place, "Category", "Model", round("mean_ROC_AUC", 6) + 0.0 AS "mean_ROC_AUC" FROM w""",
+    "g_signed_rank_p": METRICS.replace("WITH ", "WITH RECURSIVE ", 1) + NET + SIGNED + """, dp AS (SELECT 0 AS r, list_transform(range(326), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS w UNION ALL SELECT r + 1, list_transform(w, lambda x, i: x + CASE WHEN i > r + 1 THEN w[i - r - 1] ELSE 0 END) FROM dp, t WHERE r < n), fin AS (SELECT w FROM dp, t WHERE r = n)
+SELECT t.*, u.*, round(least(1, 2 * list_sum(w[1:CAST(least(w_plus, w_minus) AS INTEGER) + 1]) / 2.0 ** n), 6) + 0.0 AS p_two_sided, round(list_sum(w[1:CAST(w_plus AS INTEGER) + 1]) / 2.0 ** n, 6) + 0.0 AS p_one_sided FROM t, u, fin""",
     "g_spike_signed_rank": CLF + """, b AS (SELECT "Category", "Ticker", "Model", avg("ROC_AUC") AS v FROM m GROUP BY 1, 2, 3), mm AS (SELECT "Category", "Model", avg(v) AS mm, "Category" LIKE '%[k=%' AS net FROM b GROUP BY 1, 2),
 win AS (SELECT * FROM mm QUALIFY row_number() OVER (PARTITION BY net ORDER BY round(mm, 9) DESC NULLS LAST, "Category", "Model") = 1), own AS (SELECT b.*, net FROM b JOIN win USING ("Category", "Model")),
 pd AS (SELECT x."Ticker", y.v - x.v AS delta FROM own x JOIN own y ON x."Ticker" = y."Ticker" AND x.net AND NOT y.net)""" + SIGNED + " SELECT t.*, u.* FROM t, u",

@@ -51,6 +51,16 @@ def discard(*done: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of a key and a few numbers, some 50 bytes each, up to which they are sent to all tasks.
+MOST_SENT = 500_000
+
+
+def looked_up(rows: DataFrame, narrow: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """Rows, texts and all, joined with a narrow written table: that is counted, and sent to all tasks
+    if it is small, so that texts are not shuffled; beyond that both sides are."""
+    return rows.join(F.broadcast(narrow) if narrow.count() <= MOST_SENT else narrow, keys, how)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """`name`, with as many underscores in front as keep it apart from the columns of `df`."""
     taken = {c.lower() for c in df.columns}

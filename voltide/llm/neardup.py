@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltide.llm.common import discard, materialise
+from voltide.llm.common import discard, looked_up, materialise
 
 #: Cells of the parity bound, in numbers of 64 bits.
 CELLS = 16
@@ -137,7 +137,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 part = b.iloc[a : a + 500]
                 yield pd.DataFrame({"rep": part["rep"], "s": [shingles(t, k).view(np.int64) for t in part["text"]]})
 
-    rows = docs.select(_text_key().alias("h"), "text").join(ids, "h").groupBy("rep").agg(F.first("text").alias("text"))
+    rows = looked_up(docs.select(_text_key().alias("h"), "text"), ids, "h").groupBy("rep").agg(F.first("text").alias("text"))
     return rows.mapInPandas(run, "rep long, s array<long>")
 
 

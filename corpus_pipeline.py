@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltide.llm import langid, mixing, neardup, pieces, toxicity
-from voltide.llm.common import keyed, materialise, table, unused
+from voltide.llm.common import keyed, looked_up, materialise, table, unused
 from voltide.llm.queries import tokenizer_path
 
 
@@ -34,8 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row of each group of near duplicates. Rows are told apart by a key of their own, so rows
     without an id or with a repeated one are documents like others; texts without words all stay."""
     rows, key = keyed(docs)
-    kept = neardup.near_duplicates(rows, k=5, row_key=key).where("kept").select(key)
-    return rows.join(kept, key, "left_semi").select(docs.columns)
+    others = materialise(neardup.near_duplicates(rows, k=5, row_key=key).where("not kept").select(key))
+    return looked_up(rows, others, key, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, key = keyed(docs)
     times = unused(rows, "copies")
     copies = mixing.mix(rows, row_key=key).where("copies > 0").select(key, F.array_repeat(F.lit(0), F.col("copies").cast("int")).alias(times))
-    mixed = rows.join(materialise(copies), key)
+    mixed = looked_up(rows, materialise(copies), key)
     return mixed.withColumn(times, F.explode(times)).select(docs.columns)
 
 

@@ -76,6 +76,10 @@ def keyed(df: DataFrame) -> tuple[DataFrame, str]:
     return materialise(df.withColumn(name, F.monotonically_increasing_id())), name
 
 
+#: Rows of a batch that are turned into Python objects at a time.
+SLICE = 1024
+
+
 def annotate(df: DataFrame, text: str, kind: T.StructType, make: Callable[[], Callable]) -> tuple[DataFrame, str]:
     """Add a struct column that is computed from `text` in Arrow batches; all columns of `df` stay.
 
@@ -89,12 +93,14 @@ def annotate(df: DataFrame, text: str, kind: T.StructType, make: Callable[[], Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
-        for batch in batches:
-            got = score(batch.column(at).to_pylist())
-            column = pa.StructArray.from_arrays(
-                [pa.array(got[f.name], type=f.type) for f in arrow], fields=list(arrow)
-            )
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
+        for whole in batches:
+            for a in range(0, whole.num_rows, SLICE):  # bounds what is held beside the batch itself
+                batch = whole.slice(a, SLICE)
+                got = score(batch.column(at).to_pylist())
+                column = pa.StructArray.from_arrays(
+                    [pa.array(got[f.name], type=f.type) for f in arrow], fields=list(arrow)
+                )
+                yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, schema), name
 

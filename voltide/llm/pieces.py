@@ -85,7 +85,7 @@ def encode(
     model_path: str,
     text: str = "text",
     add_end: bool = True,
-    most_chunks: int = 200_000,
+    most_chunks: int = 100_000,
     fields: tuple[str, ...] = ("ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"),
 ) -> tuple[DataFrame, str]:
     """Add a struct column with the named `fields`: ids (decimals joined by one space), the decoded

@@ -6,7 +6,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,6 +82,22 @@ def keyed(df: DataFrame) -> tuple[DataFrame, str]:
 SLICE = 1024
 
 
+#: Bytes of text that are turned into Python objects at a time; one longer text stands alone.
+SLICE_BYTES = 4_000_000
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most SLICE rows and SLICE_BYTES of the column `text`."""
+    for batch in batches:
+        ends = pc.cumulative_sum(pc.cast(pc.fill_null(pc.binary_length(batch.column(text)), 0), pa.int64())).to_numpy(zero_copy_only=False)
+        a = 0
+        while a < batch.num_rows:
+            before = ends[a - 1] if a else 0
+            b = min(max(a + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))), a + SLICE)
+            yield batch.slice(a, b - a)
+            a = min(b, batch.num_rows)
+
+
 def annotate(df: DataFrame, text: str, kind: T.StructType, make: Callable[[], Callable]) -> tuple[DataFrame, str]:
     """Add a struct column that is computed from `text` in Arrow batches; all columns of `df` stay.
 

@@ -10,17 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltide.llm import extraction, langid, licences, mixing, neardup, pieces, quality, sharding, topk, toxicity
+from voltide.llm import alignment, extraction, langid, licences, mixing, neardup, packing, pieces, quality, runs, sharding, topk, toxicity
 from voltide.llm.common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
 
-def tokenizer_path() -> str:
-    """Where the public vocabulary file is on this machine; a parameter of the operator."""
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where a public vocabulary file is on this machine; a parameter of the operators."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("piece_bpe_32k.model"))
+    return str(public_tokenizers.path(name))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_statistics(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +85,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_html_extraction, op3_exact_topk, op4_language_id, op5_license_scan, op6_minmax_neardup,
-        op7_sentencepiece, op8_sharding, op9_toxicity, op10_source_mixing, pipeline,
+        op7_sentencepiece, op8_sharding, op9_toxicity, op10_source_mixing, op11_best_fit_packing, op12_periodic_runs, op13_token_alignment, pipeline,
     )
 }
 

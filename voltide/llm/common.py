@@ -27,10 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one named in spark.checkpoint.dir. Where none
-    is named, a folder beside the warehouse, which is shared as well."""
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch/{spark.sparkContext.applicationId}"
-    return named.rstrip("/")
+    is named, a folder beside the warehouse; on a cluster that must not be a machine's own."""
+    if named := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share: the warehouse is a local folder")
+    return f"{warehouse}/_scratch/{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, *done: DataFrame) -> DataFrame:
@@ -86,7 +89,7 @@ SLICE = 1024
 SLICE_BYTES = 4_000_000
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str | int) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most SLICE rows and SLICE_BYTES of the column `text`."""
     for batch in batches:
         ends = pc.cumulative_sum(pc.cast(pc.fill_null(pc.binary_length(batch.column(text)), 0), pa.int64())).to_numpy(zero_copy_only=False)
@@ -111,14 +114,10 @@ def annotate(df: DataFrame, text: str, kind: T.StructType, make: Callable[[], Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
-        for whole in batches:
-            for a in range(0, whole.num_rows, SLICE):  # bounds what is held beside the batch itself
-                batch = whole.slice(a, SLICE)
-                got = score(batch.column(at).to_pylist())
-                column = pa.StructArray.from_arrays(
-                    [pa.array(got[f.name], type=f.type) for f in arrow], fields=list(arrow)
-                )
-                yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
+        for batch in slices(batches, at):  # bounds what is held beside the batch itself
+            got = score(batch.column(at).to_pylist())
+            column = pa.StructArray.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], fields=list(arrow))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, schema), name
 

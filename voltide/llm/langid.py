@@ -72,14 +72,17 @@ def _centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(docs: DataFrame, per_language: int = 400, k: int = 4) -> dict:
     """Learn from text and non-null lang of the documents that are not held out.
 
-    At most about `per_language` different texts of each language are used, chosen by a hash of the
-    text: the documented bound of this fit. Every language takes part. Returns arrays (dims, idf,
+    About `per_language` different texts of each language are used, chosen by a hash of the text: the
+    documented bound of this fit. Every language takes part with one text at least, that of the
+    smallest hash, however often its texts are repeated. Returns arrays (dims, idf,
     centroids, their languages, the least cosine by text length) that grow with the languages alone.
     """
     rows = docs.select("doc_id", "text", "lang").where(~F.coalesce(held_out("doc_id"), F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rate = materialise(rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("rate")))
+    hashed = rows.withColumn("draw", fraction("text", "langid"))
+    different = hashed.select("lang", "draw").distinct()  # numbers alone are shuffled
+    rate = materialise(different.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("rate"), F.min("draw").alias("first")))
     sent = F.broadcast(rate) if rate.count() <= MOST_SENT else rate
-    drawn = rows.join(sent, "lang").where(fraction("text", "langid") < F.col("rate")).dropDuplicates(["lang", "text"])
+    drawn = hashed.join(sent, "lang").where("draw < rate or draw = first").select("lang", "text").dropDuplicates()
 
     def vectors(batches):
         for b in batches:

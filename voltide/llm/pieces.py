@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding through a table of distinct marked words.
 
 No piece of a suitable model crosses from an ordinary character to a white space marker or holds a
-newline, so a marked text can be cut there and its chunks segmented one by one. Each Arrow batch is
-cut into chunks, each distinct chunk that the task has not met yet is segmented once, and the ids
-are joined back by position. The table lives as long as the task and is emptied at a fixed size, so
+newline, so a marked text can be cut there and its chunks segmented one by one. Each text is cut
+into chunks, each distinct chunk that the task has not met yet is segmented once, and the ids are
+joined back by position. The table lives as long as the task and is emptied at a fixed size, so
 memory is bounded and a lost executor costs nothing but its tasks.
 """
 
@@ -41,6 +41,7 @@ class ChunkTable:
         self.most, self.longest = most, longest
         self.ids: dict[str, str] = {}
         self.text: dict[str, str] = {}
+        self.long: list[str] = []  # chunks that are kept for their own text alone
         self.newline = self.sp.encode("\n")[-1]
         for i in range(len(self.sp)):
             piece = self.sp.id_to_piece(i)
@@ -59,23 +60,27 @@ class ChunkTable:
             self.text.update(zip(new, texts, strict=True))
         for c in chunks - self.ids.keys():  # runs of newlines
             self.ids[c], self.text[c] = " ".join([str(self.newline)] * len(c)), c
+            new.append(c)
+        self.long += [c for c in new if len(c) > self.longest]
 
     def forget(self) -> None:
         if len(self.ids) > self.most:
             self.ids.clear()
             self.text.clear()
         else:
-            for c in [c for c in self.ids if len(c) > self.longest]:
-                del self.ids[c], self.text[c]
-
-    def encode(self, texts: list[str | None], end: int | None) -> tuple[list[str], list[str]]:
-        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
-        cut = [CHUNK.findall(t) for t in marked]
-        self.learn(set().union(*map(set, cut)))
-        ids = [" ".join(map(self.ids.__getitem__, c)) for c in cut]
-        back = ["".join(map(self.text.__getitem__, c))[1:] for c in cut]
+            for c in self.long:
+                self.ids.pop(c, None)
+                self.text.pop(c, None)
+        self.long.clear()
+
+    def encode(self, text: str | None, end: int | None) -> tuple[str, str]:
+        """The ids of one text, as decimals joined by a space, and what they decode to."""
+        cut = CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
+        self.learn(set(cut))
+        ids = " ".join(map(self.ids.__getitem__, cut))
+        back = "".join(map(self.text.__getitem__, cut))[1:]
         if end is not None:
-            ids = [f"{i} {end}" if i else str(end) for i in ids]
+            ids = f"{ids} {end}" if ids else str(end)
         self.forget()
         return ids, back
 
@@ -103,23 +108,25 @@ def encode(
         chunks = ChunkTable(model.value, most_chunks)
         end = chunks.sp.eos_id() if add_end else None
 
-        def sha(texts):
-            return [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+        def sha(value):
+            return hashlib.sha256(value.encode()).hexdigest()
+
+        def values(text):
+            ids, back = chunks.encode(text, end)
+            found = {
+                "ids": lambda: ids,
+                "decoded": lambda: back,
+                "n_tokens": lambda: ids.count(" ") + 1 if ids else 0,
+                "ids_sha256": lambda: sha(ids),
+                "decoded_sha256": lambda: sha(back),
+            }
+            return [found[f]() for f in fields]
 
         def score(texts):
-            out = {f: [] for f in fields}
-            for a in range(0, len(texts), 256):  # bounds what a batch adds to the table
-                ids, back = chunks.encode(texts[a : a + 256], end)
-                values = {
-                    "ids": lambda: ids,
-                    "decoded": lambda: back,
-                    "n_tokens": lambda: [i.count(" ") + 1 if i else 0 for i in ids],
-                    "ids_sha256": lambda: sha(ids),
-                    "decoded_sha256": lambda: sha(back),
-                }
-                for f in fields:
-                    out[f] += values[f]()
-            return out
+            rows = []
+            for i, t in enumerate(texts):  # copies that stand together are segmented once
+                rows.append(rows[-1] if i and t == texts[i - 1] else values(t))
+            return dict(zip(fields, map(list, zip(*rows, strict=True)), strict=True)) if rows else {f: [] for f in fields}
 
         return score
 

@@ -7,9 +7,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from voltide import catalog, further, studies
+from voltide import catalog, evaluations, further, studies
 
-QUERIES, ORACLES = ({**getattr(catalog, n), **getattr(further, n), **getattr(studies, n)} for n in ("QUERIES", "ORACLES"))
+QUERIES, ORACLES = ({**getattr(catalog, n), **getattr(further, n), **getattr(studies, n), **getattr(evaluations, n)} for n in ("QUERIES", "ORACLES"))
 
 DIR = "/root/testdata/sf0.01"
 

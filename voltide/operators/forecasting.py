@@ -1,24 +1,20 @@
-"""Expanding-window evaluation of a catalogue of linear models for all series and folds at once.
+"""The catalogue of linear models, and each model as small solves on one cross-product matrix.
 
-The training rows of a (series, fold) become one cross-product matrix over all candidate columns,
-with and without outliers and by regime; every model of the catalogue is a small solve on it. A
-solved model is a vector over the same columns, so predictions of all models are one product.
+A solved model is a vector over all candidate columns, so predictions of many models are one product.
+`graphs` fits the catalogue for all series, folds and graphs at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltide.functions.features import folds
-from voltide.operators.models import Gram, _kinds, gram
+from voltide.operators.models import Gram, solve_all
 from voltide.operators.network import VALUES
-from voltide.sources.store import written
 
 # The column sets that the models are defined by.
 MARKET = ["Market_Returns", "log_Market_RV5", "log_Market_RV22"]
@@ -28,7 +24,7 @@ STRUCTURE = ["net_degree", "net_degree_change"]
 CLUSTERING = ["net_node_clustering", "net_global_clustering", "net_avg_abs_corr"]
 OUTLIER_COLUMNS = ["log_RV1", "log_RV5", "log_RV22", "log_Y"]
 ALPHAS = (0.2, 0.1, 0.05, 0.01)
-RIDGES = (0.01, 0.1, 1.0)
+RIDGES = ("0.01", "0.10", "1.0")  # as the models' names have them
 
 
 def unique(columns: list[str]) -> list[str]:
@@ -44,10 +40,6 @@ def net_features(clustering: bool = False, split: bool = False) -> list[str]:
     return STRUCTURE + means + (CLUSTERING if clustering else [])
 
 
-def rank_features(k: int) -> list[str]:
-    return [f"net_nn{r}_{c}" for r in range(k) for c in VALUES] + [f"net_nn{r}_dist" for r in range(k)]
-
-
 @dataclass(frozen=True)
 class Model:
     """One entry of the catalogue. `own` are its columns (of the first stage, if it has a second);
@@ -92,13 +84,14 @@ def baselines(market: bool = True) -> list[Model]:
 def network_models(category: str, clustering: bool = False, split: bool = False, market: bool = True) -> list[Model]:
     end = {(0, 0): "", (1, 0): "+C", (0, 1): "-Split", (1, 1): "+CSplit"}[clustering, split]
     har, net = tuple(har_features(True, market, True)), tuple(net_features(clustering, split))
-    one = [Model(category, f"NetHAR{end} (Lasso a={a:.2f})", har + net, lasso=a) for a in ALPHAS]
+    one = [Model(category, f"NetHAR{end} (Lasso a={'0.1' if split and clustering and a == 0.1 else format(a, '.2f')})", har + net, lasso=a) for a in ALPHAS]
     one += [Model(category, f"NetHAR{end} (OLS)", har + net)]
-    one += [Model(category, f"NetHAR{end} (Ridge a={a:g})", har + net, ridge=a) for a in RIDGES]
+    one += [Model(category, f"NetHAR{end} (Ridge a={a})", har + net, ridge=float(a)) for a in RIDGES]
     pairs = [(0.0, 0.5), (0.0, 1.0), (0.0, None), (0.1, 0.5), (0.5, 0.5), (0.1, 1.0), (0.1, None)]
     if split:
         pairs = [(a, b) for a, b in pairs if (a, b) not in ((0.0, 1.0), (0.5, 0.5))]
-    two = [Model(category, f"NetworkVAR{end} (a={a}, b={b})", har, net=net, stage2=a, bound=b) for a, b in pairs]
+    apart = "," if split and clustering else ", "
+    two = [Model(category, f"NetworkVAR{end} (a={a}{apart}b={b})", har, net=net, stage2=a, bound=b) for a, b in pairs]
     return with_clean_twins(one + two)
 
 
@@ -107,7 +100,7 @@ def learned_models(category: str, k: int, clustering: bool = False, market: bool
     end = "+C" if clustering else ""
     out = []
     for m in range(1, k):
-        out += [Model(category, f"LearnedW{end} (m={m}, Ridge a={a:g})", own, ridge=a, learned=m, k=k) for a in (0.01, 1.0, 0.1)]
+        out += [Model(category, f"LearnedW{end} (m={m}, Ridge a={a})", own, ridge=a, learned=m, k=k) for a in (0.01, 1.0, 0.1)]
         out += [Model(category, f"LearnedW{end} (m={m}, Lasso a={a:g})", own, lasso=a, learned=m, k=k) for a in (0.01, 0.05)]
     return with_clean_twins(out)
 
@@ -135,7 +128,7 @@ def needed(columns: list[str]) -> list[str]:
     return unique([c for c in columns if not c.startswith("net_")] + ["log_Y", "log_RV22"])
 
 
-def _marked(rows: DataFrame, limit: float = 3.0) -> DataFrame:
+def marked(rows: DataFrame, limit: float = 3.0) -> DataFrame:
     """Training rows with `usual`: no outlier column is `limit` deviations or more from its mean."""
     w = Window.partitionBy("series", "fold")
     usual = F.lit(True)
@@ -150,120 +143,77 @@ def thresholds(train: DataFrame, quantiles: list[float], column: str = "log_RV22
     return train.groupBy("series", "fold").agg(F.array(*(F.percentile(column, F.lit(q)) for q in quantiles)).alias("limits"))
 
 
-def grams(train: DataFrame, columns: list[str], target: str, quantiles: list[float]) -> DataFrame:
-    """series, fold, part and the cross products: part is `all`, `usual`, or `q/0` and `q/1` for the
-    rows up to and beyond quantile q."""
-    rows = _marked(train).join(F.broadcast(thresholds(train, quantiles)), ["series", "fold"])
-    parts = [F.lit("all"), F.when(F.col("usual"), "usual")]
-    parts += [F.concat(F.lit(f"{q:g}/"), (F.col("log_RV22") > F.col("limits")[i]).cast("int").cast("string")) for i, q in enumerate(quantiles)]
-    rows = rows.withColumn("part", F.explode(F.array_compact(F.array(*parts))))
-    return gram(rows, ["series", "fold", "part"], columns, target)
+class Plan:
+    """The regressions that a model is made of on one set of cross products: `first`, those that need no
+    other, and `then`, those against the residuals of the first."""
+
+    def __init__(self, g: Gram, m: Model, place: dict[str, int]):
+        self.g, self.m = g, m
+        self.p = len(place)
+        self.own = np.array([place[c] for c in (m.own if m.net else m.columns)])
+        self.net = np.array([place[c] for c in m.net], int)
+        self.weights = learned_weights(g, m, place) if m.learned else None
+        turn = _turn(m, self.weights) if m.learned else None
+        self.first = [g.problem(self.own, turn=turn) if m.net else g.problem(self.own, ridge=m.ridge, lasso=m.lasso, turn=turn)]
+        self.second: list = []
+
+    def then(self) -> list:
+        if self.m.net:
+            left = self.g.g[self.net, -1] - self.g.g[np.ix_(self.net, self.own)] @ self.first[0].coef
+            self.second = [self.g.problem(self.net, left, ridge=self.m.stage2)]
+        return self.second
+
+    def result(self) -> tuple[int, np.ndarray, float, np.ndarray, float]:
+        """n, coefficients and intercept over all columns, and those of the second stage."""
+        coef, second = np.zeros(self.p), np.zeros(self.p)
+        coef[self.own] = self.first[0].coef
+        if self.second:
+            second[self.net] = self.second[0].coef
+        mean = self.g.mean
+        return self.g.n, coef, float(mean[-1] - coef @ mean[:-1]), second, float(-second @ mean[:-1])
+
+
+    def parameters(self) -> list[tuple[str, str, float]]:
+        """kind, name, value of all that is learned: means and scales of the columns, coefficients of the
+        scaled ones, zeros among them, intercepts, those of the second stage, and the projection."""
+        m, mean = self.m, self.g.mean
+        names = [*m.own] if m.net else [*m.columns] if not m.learned else [*m.own, *(f"z{i}_{c}" for c in VALUES for i in range(m.learned))]
+        out = [("intercept", "", float(mean[-1]))]
+        stages = [("", names, self.first[0], self.own)] + [("2", [*m.net], s, self.net) for s in self.second]
+        for end, own, s, at in stages:
+            middle = mean[at] if s.turn is None else s.turn @ mean[at]
+            out += [(f"{kind}{end}", c, float(v)) for kind, values in (("mean", middle), ("scale", s.sd), ("coef", s.beta)) for c, v in zip(own, values, strict=True)]
+        if self.weights is not None:
+            out += [("projection", f"{r}/{c}", float(v)) for r, w in enumerate(self.weights) for c, v in enumerate(w)]
+        return out
+
+
+def learned_weights(g: Gram, m: Model, place: dict[str, int]) -> np.ndarray:
+    """The first right singular vectors of the neighbours' values, all columns stacked."""
+    rank = np.array([[place[f"net_nn{r}_{c}"] for r in range(m.k)] for c in VALUES])
+    middle = g.mean[rank].mean(0)
+    second_moment = sum(g.g[np.ix_(r, r)] + g.n * np.outer(g.mean[r] - middle, g.mean[r] - middle) for r in rank)
+    return np.linalg.eigh(second_moment)[1][:, ::-1][:, : m.learned].T
+
+
+def _turn(m: Model, weights: np.ndarray) -> np.ndarray:
+    """The linear combinations of the model's columns that it is solved on."""
+    turn = np.zeros((len(m.own) + len(VALUES) * m.learned, len(m.columns)))
+    where = {c: i for i, c in enumerate(m.columns)}
+    for i, c in enumerate(m.own):
+        turn[i, where[c]] = 1
+    for f, c in enumerate(VALUES):
+        for r in range(m.k):
+            turn[len(m.own) + f * m.learned : len(m.own) + (f + 1) * m.learned, where[f"net_nn{r}_{c}"]] = weights[:, r]
+    return turn
 
 
 def _vectors(g: Gram, m: Model, place: dict[str, int]) -> tuple[np.ndarray, float, np.ndarray, float]:
     """Coefficients and intercept of a model over all columns, and those of its second stage."""
-    p = len(place)
-    coef, second = np.zeros(p), np.zeros(p)
-    at = np.array([place[c] for c in m.columns])
-    if m.learned:
-        rank = np.array([[place[f"net_nn{r}_{c}"] for r in range(m.k)] for c in VALUES])
-        middle = g.mean[rank].mean(0)
-        second_moment = sum(g.g[np.ix_(r, r)] + g.n * np.outer(g.mean[r] - middle, g.mean[r] - middle) for r in rank)
-        weights = np.linalg.eigh(second_moment)[1][:, ::-1][:, : m.learned].T
-        turn = np.zeros((len(m.own) + len(VALUES) * m.learned, len(at)))
-        where = {c: i for i, c in enumerate(m.columns)}
-        for i, c in enumerate(m.own):
-            turn[i, where[c]] = 1
-        for f, c in enumerate(VALUES):
-            for r in range(m.k):
-                turn[len(m.own) + f * m.learned : len(m.own) + (f + 1) * m.learned, where[f"net_nn{r}_{c}"]] = weights[:, r]
-        coef[at] = g.solve(at, ridge=m.ridge, lasso=m.lasso, turn=turn)
-    elif m.net:
-        own, net = np.array([place[c] for c in m.own]), np.array([place[c] for c in m.net])
-        coef[own] = g.solve(own)
-        left = g.g[net, -1] - g.g[np.ix_(net, own)] @ coef[own]  # with the first stage's residuals
-        second[net] = g.solve(net, left, ridge=m.stage2)
-    else:
-        coef[at] = g.solve(at, ridge=m.ridge, lasso=m.lasso)
-    return coef, float(g.mean[-1] - coef @ g.mean[:-1]), second, float(-second @ g.mean[:-1])
-
-
-def fit(found: DataFrame, models: list[Model], columns: list[str]) -> DataFrame:
-    """series, fold, category, model, part, n, coef, intercept, second, offset: every model solved on
-    the parts that it uses; a regime model on both regimes and on all rows, the fallback."""
-    place = {c: i for i, c in enumerate(columns)}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for s, f, part, n, mean, cross in zip(b["series"], b["fold"], b["part"], b["n"], b["mean"], b["cross"], strict=True):
-                g = Gram(n, mean, cross)
-                for m in models:
-                    wanted = part == ("usual" if m.clean else "all") or (m.regime is not None and part.startswith(f"{m.regime:g}/"))
-                    if wanted:
-                        coef, intercept, second, offset = _vectors(g, m, place)
-                        out.append((s, f, m.category, m.name, part, n, coef.tolist(), intercept, second.tolist(), offset))
-            if out:
-                yield pd.DataFrame(out, columns=["series", "fold", "category", "model", "part", "n", "coef", "intercept", "second", "offset"])
-
-    return found.mapInPandas(run, f"{_kinds(found, ['series', 'fold'])}, category string, model string, part string, n long, coef array<double>, intercept double, second array<double>, offset double")
-
-
-def predict(test: DataFrame, fitted: DataFrame, limits: DataFrame, models: list[Model], columns: list[str], quantiles: list[float], least: int = 30) -> DataFrame:
-    """series, dt, category, model, fold, y_true, y_pred of every test row and model. A group holds
-    one series' test block and its models."""
-    by = {(m.category, m.name): m for m in models}
-    rows = test.join(F.broadcast(limits), ["series", "fold"]).select("series", "dt", "fold", "Y_fwd", "log_RV22", "limits", F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
-
-    def run(key, own, solved):
-        out = []
-        if len(own) and len(solved):
-            x = np.stack(own["x"])
-            level, cut = own["log_RV22"].to_numpy(), dict(zip(quantiles, own["limits"].iloc[0], strict=True))
-            for (category, name), parts in solved.groupby(["category", "model"], sort=False):
-                m = by[category, name]
-                got = {}
-                for part, n, coef, intercept, second, offset in zip(parts["part"], parts["n"], parts["coef"], parts["intercept"], parts["second"], parts["offset"], strict=True):
-                    extra = x @ np.asarray(second) + offset if m.net else 0.0
-                    extra = np.clip(extra, -m.bound, m.bound) if m.net and m.bound is not None else extra
-                    got[part] = (n, x @ np.asarray(coef) + intercept + extra)
-                value = got["usual" if m.clean else "all"][1]
-                if m.regime is not None:
-                    high = level > cut[m.regime]
-                    for r, on in ((0, ~high), (1, high)):
-                        n, there = got.get(f"{m.regime:g}/{r}", (0, None))
-                        if n >= least:
-                            value = np.where(on, there, value)
-                out.append(pd.DataFrame({"series": key[0], "dt": own["dt"], "category": category, "model": name, "fold": key[1], "y_true": own["Y_fwd"], "y_pred": np.exp(value)}))
-        return pd.concat(out) if out else pd.DataFrame({"series": [], "dt": [], "category": [], "model": [], "fold": [], "y_true": [], "y_pred": []})
-
-    keys = ["series", "fold"]
-    return rows.groupBy(*keys).cogroup(fitted.groupBy(*keys)).applyInPandas(run, "series string, dt date, category string, model string, fold int, y_true double, y_pred double")
-
-
-def evaluate(panel: DataFrame, models: list[Model], n_splits: int = 1, test: int = 252, min_train: int = 1260) -> tuple[DataFrame, DataFrame]:
-    """The predictions and the fitted parts of every model for all series and folds."""
-    columns = unique([c for m in models for c in m.columns])
-    quantiles = sorted({m.regime for m in models if m.regime is not None} | {0.5})
-    # written, as training and test rows are read several times
-    rows = written(folds(fill_net(panel.dropna(subset=needed(columns))), n_splits, test, min_train))
-    train = rows.where("role = 'train'")
-    fitted = fit(grams(train, columns, "log_Y", quantiles), models, columns)
-    return predict(rows.where("role = 'test'"), fitted, thresholds(train, quantiles), models, columns, quantiles), fitted
-
-
-def parameters(fitted: DataFrame, models: list[Model]) -> DataFrame:
-    """series, fold, category, model, part, stage, name, value: intercepts and the coefficients, on
-    the original scale, of the columns that a model uses."""
-    columns = unique([c for m in models for c in m.columns])
-    names = F.array(*map(F.lit, columns))
-    keys = ["series", "fold", "category", "model", "part"]
-    out = None
-    for stage, (coef, intercept) in enumerate((("coef", "intercept"), ("second", "offset")), 1):
-        own = fitted.select(*keys, F.explode(F.map_from_arrays(F.concat(F.array(F.lit("intercept")), names), F.concat(F.array(intercept), coef))).alias("name", "value"))
-        own = own.where("value <> 0").select(*keys, F.lit(stage).alias("stage"), "name", "value")
-        out = own if out is None else out.unionByName(own)
-    return out
+    plan = Plan(g, m, place)
+    solve_all(plan.first)
+    solve_all(plan.then())
+    return plan.result()[1:]
 
 
 def merge_predictions(*stores: DataFrame) -> DataFrame:

@@ -104,37 +104,101 @@ class Gram:
         g[np.triu_indices(p)] = cross
         self.n, self.mean, self.g = int(n), np.asarray(mean, float), g + np.triu(g, 1).T
 
-    def solve(self, at: np.ndarray, target: np.ndarray | None = None, ridge: float = 0.0, lasso: float = 0.0, turn: np.ndarray | None = None) -> np.ndarray:
-        """Coefficients, on the original scale, of the columns `at` (or of linear combinations of
-        them, rows of `turn`) against the cross products `target` (with the last column if None)."""
+    @classmethod
+    def whole(cls, n: int, mean: np.ndarray, g: np.ndarray) -> Gram:
+        """From the full matrix."""
+        out = cls.__new__(cls)
+        out.n, out.mean, out.g = int(n), mean, g
+        return out
+
+    def problem(self, at: np.ndarray, target: np.ndarray | None = None, ridge: float = 0.0, lasso: float = 0.0, turn: np.ndarray | None = None) -> Standard:
+        """The regression of the columns `at` (or of linear combinations of them, rows of `turn`) on the
+        cross products `target` (with the last column if None)."""
         a = self.g[np.ix_(at, at)]
         b = self.g[at, -1] if target is None else target
         if turn is not None:
             a, b = turn @ a @ turn.T, turn @ b
-        sd = np.sqrt(np.maximum(np.diag(a), 0) / self.n)
+        return Standard(self.n, a, b, ridge, lasso, turn)
+
+    def solve(self, *args, **more) -> np.ndarray:
+        """Coefficients of `problem`, on the original scale."""
+        one = self.problem(*args, **more)
+        solve_all([one])
+        return one.coef
+
+
+class Standard:
+    """A regression on standardised columns: cross products, right side, penalties; `coef`, on the
+    original scale, once `solve_all` has been through."""
+
+    def __init__(self, n: int, a: np.ndarray, b: np.ndarray, ridge: float, lasso: float, turn: np.ndarray | None):
+        sd = np.sqrt(np.maximum(np.diag(a), 0) / n)
         sd[sd <= 1e-12] = 1
-        beta = _standard(a / np.outer(sd, sd), b / sd, self.n, ridge, lasso) / sd
-        return beta if turn is None else turn.T @ beta
-
-
-def _standard(a: np.ndarray, b: np.ndarray, n: int, ridge: float, lasso: float) -> np.ndarray:
-    if lasso:  # coordinate descent on the cross products
-        beta, rest, own = np.zeros(len(b)), b.copy(), np.diag(a)
-        for _ in range(20_000):
-            most = 0.0
-            for j in np.flatnonzero(own > 0):
-                z = rest[j] + own[j] * beta[j]
-                new = np.sign(z) * max(abs(z) - n * lasso, 0) / own[j]
-                if new != beta[j]:
-                    rest -= a[:, j] * (new - beta[j])
-                    most = max(most, abs(new - beta[j]))
-                    beta[j] = new
-            if most < 1e-9:
-                break
-        return beta
-    if ridge:
-        return np.linalg.solve(a + ridge * np.eye(len(b)), b)
-    return np.linalg.lstsq(a, b, rcond=1e-12)[0]  # the shortest solution where columns depend on each other
+        self.n, self.a, self.b, self.sd, self.ridge, self.lasso, self.turn = n, a / np.outer(sd, sd), b / sd, sd, ridge, lasso, turn
+        self.coef = np.zeros(0)
+
+    def take(self, beta: np.ndarray) -> None:
+        self.beta = beta  # of the standardised columns
+        beta = beta / self.sd
+        self.coef = beta if self.turn is None else self.turn.T @ beta
+
+
+def solve_all(problems: list[Standard]) -> None:
+    """Solve many small regressions; those of one size and kind in one call."""
+    groups: dict[tuple, list[Standard]] = {}
+    for s in problems:
+        groups.setdefault((len(s.b), "lasso" if s.lasso else "ridge" if s.ridge else "plain"), []).append(s)
+    for (p, kind), own in groups.items():
+        a, b = np.stack([s.a for s in own]), np.stack([s.b for s in own])
+        if kind == "lasso":
+            beta = _lasso(a, b, np.array([s.n * s.lasso for s in own]))
+        elif kind == "ridge":
+            beta = np.linalg.solve(a + np.array([s.ridge for s in own])[:, None, None] * np.eye(p), b[..., None])[..., 0]
+        else:  # the shortest solution where columns depend on each other
+            beta = (np.linalg.pinv(a, rcond=1e-12, hermitian=True) @ b[..., None])[..., 0] if p else b
+        for s, v in zip(own, beta, strict=True):
+            s.take(v)
+
+
+def _lasso(a: np.ndarray, b: np.ndarray, limit: np.ndarray, rounds: int = 20_000, every: int = 10) -> np.ndarray:
+    """Coordinate descent on the cross products of all problems at once. Every so often the equations of
+    the columns that take part are solved with the signs they have; where that is the optimum (signs
+    stay, and no other column's slope exceeds the limit) the problem is done."""
+    beta, out = np.zeros_like(b), np.zeros_like(b)
+    left = np.arange(len(b))
+    rest, own = b.copy(), np.einsum("ijj->ij", a).copy()
+    for turn in range(rounds):
+        before = beta.copy()
+        for j in range(b.shape[1]):
+            d = own[:, j]
+            z = rest[:, j] + d * beta[:, j]
+            new = np.where(d > 0, np.sign(z) * np.maximum(np.abs(z) - limit, 0) / np.where(d > 0, d, 1), 0)
+            rest -= a[:, :, j] * (new - beta[:, j])[:, None]
+            beta[:, j] = new
+        done = np.abs(beta - before).max(1, initial=0) < 1e-9
+        found = beta
+        if turn % every == every - 1:
+            on = beta != 0
+            m = a * (on[:, :, None] & on[:, None, :])
+            np.einsum("ijj->ij", m)[...] += ~on
+            sign = np.sign(beta)
+            rhs = np.where(on, b - limit[:, None] * sign, 0)
+            try:
+                exact = np.linalg.solve(m, rhs[..., None])[..., 0]
+            except np.linalg.LinAlgError:
+                exact = beta
+            slope = b - (a @ exact[..., None])[..., 0]
+            good = (np.where(on, np.sign(exact) == sign, True) & (np.abs(np.where(on, slope - limit[:, None] * sign, 0)) <= 1e-7 * limit[:, None]) & (np.abs(np.where(on, 0, slope)) <= limit[:, None] * (1 + 1e-9))).all(1)
+            found = np.where(good[:, None], exact, beta)
+            done |= good
+        if done.any():
+            out[left[done]] = found[done]
+            keep = ~done
+            left, a, b, limit, beta, rest, own = (v[keep] for v in (left, a, b, limit, beta, rest, own))
+            if not len(left):
+                return out
+    out[left] = beta
+    return out
 
 
 def solve_one(n: int, mean: np.ndarray, cross: np.ndarray, ridge: float = 0.0, lasso: float = 0.0) -> tuple[np.ndarray, float]:

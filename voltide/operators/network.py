@@ -202,40 +202,61 @@ def threshold_edges(pairs: DataFrame, limit: float) -> DataFrame:
     return both_ways(pairs).where(F.col("d") < limit)
 
 
-def nodes(pairs: DataFrame) -> DataFrame:
+# Functions of graphs take further key columns, `by`, if they get the edges of several graphs of a
+# snapshot at once.
+
+
+def nodes(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """snapshot, src of every series that is in a snapshot, isolates included."""
-    return pairs.select("snapshot", F.explode(F.array("s1", "s2")).alias("src")).distinct()
+    return pairs.select(*by, "snapshot", F.explode(F.array("s1", "s2")).alias("src")).distinct()
 
 
-def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def degrees(nodes: DataFrame, edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Degree of every node, 0 for isolates."""
-    n = edges.groupBy("snapshot", "src").agg(F.count(F.lit(1)).alias("n"))
-    return nodes.join(n, ["snapshot", "src"], "left").select("snapshot", "src", F.coalesce("n", F.lit(0)).alias("degree"))
+    keys = [*by, "snapshot", "src"]
+    n = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return nodes.join(n, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("degree"))
 
 
-def turnover(edges: DataFrame, nodes: DataFrame, step: int) -> DataFrame:
+def turnover(edges: DataFrame, nodes: DataFrame, step: int, by: tuple[str, ...] = ()) -> DataFrame:
     """1 - |previous and current neighbours| / max(1, degree); null where the node was absent."""
-    deg = degrees(nodes, edges)
-    before = edges.select((F.col("snapshot") + step).alias("snapshot"), "src", "dst")
-    same = edges.join(before, ["snapshot", "src", "dst"]).groupBy("snapshot", "src").agg(F.count(F.lit(1)).alias("same"))
-    was = nodes.select((F.col("snapshot") + step).alias("snapshot"), "src", F.lit(True).alias("was"))
-    out = deg.join(was, ["snapshot", "src"], "left").join(same, ["snapshot", "src"], "left")
-    return out.select("snapshot", "src", "degree", F.when(F.col("was"), 1 - F.coalesce("same", F.lit(0)) / F.greatest("degree", F.lit(1))).alias("turnover"))
-
-
-def clustering(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Local clustering coefficient by joining edges to triangles; 0 below two neighbours."""
-    e = edges.select("snapshot", "src", "dst")
-    two = e.select("snapshot", F.col("src").alias("c"), F.col("dst").alias("a")).join(e.select("snapshot", F.col("src").alias("c"), F.col("dst").alias("b")), ["snapshot", "c"]).where("a < b")
-    closed = two.join(e.select("snapshot", F.col("src").alias("a"), F.col("dst").alias("b")), ["snapshot", "a", "b"]).groupBy("snapshot", F.col("c").alias("src")).agg(F.count(F.lit(1)).alias("t"))
-    d = degrees(nodes, edges).join(closed, ["snapshot", "src"], "left")
+    keys = [*by, "snapshot", "src"]
+    deg = degrees(nodes, edges, by)
+    before = edges.select(*by, (F.col("snapshot") + step).alias("snapshot"), "src", "dst")
+    same = edges.join(before, [*keys, "dst"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("same"))
+    was = nodes.select(*by, (F.col("snapshot") + step).alias("snapshot"), "src", F.lit(True).alias("was"))
+    out = deg.join(was, keys, "left").join(same, keys, "left")
+    return out.select(*keys, "degree", F.when(F.col("was"), 1 - F.coalesce("same", F.lit(0)) / F.greatest("degree", F.lit(1))).alias("turnover"))
+
+
+def triangles(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The keys, src and t, the number of triangles that a node is in, where there are any.
+
+    Each edge is directed from the end with fewer neighbours to the one with more (ties by name), and
+    two edges that leave a node are looked up for the third. A node that is left by n edges has n
+    neighbours with n edges each at least, so n is no more than the root of twice the graph's edges:
+    a hub's neighbours are never paired with one another."""
+    keys = [*by, "snapshot"]
+    e = edges.select(*keys, "src", "dst")
+    n = e.groupBy(*keys, "src").agg(F.count(F.lit(1)).alias("n"))
+    sized = e.join(n, [*keys, "src"]).join(n.select(*keys, F.col("src").alias("dst"), F.col("n").alias("m")), [*keys, "dst"])
+    up = sized.where(F.struct("n", "src") < F.struct("m", "dst")).select(*keys, F.col("src").alias("c"), F.col("dst").alias("a"))
+    two = up.join(up.withColumnRenamed("a", "b"), [*keys, "c"]).where("a < b")
+    closed = two.join(e.select(*keys, F.col("src").alias("a"), F.col("dst").alias("b")), [*keys, "a", "b"])
+    return closed.select(*keys, F.explode(F.array("a", "b", "c")).alias("src")).groupBy(*keys, "src").agg(F.count(F.lit(1)).alias("t"))
+
+
+def clustering(edges: DataFrame, nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Local clustering coefficient from the triangles; 0 below two neighbours."""
+    keys = [*by, "snapshot", "src"]
+    d = degrees(nodes, edges, by).join(triangles(edges, by), keys, "left")
     value = F.when(F.col("degree") < 2, 0.0).otherwise(2 * F.coalesce("t", F.lit(0)) / (F.col("degree") * (F.col("degree") - 1)))
-    return d.select("snapshot", "src", value.alias("clustering"))
+    return d.select(*keys, value.alias("clustering"))
 
 
-def global_clustering(local: DataFrame) -> DataFrame:
+def global_clustering(local: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean local coefficient over all nodes of a snapshot, isolates included."""
-    return local.groupBy("snapshot").agg(F.avg("clustering").alias("clustering"))
+    return local.groupBy(*by, "snapshot").agg(F.avg("clustering").alias("clustering"))
 
 
 def with_saved_signs(edges: DataFrame, pairs: DataFrame, stride: int) -> DataFrame:
@@ -245,7 +266,7 @@ def with_saved_signs(edges: DataFrame, pairs: DataFrame, stride: int) -> DataFra
     numbered = pairs.select("snapshot").distinct().withColumn("o", F.row_number().over(order) - 1)
     source = numbered.select("snapshot", (F.col("o") - F.col("o") % stride).alias("o")).join(numbered.select("o", F.col("snapshot").alias("saved")), "o").drop("o")
     known = pairs.select(F.col("snapshot").alias("saved"), "s1", "s2", F.col("rho").alias("rho"))
-    e = edges.drop("rho").join(F.broadcast(source), "snapshot").withColumn("s1", F.least("src", "dst")).withColumn("s2", F.greatest("src", "dst"))
+    e = edges.drop("rho").join(source, "snapshot").withColumn("s1", F.least("src", "dst")).withColumn("s2", F.greatest("src", "dst"))
     return e.join(known, ["saved", "s1", "s2"], "left").select("snapshot", "src", "dst", "d", "rho")
 
 
@@ -260,29 +281,42 @@ def neighbour_means(edges: DataFrame, values: DataFrame, column: str, kernel: st
     return out.select("snapshot", "src", *(F.col(f"net_idw{s}_{column}").alias(f"idw{s}") for s in ("", "_pos", "_neg")))
 
 
-def neighbour_features(edges: DataFrame, values: DataFrame, columns: list[str], kernel: str = "inverse", rate: float = 5.0) -> DataFrame:
+def neighbour_features(edges: DataFrame, values: DataFrame, columns: list[str], kernel: str | Column = "inverse", rate: float = 5.0, by: tuple[str, ...] = ()) -> DataFrame:
     """net_idw_{c}, net_idw_pos_{c} and net_idw_neg_{c} of all columns from one join; missing values
-    are skipped, a mean of none is null."""
+    are skipped, a mean of none is null. `kernel` may be the weights' expression."""
     v = values.select(F.col("i").alias("snapshot"), F.col("series").alias("dst"), *columns)
-    rows = edges.join(v, ["snapshot", "dst"]).withColumn("w", _weight(kernel, rate))
+    rows = edges.join(v, ["snapshot", "dst"]).withColumn("w", _weight(kernel, rate) if isinstance(kernel, str) else kernel)
     pos = F.coalesce(F.col("rho") > 0, F.lit(False))
     out = []
     for c in columns:
         there = F.col(c).isNotNull()
         for name, on in (("", there), ("_pos", there & pos), ("_neg", there & ~pos)):
             out.append(F.try_divide(F.sum(F.when(on, F.col("w") * F.col(c))), F.sum(F.when(on, F.col("w")))).alias(f"net_idw{name}_{c}"))
-    return rows.groupBy("snapshot", "src").agg(*out)
+    return rows.groupBy(*by, "snapshot", "src").agg(*out)
 
 
-def rank_features(edges: DataFrame, values: DataFrame, columns: list[str] | str, k: int) -> DataFrame:
+def rank_features(edges: DataFrame, values: DataFrame, columns: list[str] | str, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Values of the columns and distance of each node's r-th nearest neighbour in the graph, r < k."""
     columns = [columns] if isinstance(columns, str) else columns
     v = values.select(F.col("i").alias("snapshot"), F.col("series").alias("dst"), *columns)
-    r = F.row_number().over(Window.partitionBy("snapshot", "src").orderBy(F.round("d", 9), "dst")) - 1
+    r = F.row_number().over(Window.partitionBy(*by, "snapshot", "src").orderBy(F.round("d", 9), "dst")) - 1
     near = edges.withColumn("r", r).where(F.col("r") < k).join(v, ["snapshot", "dst"], "left")
     at = lambda i, c: F.max(F.when(F.col("r") == i, F.col(c)))
     out = [at(i, c).alias(f"net_nn{i}_{c}") for i in range(k) for c in columns] + [at(i, "d").alias(f"net_nn{i}_dist") for i in range(k)]
-    return near.groupBy("snapshot", "src").agg(*out)
+    return near.groupBy(*by, "snapshot", "src").agg(*out)
+
+
+def carried(rows: DataFrame, keys: list[str], order: str, columns: list[str], size: int = 512) -> DataFrame:
+    """The rows with the last known value of each column up to and including the row, by the numbers in
+    `order`. Known values are carried on inside blocks of `size` numbers; what a block hands to the
+    later ones is a table of one row a block, so that no task sorts a key's whole history."""
+    rows = rows.withColumn("_block", F.floor(F.col(order) / size))
+    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, "_block").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns))
+    ends = ends.select(*keys, "_block", *(F.last(c, ignorenulls=True).over(before).alias(f"_{i}") for i, c in enumerate(columns)))
+    found = rows.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns}).join(ends, [*keys, "_block"], "left")
+    return found.withColumns({c: F.coalesce(c, f"_{i}") for i, c in enumerate(columns)}).select(*(c for c in rows.columns if c != "_block"))
 
 
 VALUES = ["log_RV1", "log_RV5", "log_RV22", "Returns"]
@@ -301,16 +335,15 @@ def graph_features(pairs: DataFrame, edges: DataFrame, values: DataFrame, k: int
     """snapshot, src and every feature of the nodes. `values` is the panel with the columns that
     neighbours lend, their last known values carried forward to the snapshot's date; `pairs` and
     `edges` are written tables, as several parts read them."""
-    w = Window.partitionBy("series").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    values = values.select("series", "i", *(F.last(c, ignorenulls=True).over(w).alias(c) for c in columns))
+    values = carried(values.select("series", "i", *columns), ["series"], "i", columns)
     everyone = nodes(pairs)
     signed = with_saved_signs(edges, pairs, stride) if stride > 1 else edges
     keys = ["snapshot", "src"]
     local = clustering(edges, everyone)
     out = turnover(edges, everyone, step).withColumnsRenamed({"degree": "net_degree", "turnover": "net_degree_change"})
     out = out.join(local.withColumnRenamed("clustering", "net_node_clustering"), keys, "left")
-    out = out.join(F.broadcast(global_clustering(local).withColumnRenamed("clustering", "net_global_clustering")), "snapshot", "left")
-    out = out.join(F.broadcast(pairs.groupBy("snapshot").agg(F.avg(F.abs("rho")).alias("net_avg_abs_corr"))), "snapshot", "left")
+    out = out.join(global_clustering(local).withColumnRenamed("clustering", "net_global_clustering"), "snapshot", "left")
+    out = out.join(pairs.groupBy("snapshot").agg(F.avg(F.abs("rho")).alias("net_avg_abs_corr")), "snapshot", "left")
     out = out.join(neighbour_features(signed, values, columns, kernel, rate), keys, "left")
     return out.join(rank_features(edges, values, columns, k), keys, "left").select(*keys, *feature_names(columns, k))
 
@@ -318,8 +351,7 @@ def graph_features(pairs: DataFrame, edges: DataFrame, values: DataFrame, k: int
 def with_network(panel: DataFrame, features: DataFrame, columns: list[str]) -> DataFrame:
     """The panel with the node features of the latest snapshot, column by column."""
     f = features.select(F.col("snapshot").alias("i"), F.col("src").alias("series"), *columns)
-    w = Window.partitionBy("series").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return panel.join(f, ["series", "i"], "left").withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    return carried(panel.join(f, ["series", "i"], "left"), ["series"], "i", columns)
 
 
 def on_dates(features: DataFrame, dates: DataFrame) -> DataFrame:
@@ -335,8 +367,7 @@ def degree_table(deg: DataFrame, series: list[str]) -> DataFrame:
 def as_of(panel: DataFrame, features: DataFrame, columns: list[str]) -> DataFrame:
     """The node features of the latest snapshot on every date of each series, column by column."""
     f = features.select(F.col("snapshot").alias("i"), F.col("src").alias("series"), *columns)
-    w = Window.partitionBy("series").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    return panel.select("series", "dt", "i").join(f, ["series", "i"], "left").select("series", "dt", *(F.last(c, ignorenulls=True).over(w).alias(c) for c in columns))
+    return carried(panel.select("series", "dt", "i").join(f, ["series", "i"], "left"), ["series"], "i", columns).select("series", "dt", *columns)
 
 
 def edge_counts(edges: DataFrame) -> DataFrame:

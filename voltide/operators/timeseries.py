@@ -15,13 +15,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltide.functions.features import folds
-from voltide.operators.spikes import Scaled, fit_logit, sigmoid
+from voltide.operators.spikes import sigmoid
 
 # The orders that the catalogue holds.
 ARIMA_ORDERS = [(1, 0, 1), (2, 0, 1), (1, 0, 2), (2, 0, 2), (1, 1, 0), (0, 1, 1), (1, 1, 1), (2, 1, 1), (1, 1, 2)]
 GARCH_ORDERS = [(1, 1), (2, 1), (1, 2), (2, 2), (3, 2), (2, 3), (3, 3)]
 
 
+class Scaled:
+    """Columns by the mean and population deviation (0 counts as 1) of the rows it was made from."""
+
+    def __init__(self, x: np.ndarray):
+        self.mean, sd = x.mean(0), x.std(0)
+        self.sd = np.where(sd <= 1e-12, 1.0, sd)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / self.sd
+
+
+def fit_logit(x: np.ndarray, y: np.ndarray, c: float, steps: int = 100) -> np.ndarray:
+    """Intercept and coefficients that minimise c * loss + half their squares (the intercept is free),
+    by Newton steps that are halved until the aim falls."""
+    one = np.column_stack((np.ones(len(x)), x))
+    penalty = np.eye(one.shape[1])
+    penalty[0, 0] = 0
+    b = np.zeros(one.shape[1])
+    aim = lambda v: c * np.logaddexp(0, np.where(y == 1, -(one @ v), one @ v)).sum() + v[1:] @ v[1:] / 2
+    now = aim(b)
+    for _ in range(steps):
+        p = sigmoid(one @ b)
+        slope = c * one.T @ (p - y) + penalty @ b
+        bend = c * (one * (p * (1 - p))[:, None]).T @ one + penalty + 1e-10 * np.eye(len(b))
+        move, size = np.linalg.solve(bend, slope), 1.0
+        while (then := aim(b - size * move)) > now and size > 1e-6:
+            size /= 2
+        b = b - size * move
+        if now - then < 1e-12 * max(1.0, abs(now)):
+            break
+        now = then
+    return b
+
+
 def _lags(x: np.ndarray, n: int) -> np.ndarray:
     """Row t holds x[t-1], ..., x[t-n], for t from n on."""
     return np.column_stack([x[n - i - 1 : len(x) - i - 1] for i in range(n)]) if n else np.zeros((len(x), 0))

@@ -107,6 +107,23 @@ def write_predictions(preds: DataFrame, path: str) -> None:
     preds.repartition("series").write.mode("overwrite").partitionBy("series").parquet(path)
 
 
+PARAMETERS = "series STRING, fold INT, category STRING, model STRING, parts ARRAY<STRUCT<part: STRING, params: ARRAY<STRUCT<kind: STRING, name: STRING, value: DOUBLE>>>>"
+
+
+def write_parameters(params: DataFrame, path: str) -> None:
+    """A document for each series, fold and model, of its parts and what each has learned."""
+    keys = ["series", "fold", "category", "model"]
+    parts = params.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(F.struct("kind", "name", "value"))).alias("params"))
+    parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", "params"))).alias("parts")).write.mode("overwrite").json(path)
+
+
+def parameters(spark: SparkSession, path: str) -> DataFrame:
+    """series, fold, category, model, part, kind, name, value out of exported parameters."""
+    keys = ["series", "fold", "category", "model"]
+    out = spark.read.schema(PARAMETERS).json(path).select(*keys, F.explode("parts").alias("p"))
+    return out.select(*keys, "p.part", F.explode("p.params").alias("x")).select(*keys, "part", "x.*")
+
+
 def write_table(table: DataFrame, path: str) -> None:
     """A small table as CSV, in the place of an older one."""
     table.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -245,44 +245,6 @@ def e_all_metrics(spark, d):
     return rounded(m.where("Category = 'HAR'").unionByName(m.where("Category <> 'HAR'")))
 
 
-def _model_panel(spark, d):
-    """The complete panel: own, market and network columns; squared correlation, the nearest K."""
-    values = written(fx.market_features(c.featured(spark, d), panels.market(spark, d)))
-    p, e = c.graph(spark, d)
-    features = written(network.graph_features(p, e, values, K, STEP, stride=5))
-    return written(network.with_network(values, features, network.feature_names(network.VALUES, K)))
-
-
-def _regression_models(k=K):
-    name = f"[k={k}]"
-    return [
-        *forecasting.baselines(), *forecasting.network_models(f"Network {name}"), *forecasting.network_models(f"Network+Clustering {name}", clustering=True),
-        *forecasting.network_models(f"Split Network {name}", split=True), *forecasting.learned_models(f"LearnedW Network {name}", k),
-    ]
-
-
-def m_network_evaluation(spark, d):
-    """Every linear model of the catalogue for one graph: its metrics by series and fold."""
-    preds, _ = forecasting.evaluate(_model_panel(spark, d), _regression_models(), 2, TEST, TRAIN)
-    return rounded(reports.regression_metrics(preds, ["category", "model", "series", "fold"]))
-
-
-def m_parameters(spark, d):
-    chosen = [m for m in _regression_models() if m.name in ("HAR", "RegHAR (p50)", "NetHAR (OLS)", "NetworkVAR (a=0.1, b=0.5)", "LearnedW (m=2, Ridge a=0.1)")]
-    _, fitted = forecasting.evaluate(_model_panel(spark, d), chosen, 1, TEST, TRAIN)
-    path = new_folder(spark)
-    forecasting.parameters(fitted, chosen).write.json(path)
-    return rounded(spark.read.schema("series STRING, fold INT, category STRING, model STRING, part STRING, stage INT, name STRING, value DOUBLE").json(path))
-
-
-def m_spike_evaluation(spark, d):
-    name = f"[k={K}]"
-    own = [*spikes.baselines(), *spikes.network_models(f"Network {name}"), *spikes.network_models(f"Split Network {name}", split=True), *spikes.learned_models(f"LearnedW Network {name}", K)]
-    preds = spikes.evaluate(_model_panel(spark, d), own, 1, TEST, TRAIN)
-    keys = ["category", "model", "series", "fold"]
-    return rounded(reports.classification_metrics(preds, keys).join(reports.weighted_recall(preds, keys), keys))
-
-
 def _market_panel(spark, d):
     return fx.market_features(c.featured(spark, d), panels.market(spark, d))
 
@@ -323,24 +285,6 @@ def m_har_three(spark, d):
     return rounded(got.select("series", *(F.element_at("coef", i + 1).alias(f"b{i + 1}") for i in range(3)), "intercept"), 4)
 
 
-def m_regimes(spark, d):
-    """Slopes of one column by regime, with the fallback rule, through the catalogue's own path."""
-    own = [forecasting.Model("R", "one", ("log_RV5",), regime=0.9)]
-    rows = fx.folds(c.featured(spark, d).dropna(subset=["log_RV1", "log_RV5", "log_RV22", "log_Y"]), 1, TEST, TRAIN).where("role = 'train'")
-    found = forecasting.fit(forecasting.grams(rows, ["log_RV5"], "log_Y", [0.9]), own, ["log_RV5"])
-    return rounded(found.select("series", "part", "n", F.element_at("coef", 1).alias("slope"), "intercept"), 5)
-
-
-def m_two_stages(spark, d):
-    """A residual correction by the degree, cut at 0.01, and the sum of both stages."""
-    p, e = c.graph(spark, d)
-    deg = network.degrees(network.nodes(p), e).withColumnRenamed("degree", "net_degree")
-    rows = network.with_network(c.featured(spark, d), deg, ["net_degree"])
-    own = [forecasting.Model("V", "two", ("log_RV5",), net=("net_degree",), stage2=10.0, bound=0.01)]
-    preds, _ = forecasting.evaluate(rows, own, 1, TEST, TRAIN)
-    return rounded(preds.select("series", "dt", F.log("y_pred").alias("log_pred")), 5)
-
-
 def m_variance_filter(spark, d):
     """Conditional variances of the daily returns for given parameters."""
     import numpy as np
@@ -439,7 +383,7 @@ QUERIES = {f.__name__: f for f in (
     a_universe, a_bars, a_market_series, a_stock_panel, a_wide_table, a_series_measures, a_index_panel, a_feature_store, a_results, a_predictions, a_graph_export, a_graph_edges, a_feature_export, a_ablation_table,
     b_complete_rows, b_index_market, b_har_panel, b_custom_preprocess, b_spike_labels_lookback, c_precision_partial_correlation, c_custom_distance, c_saved_signs,
     d_global_clustering, d_graph_features, d_network_panel, d_features_on_dates, d_degree_table, e_task_grid, e_filled_network, e_merged_predictions, e_all_metrics,
-    m_network_evaluation, m_parameters, m_spike_evaluation, m_arima, m_garch, m_dynamic_correlation, m_dynamic_correlation_spikes, m_penalised, m_har_three, m_regimes, m_two_stages, m_variance_filter,
+    m_arima, m_garch, m_dynamic_correlation, m_dynamic_correlation_spikes, m_penalised, m_har_three, m_variance_filter,
     g_display_scale, g_spike_summary, g_leaderboard, g_spike_leaderboard, g_signed_rank_p, g_spike_signed_rank, g_weighting_breakdown, g_structural_table, g_full_ablation, g_filtered_ablation, g_best_per_value,
     g_prediction_curves, g_whole_report, h_date_slice, h_common_autocorrelation, h_sigma_outliers,
 )}

@@ -51,14 +51,15 @@ class ChunkTable:
     def learn(self, chunks: set[str]) -> None:
         """Segment new chunks, all in one text with newlines between them, which never join. The
         library puts a marker of its own before that text; it stands apart as the first id."""
-        new = [c for c in chunks - self.ids.keys() if c[0] != "\n"]
+        missing = [c for c in chunks if c not in self.ids]
+        new = [c for c in missing if c[0] != "\n"]
         if new:
             ids = self.sp.encode("\n" + "\n".join(new))
             found = " ".join(map(str, ids)).split(f" {self.newline} ")[1:]
             texts = self.sp.decode(ids).split("\n")[1:]
             self.ids.update(zip(new, found, strict=True))
             self.text.update(zip(new, texts, strict=True))
-        for c in chunks - self.ids.keys():  # runs of newlines
+        for c in (c for c in missing if c[0] == "\n"):
             self.ids[c], self.text[c] = " ".join([str(self.newline)] * len(c)), c
             new.append(c)
         self.long += [c for c in new if len(c) > self.longest]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltide.llm.bytepair import BytePairs
-from voltide.llm.common import materialise, slices, unused
+from voltide.llm.common import materialise, slices, small_batches, unused
 
 #: Pairs, of two numbers each, up to which their counts are sent to all tasks: 16 bytes a pair there.
 MOST_SENT = 6_000_000
@@ -142,6 +142,7 @@ def alignments(docs: DataFrame, tokenizer: str, model: str, text: str = "text",
     empty, or whose bytes a side does not give back, has no tokens: zeros and an empty text. Rows are
     judged by themselves and all their columns stay.
     """
+    small_batches(docs.sparkSession)
     name = unused(docs, "aligned")
     with open(tokenizer, encoding="utf-8") as f, open(model, "rb") as g:
         sent = docs.sparkSession.sparkContext.broadcast((f.read(), g.read()))
@@ -150,7 +151,7 @@ def alignments(docs: DataFrame, tokenizer: str, model: str, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*sent.value)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 1_000_000):  # some dozen numbers a token
             got = aligner.align(batch.column(text).to_pylist(), fields)
             parts = [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], type=f.type) for f in arrow]
             column = pa.StructArray.from_arrays(parts, fields=arrow)

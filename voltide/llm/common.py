@@ -89,24 +89,37 @@ SLICE = 1024
 SLICE_BYTES = 4_000_000
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str | int) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most SLICE rows and SLICE_BYTES of the column `text`."""
+def slices(batches: Iterator[pa.RecordBatch], text: str | int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most SLICE rows and `most` bytes of the column `text`."""
     for batch in batches:
         ends = pc.cumulative_sum(pc.cast(pc.fill_null(pc.binary_length(batch.column(text)), 0), pa.int64())).to_numpy(zero_copy_only=False)
         a = 0
         while a < batch.num_rows:
             before = ends[a - 1] if a else 0
-            b = min(max(a + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))), a + SLICE)
+            b = min(max(a + 1, int(np.searchsorted(ends, before + most, "right"))), a + SLICE)
             yield batch.slice(a, b - a)
             a = min(b, batch.num_rows)
 
 
+#: Rows of an Arrow batch of whole texts, of some kilobytes each.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows, if they are larger: batches of whole texts
+    stand several times, in the executor and in the worker, at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def annotate(df: DataFrame, text: str, kind: T.StructType, make: Callable[[], Callable]) -> tuple[DataFrame, str]:
     """Add a struct column that is computed from `text` in Arrow batches; all columns of `df` stay.
 
     `make` runs once per task and returns a function from a list of texts (None where null) to a
     dict of lists, one per field of `kind`. Returns the frame and the name of the new column.
     """
+    small_batches(df.sparkSession)
     name = unused(df, "result")
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
     arrow = pa.struct([(f.name, _ARROW[type(f.dataType)]) for f in kind.fields])

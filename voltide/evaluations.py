@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voltide import catalog as c
-from voltide import studies
-from voltide.catalog import K, PAIRS, PANEL, STEP, TEST, TRAIN, rounded
+from voltide import further, studies
+from voltide.catalog import K, METRICS, PAIRS, STEP, TEST, TRAIN, rounded
 from voltide.functions import features as fx
 from voltide.operators import forecasting, reports, spikes
 from voltide.operators import graphs as gr
@@ -135,7 +135,62 @@ def g_evaluation_report(spark, d):
     return rounded(tables["leaderboard"].select("place", "Category", "Model", "mean_RMSE_log", "n_tickers"))
 
 
-QUERIES = {f.__name__: f for f in (m_network_evaluation, m_two_graphs, m_two_stages, m_regimes, m_regime_predictions, m_scaler_parameters, m_parameters, m_spike_evaluation, m_spike_parameters, a_spike_predictions, g_evaluation_report)}
+def m_index_evaluation(spark, d):
+    """The study of indices: the same catalogue without market columns."""
+    graphs = [("sqcorr", 3), ("mi", 3)]
+    own = [c_ for c_ in gr.OWN if c_ not in forecasting.MARKET]
+    return rounded(_evaluation(spark, d, graphs, gr.catalogue(graphs, market=False), own=own).metrics())
+
+
+def m_index_spikes(spark, d):
+    """The logits of the study of indices: no market columns, spikes beyond the 75 % quantile of the last
+    756 training rows."""
+    graphs = [("sqcorr", 3)]
+    values, nets = graph_arrays(spark, d, graphs)
+    own = [c_ for c_ in gr.OWN if c_ not in forecasting.MARKET]
+    study = spikes.Study(values, nets, spikes.catalogue(graphs, market=False), 1, TEST, TRAIN, 0.75, 756, step=STEP, own=own)
+    return rounded(_spike_scores(study.predictions()))
+
+
+def g_floor(spark, d):
+    """Rows whose R2 is below the floor, of which the results here have some, are left out."""
+    rows = panels.metrics(spark, d).withColumn("R2", F.when(F.col("R2") < 0, F.col("R2") * 1e9).otherwise(F.col("R2")))
+    return rounded(reports.clip_extremes(rows).select("Category", "Ticker", "Model", "Fold", "R2", "R2_log"))
+
+
+def _report(spark, d):
+    path = new_folder(spark)
+    files.write_results(panels.metrics(spark, d), path)
+    return reports.whole_report(files.results(spark, path))
+
+
+def g_report_per_ticker(spark, d):
+    return rounded(_report(spark, d)["per_ticker"])
+
+
+def g_report_k_breakdown(spark, d):
+    return rounded(_report(spark, d)["k_breakdown"])
+
+
+def _spike_report(spark, d):
+    path = new_folder(spark)
+    files.write_results(panels.spike_metrics(spark, d), path)
+    return reports.whole_spike_report(files.results(spark, path, files.SPIKES))
+
+
+def g_spike_report(spark, d):
+    """The report on saved scores of spikes, to the leaderboard of the best k."""
+    return rounded(_spike_report(spark, d)["leaderboard"].select("place", "Category", "Model", "mean_ROC_AUC", "n_tickers"))
+
+
+def a_spike_results(spark, d):
+    """The store of spike scores, written and read back."""
+    path = new_folder(spark)
+    files.write_results(panels.spike_metrics(spark, d), path)
+    return rounded(files.results(spark, path, files.SPIKES).select("Category", "Ticker", "Model", "Fold", "ROC_AUC", "F1", "Recall"))
+
+
+QUERIES = {f.__name__: f for f in (m_network_evaluation, m_two_graphs, m_two_stages, m_regimes, m_regime_predictions, m_scaler_parameters, m_parameters, m_spike_evaluation, m_spike_parameters, a_spike_predictions, g_evaluation_report, m_index_evaluation, m_index_spikes, g_floor, g_report_per_ticker, g_report_k_breakdown, g_spike_report, a_spike_results)}
 
 
 def _two_sql(k):
@@ -148,7 +203,15 @@ _PARTS = studies.ROWS.replace('"log_RV1" IS NOT NULL AND ', "") + """, q AS (SEL
 pt AS (SELECT tn.*, 'all' AS part FROM tn UNION ALL SELECT tn.*, CASE WHEN "log_RV22" > cut THEN '0.9/1' ELSE '0.9/0' END FROM tn JOIN q USING (series)),
 sl AS (SELECT series, part, count(*) AS n, regr_slope("log_Y", "log_RV5") AS b, regr_intercept("log_Y", "log_RV5") AS a, avg("log_RV5") AS m, stddev_pop("log_RV5") AS s, avg("log_Y") AS y FROM pt GROUP BY 1, 2)"""
 
+_BEST_K = """, w0 AS (SELECT "Base", "Category" FROM (SELECT "Base", "Category", "Model", avg("{0}") AS v FROM e GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY "Base" ORDER BY round(v, 9) DESC NULLS LAST, "Category", "Model") = 1)"""
+
 ORACLES = {
+    "g_floor": METRICS + """, f AS (SELECT * REPLACE (CASE WHEN "R2" < 0 THEN "R2" * 1e9 ELSE "R2" END AS "R2") FROM m) SELECT "Category", "Ticker", "Model", CAST("Fold" AS BIGINT) AS "Fold", round("R2", 6) + 0.0 AS "R2", round("R2_log", 6) + 0.0 AS "R2_log" FROM f WHERE "R2" > -1e6 AND "R2_log" > -1e6""",
+    "g_report_per_ticker": further.ORACLES["g_per_ticker"].replace(METRICS, METRICS + _BEST_K.format("R2")).replace("FROM b GROUP BY 1, 2)", "FROM b WHERE \"Category\" IN (SELECT \"Category\" FROM w0) GROUP BY 1, 2)"),
+    "g_report_k_breakdown": c.ORACLES["g_k_breakdown"],
+    "g_spike_report": studies.CLF_SUMMARY + ", e AS (SELECT *, trim(regexp_replace(\"Category\", '\\s*\\[k=\\d+\\]', '')) AS \"Base\" FROM m)" + _BEST_K.format("ROC_AUC") + """, w AS (SELECT * FROM s WHERE "Category" IN (SELECT "Category" FROM w0) QUALIFY row_number() OVER (PARTITION BY "Category" ORDER BY round("mean_ROC_AUC", 9) DESC NULLS LAST, "Model") = 1)
+SELECT row_number() OVER (ORDER BY round("mean_ROC_AUC", 9) DESC NULLS LAST, "Category") AS place, "Category", "Model", round("mean_ROC_AUC", 6) + 0.0 AS "mean_ROC_AUC", n_tickers FROM w""",
+    "a_spike_results": studies.CLF + """ SELECT "Category", "Ticker", "Model", CAST("Fold" AS BIGINT) AS "Fold", round("ROC_AUC", 6) + 0.0 AS "ROC_AUC", round("F1", 6) + 0.0 AS "F1", round("Recall", 6) + 0.0 AS "Recall" FROM m""",
     "m_two_graphs": f"SELECT * FROM ({_ONE} SELECT series, dt, 'HAR' AS category, round(a + b * \"log_RV5\", 5) + 0.0 AS log_pred FROM fo JOIN st USING (series) WHERE role = 'test') UNION ALL SELECT * FROM ({_two_sql(1)}) UNION ALL SELECT * FROM ({_two_sql(5)})",
     "m_regime_predictions": _PARTS + """ SELECT fo.series, dt, round(CASE WHEN r.n >= 30 THEN r.a + r.b * "log_RV5" ELSE w.a + w.b * "log_RV5" END, 5) + 0.0 AS log_pred FROM fo JOIN q USING (series) JOIN sl w ON w.series = fo.series AND w.part = 'all'
 LEFT JOIN sl r ON r.series = fo.series AND r.part = CASE WHEN "log_RV22" > cut THEN '0.9/1' ELSE '0.9/0' END WHERE role = 'test'""",

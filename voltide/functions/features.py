@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltide.operators.quantiles import quantiles
+
 EPS = 1e-8
 
 
@@ -65,7 +67,7 @@ def spike_labels(df: DataFrame, quantile: float = 0.8, lookback: int | None = No
     rows = df.where("Y_fwd is not null")
     if lookback:
         rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("dt")))).where(F.col("_n") <= lookback)
-    limit = rows.groupBy("series").agg(F.percentile("Y_fwd", F.lit(quantile)).alias("threshold"))
+    limit = quantiles(rows, ["series"], "Y_fwd", [quantile]).select("series", F.col("q")[0].alias("threshold"))
     return df.join(limit, "series").withColumn("spike", (F.col("Y_fwd") > F.col("threshold")).cast("int"))
 
 

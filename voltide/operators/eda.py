@@ -5,14 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def autocorrelation(df: DataFrame, column: str = "Returns", lags: int = 10) -> DataFrame:
-    """series, lag, acf, band: correlations with the value `lag` rows before, and 1.96 / sqrt(n)."""
-    w = Window.partitionBy("series")
-    rows = df.where(F.col(column).isNotNull()).select("series", F.row_number().over(w.orderBy("dt")).alias("j"), (F.col(column) - F.avg(column).over(w)).alias("x"))
-    total = rows.groupBy("series").agg(F.sum(F.col("x") ** 2).alias("ss"), F.count(F.lit(1)).alias("n"))
-    back = rows.select("series", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"), "j", F.col("x").alias("y")).select("series", "lag", (F.col("j") + F.col("lag")).alias("j"), "y")
-    return rows.join(back, ["series", "j"]).groupBy("series", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("s")).join(total, "series").select("series", "lag", F.try_divide("s", "ss").alias("acf"), (1.96 / F.sqrt("n")).alias("band"))
+from voltide.operators.quantiles import quantiles
+
+
+def numbered(df: DataFrame, days: int = 256) -> DataFrame:
+    """The rows with `j`, their number in their series by date, from 1. Rows are numbered inside blocks of
+    `days` days; a table of the blocks' counts says where each begins, so no task sorts a series."""
+    rows = df.withColumn("_block", F.floor(F.unix_date("dt") / days))
+    before = Window.partitionBy("series").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("series", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("series", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("series", "_block").orderBy("dt"))
+    return rows.withColumn("_place", place).join(starts, ["series", "_block"]).withColumn("j", F.col("_start") + F.col("_place")).drop("_block", "_place", "_start")
+
+
+def autocorrelation(df: DataFrame, column: str = "Returns", lags: int = 10, size: int = 512) -> DataFrame:
+    """series, lag, acf, band: correlations with the value `lag` rows before, and 1.96 / sqrt(n).
+
+    A series is cut into blocks of `size` rows, each with the `lags` rows before it, so a row is sent once
+    or twice whatever the number of lags, and the products of all lags are added up in one pass."""
+    size = max(size, lags)
+    rows = numbered(df.where(F.col(column).isNotNull()).select("series", "dt", F.col(column).alias("x")))
+    total = rows.groupBy("series").agg(F.avg("x").alias("mean"), (F.var_pop("x") * F.count("x")).alias("ss"), F.count(F.lit(1)).alias("n"))
+    own = F.floor((F.col("j") - 1) / size)
+    reach = F.array_distinct(F.array(own, F.floor((F.col("j") - 1 + lags) / size)))
+    parts = rows.join(total, "series").select("series", F.explode(reach).alias("part"), own.alias("own"), "j", (F.col("x") - F.col("mean")).alias("x"))
+    w = Window.partitionBy("series", "part").orderBy("j")
+    parts = parts.select("series", (F.col("own") == F.col("part")).alias("here"), "x", *(F.lag("x", n).over(w).alias(f"x{n}") for n in range(1, lags + 1)))
+    sums = parts.where("here").groupBy("series").agg(*(F.sum(F.col("x") * F.col(f"x{n}")).alias(f"s{n}") for n in range(1, lags + 1)))
+    found = sums.select("series", F.posexplode(F.array(*(f"s{n}" for n in range(1, lags + 1)))).alias("lag", "s")).where("s is not null")
+    return found.join(total, "series").select("series", (F.col("lag") + 1).alias("lag"), F.try_divide("s", "ss").alias("acf"), (1.96 / F.sqrt("n")).alias("band"))
 
 
 def distribution(df: DataFrame, column: str = "Returns") -> DataFrame:
@@ -25,7 +47,7 @@ def distribution(df: DataFrame, column: str = "Returns") -> DataFrame:
 
 def tail_outliers(df: DataFrame, column: str = "Returns", tail: float = 0.01) -> DataFrame:
     """Quantile cutoffs per series and how many values are at or beyond them."""
-    cut = df.groupBy("series").agg(F.percentile(column, F.lit(tail)).alias("low"), F.percentile(column, F.lit(1 - tail)).alias("high"))
+    cut = quantiles(df, ["series"], column, [tail, 1 - tail]).select("series", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
     return df.where(F.col(column).isNotNull()).join(cut, "series").groupBy("series").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.count_if(F.col(column) <= F.col("low")).alias("n_low"), F.count_if(F.col(column) >= F.col("high")).alias("n_high"), F.count(F.lit(1)).alias("n"))
 
 
@@ -37,7 +59,7 @@ def normalised(df: DataFrame) -> DataFrame:
 def histogram(panel: DataFrame, bins: int = 20, tail: float = 0.01) -> DataFrame:
     """bin (from 1), n and density of the pooled returns between two quantiles, both included."""
     r = panel.where("Returns is not null").select("Returns")
-    ends = r.agg(F.percentile("Returns", F.lit(tail)).alias("lo"), F.percentile("Returns", F.lit(1 - tail)).alias("hi"))
+    ends = quantiles(r, [], "Returns", [tail, 1 - tail]).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.least(F.floor((F.col("Returns") - F.col("lo")) / width) + 1, F.lit(bins))
     rows = r.join(F.broadcast(ends)).where("Returns between lo and hi").groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.first(width).alias("width"))
@@ -64,5 +86,5 @@ def sigma_outliers(df: DataFrame, column: str = "Returns", z: float = 3.0) -> Da
     x = F.col(column)
     rows = df.where(x.isNotNull())
     cut = rows.groupBy("series").agg((F.avg(x) - z * F.stddev_samp(x)).alias("low"), (F.avg(x) + z * F.stddev_samp(x)).alias("high"))
-    out = rows.join(F.broadcast(cut), "series").groupBy("series", "low", "high").agg(F.count_if(x <= F.col("low")).alias("n_low"), F.count_if(x >= F.col("high")).alias("n_high"), F.count(F.lit(1)).alias("n"))
+    out = rows.join(cut, "series").groupBy("series", "low", "high").agg(F.count_if(x <= F.col("low")).alias("n_low"), F.count_if(x >= F.col("high")).alias("n_high"), F.count(F.lit(1)).alias("n"))
     return out.withColumn("share", (F.col("n_low") + F.col("n_high")) / F.col("n"))

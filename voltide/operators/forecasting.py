@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from voltide.functions.features import folds
 from voltide.operators.models import Gram, solve_all
 from voltide.operators.network import VALUES
+from voltide.operators.quantiles import quantiles as exact
 
 # The column sets that the models are defined by.
 MARKET = ["Market_Returns", "log_Market_RV5", "log_Market_RV22"]
@@ -140,7 +141,7 @@ def marked(rows: DataFrame, limit: float = 3.0) -> DataFrame:
 
 def thresholds(train: DataFrame, quantiles: list[float], column: str = "log_RV22") -> DataFrame:
     """series, fold and an array of the column's exact quantiles over the training rows."""
-    return train.groupBy("series", "fold").agg(F.array(*(F.percentile(column, F.lit(q)) for q in quantiles)).alias("limits"))
+    return exact(train, ["series", "fold"], column, quantiles).withColumnRenamed("q", "limits")
 
 
 class Plan:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltide.sources.store import written
+
 
 def covered(panel: DataFrame, window: int = 60, step: int = 5, coverage: float = 0.8, least: int = 10) -> DataFrame:
     """snapshot, series: the series with `coverage` of their trailing window at every `step`-th date,
@@ -47,37 +49,115 @@ def _clip(rho: Column) -> Column:
     return F.least(F.greatest(rho, F.lit(-1 + 1e-8)), F.lit(1 - 1e-8))
 
 
-def _all_defined(df: DataFrame) -> DataFrame:
-    """One undefined correlation makes all of its snapshot 0."""
-    undefined = F.bool_or(F.col("rho").isNull()).over(Window.partitionBy("snapshot"))
-    return df.withColumn("rho", F.when(undefined, 0.0).otherwise(F.col("rho")))
+def _undefined(sums: DataFrame, window: int) -> DataFrame:
+    """snapshot of the windows in which a series does not vary, from snapshot, series, mx, xx: sums of its
+    values and of their squares. One undefined correlation makes all of its snapshot 0."""
+    mean = F.col("mx") / window
+    return sums.where(F.col("xx") / window - mean**2 <= 1e-12).select("snapshot").distinct()
+
+
+def _zero(pairs: DataFrame, undefined: DataFrame) -> DataFrame:
+    out = pairs.join(undefined.withColumn("_zero", F.lit(True)), "snapshot", "left")
+    return out.withColumn("rho", F.when(F.col("_zero"), 0.0).otherwise(F.col("rho"))).drop("_zero")
+
+
+#: Series of a tile, and blocks of dates of a span: a task multiplies two tiles over one span.
+TILE, SPAN = 128, 48
+
+
+def tiles(rows: DataFrame, by: str, tile: int = TILE) -> DataFrame:
+    """The columns `by`, members1 and members2: for every two tiles of series, a tile and itself included,
+    the rows of both as arrays of structs. `rows` has one row for each series and `by`. Series are dealt
+    to tiles by a hash of their names, so that a task meets some `tile` of them on either side."""
+    rows = written(rows)  # counted, and read for both sides
+    n = max(1, -(-rows.select("series").distinct().count() // tile))
+    members = F.collect_list(F.struct(*(c for c in rows.columns if c != by))).alias("members")
+    held = rows.withColumn("tile", F.pmod(F.xxhash64("series"), F.lit(n))).groupBy(by, "tile").agg(members)
+    one, two = held.select(by, F.col("tile").alias("t1"), F.col("members").alias("members1")), held.select(by, F.col("tile").alias("t2"), F.col("members").alias("members2"))
+    return one.join(two, by).where("t1 <= t2").select(by, (F.col("t1") == F.col("t2")).alias("same"), "members1", "members2")
 
 
-def correlations(panel: DataFrame, window: int = 60, step: int = 5, coverage: float = 0.8, least: int = 10) -> DataFrame:
+def _pairs_of(names1: np.ndarray, names2: np.ndarray, same: bool, *held: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places of the pairs of two tiles, after `held` (a mask with further dimensions in front, or none):
+    each pair of different series once."""
+    mask = np.ones((len(names1), len(names2)), bool) if not same else names1[:, None] < names2[None]
+    return np.nonzero(mask if not held else held[0] & mask)
+
+
+def _named(one: np.ndarray, two: np.ndarray) -> dict[str, np.ndarray]:
+    first = one < two
+    return {"s1": np.where(first, one, two), "s2": np.where(first, two, one)}
+
+
+def correlations(panel: DataFrame, window: int = 60, step: int = 5, coverage: float = 0.8, least: int = 10, tile: int = TILE, span: int = SPAN) -> DataFrame:
     """snapshot, s1 < s2, rho of the trailing windows; an undefined one makes its snapshot 0.
 
-    Each pair of values is multiplied once: products are added up per block of `step` dates, and a
-    snapshot adds up the blocks that it holds."""
+    Series are dealt to tiles and dates to spans of `span` blocks of `step`. A task holds two tiles over
+    one span, with the blocks before it that its first windows reach back to: one matrix product for
+    each block, and a snapshot is the sum of its blocks' products. No row stands for a pair and date."""
+    back = window // step - 1
     held = covered(panel, window, step, coverage, least)
-    block = F.floor((F.col("i") - 1) / step).cast("int")
-    rows = panel.select("series", "i", block.alias("block"), F.coalesce("Returns", F.lit(0.0)).alias("v"))
-    a = rows.select("i", "block", F.col("series").alias("s1"), F.col("v").alias("x"))
-    b = rows.select("i", F.col("series").alias("s2"), F.col("v").alias("y"))
-    parts = {"mx": F.col("x"), "my": F.col("y"), "xx": F.col("x") ** 2, "yy": F.col("y") ** 2, "xy": F.col("x") * F.col("y")}
-    sums = a.join(b, "i").where("s1 < s2").groupBy("s1", "s2", "block").agg(*(F.sum(e).alias(n) for n, e in parts.items()))
-    trailing = Window.partitionBy("s1", "s2").orderBy("block").rangeBetween(1 - window // step, 0)
-    _, rho = _moments()
-    out = sums.select("s1", "s2", ((F.col("block") + 1) * step).alias("snapshot"), *((F.sum(n).over(trailing) / window).alias(n) for n in parts))
-    for s in ("s1", "s2"):
-        out = out.join(held.withColumnRenamed("series", s), ["snapshot", s], "left_semi")
-    return _all_defined(out.select("snapshot", "s1", "s2", rho.alias("rho")))
-
-
-def pair_correlations(held: DataFrame) -> DataFrame:
-    a, b = held.select("snapshot", "i", F.col("series").alias("s1"), F.col("r").alias("x")), held.select("snapshot", "i", F.col("series").alias("s2"), F.col("r").alias("y"))
-    pairs = a.join(b, ["snapshot", "i"]).where("s1 < s2").groupBy("snapshot", "s1", "s2")
-    means, rho = _moments()
-    return _all_defined(pairs.agg(*means).select("snapshot", "s1", "s2", rho.alias("rho")))
+    block = F.floor((F.col("i") - 1) / step)
+    value = F.coalesce("Returns", F.lit(0.0))
+    sums = panel.groupBy("series", block.alias("block")).agg(F.sum(value).alias("mx"), F.sum(value * value).alias("xx"))
+    w = Window.partitionBy("series").orderBy("block").rangeBetween(-back, 0)
+    sums = sums.select("series", ((F.col("block") + 1) * step).cast("int").alias("snapshot"), F.sum("mx").over(w).alias("mx"), F.sum("xx").over(w).alias("xx"))
+    undefined = _undefined(sums.join(held, ["snapshot", "series"], "left_semi"), window)
+
+    reach = F.array_distinct(F.array(F.floor(block / span), F.floor((block + back) / span)))
+    points = panel.select("series", F.explode(reach).alias("span"), F.struct((F.col("i") - 1).alias("at"), value.alias("v")).alias("p")).groupBy("series", "span").agg(F.collect_list("p").alias("points"))
+    last = F.col("snapshot") / step - 1
+    on = held.select("series", F.floor(last / span).alias("span"), last.cast("int").alias("b")).groupBy("series", "span").agg(F.collect_list("b").alias("blocks"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at, same, one, two in zip(batch["span"], batch["same"], batch["members1"], batch["members2"], strict=True):
+                start = (at * span - back) * step
+                sides = []
+                for members in (one, two):
+                    x, use = np.zeros((len(members), (span + back) * step)), np.zeros((span, len(members)), bool)
+                    for j, m in enumerate(members):
+                        for p in m["points"]:
+                            x[j, p["at"] - start] = p["v"]
+                        use[[b - at * span for b in m["blocks"]], j] = True
+                    x = x.reshape(len(members), span + back, step).transpose(1, 0, 2)
+                    rolled = [sum(v[k : k + span] for k in range(back + 1)) / window for v in (x.sum(2), (x**2).sum(2))]
+                    sides.append((np.array([m["series"] for m in members], object), x, use, rolled[0], rolled[1] - rolled[0] ** 2))
+                (n1, x1, u1, m1, v1), (n2, x2, u2, m2, v2) = sides
+                product = x1 @ x2.transpose(0, 2, 1)
+                cross = sum(product[k : k + span] for k in range(back + 1)) / window - m1[:, :, None] * m2[:, None]
+                spread = v1[:, :, None] * v2[:, None]
+                rho = np.clip(cross / np.sqrt(np.where(spread > 0, spread, np.inf)), -1 + 1e-8, 1 - 1e-8)
+                k, i, j = _pairs_of(n1, n2, same, u1[:, :, None] & u2[:, None])
+                if len(k):
+                    yield pd.DataFrame({"snapshot": (at * span + k + 1) * step, **_named(n1[i], n2[j]), "rho": rho[k, i, j]})
+
+    pairs = tiles(points.join(on, ["series", "span"]), "span", tile).mapInPandas(run, "snapshot int, s1 string, s2 string, rho double")
+    return _zero(pairs, undefined)
+
+
+def pair_correlations(held: DataFrame, tile: int = TILE) -> DataFrame:
+    """The correlations of windows that are given row by row: one product for two tiles and a snapshot."""
+    value = F.struct("i", "r")
+    rows = held.groupBy("snapshot", "series").agg(F.transform(F.array_sort(F.collect_list(value)), lambda p: p["r"]).alias("x"))
+    sums = held.groupBy("snapshot", "series").agg(F.avg("r").alias("mx"), F.avg(F.col("r") ** 2).alias("xx"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for snapshot, same, one, two in zip(batch["snapshot"], batch["same"], batch["members1"], batch["members2"], strict=True):
+                names, scaled = [], []
+                for members in (one, two):
+                    x = np.array([m["x"] for m in members])
+                    mean = x.mean(1)
+                    spread = (x**2).mean(1) - mean**2
+                    names.append(np.array([m["series"] for m in members], object))
+                    scaled.append((x - mean[:, None]) / np.sqrt(np.where(spread > 1e-12, spread, np.inf))[:, None])
+                rho = np.clip(scaled[0] @ scaled[1].T / scaled[0].shape[1], -1 + 1e-8, 1 - 1e-8)
+                i, j = _pairs_of(*names, same)
+                yield pd.DataFrame({"snapshot": snapshot, **_named(names[0][i], names[1][j]), "rho": rho[i, j]})
+
+    pairs = tiles(rows, "snapshot", tile).mapInPandas(run, "snapshot int, s1 string, s2 string, rho double")
+    return _zero(pairs, _undefined(sums, 1))
 
 
 def by_matrix(held: DataFrame, distance: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -131,7 +211,8 @@ def market_partial(held: DataFrame) -> DataFrame:
     market = held.groupBy("snapshot", "i").agg(F.avg("r").alias("y"))
     means, rho = _moments()
     own = held.withColumnRenamed("r", "x").join(market, ["snapshot", "i"]).groupBy("snapshot", "series").agg(*means)
-    own = _all_defined(own.select("snapshot", "series", rho.alias("rho")))
+    own = own.select("snapshot", "series", rho.alias("rho"))
+    own = _zero(own, own.where("rho is null").select("snapshot").distinct())
     out = pair_correlations(held)
     for s, name in (("s1", "m1"), ("s2", "m2")):
         out = out.join(own.select("snapshot", F.col("series").alias(s), F.col("rho").alias(name)), ["snapshot", s])
@@ -153,28 +234,31 @@ def entropies(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys).agg((F.log(n) - F.sum(F.col("c") * F.log("c")) / n).alias("h"))
 
 
-def mutual_information(held: DataFrame, bins: int = 10) -> DataFrame:
+def mutual_information(held: DataFrame, bins: int = 10, tile: int = TILE) -> DataFrame:
     """snapshot, s1 < s2, nmi, d = 1 - nmi: mutual information by the geometric mean of entropies.
 
-    A series' bins of a window are one array, so a pair of series meets once a snapshot; the counts of
-    all pairs of a batch come from one histogram of (pair, bin, bin)."""
+    A series' bins of a window are one array. For two tiles of series and a snapshot the counts of all
+    pairs' cells are one matrix product, of both tiles' rows of ones where a series is in a bin."""
     b = rank_bins(held, bins)
     one = entropies(b.groupBy("snapshot", "series", "bin").agg(F.count(F.lit(1)).alias("c")), ["snapshot", "series"])
     arrays = b.groupBy("snapshot", "series").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "bin"))), lambda x: x["bin"]).alias("bins")).join(one, ["snapshot", "series"])
-    x = arrays.select("snapshot", F.col("series").alias("s1"), F.col("bins").alias("b1"), F.col("h").alias("h1"))
-    y = arrays.select("snapshot", F.col("series").alias("s2"), F.col("bins").alias("b2"), F.col("h").alias("h2"))
-
-    def joint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            if len(p):
-                one, two = np.stack(p["b1"]), np.stack(p["b2"])
-                cell = np.arange(len(p))[:, None] * bins * bins + one * bins + two
-                c = np.bincount(cell.ravel(), minlength=len(p) * bins * bins).reshape(len(p), -1)
-                n = one.shape[1]
-                h = np.log(n) - (c * np.log(np.maximum(c, 1))).sum(1) / n
-                yield pd.DataFrame({"snapshot": p["snapshot"], "s1": p["s1"], "s2": p["s2"], "h1": p["h1"], "h2": p["h2"], "h": h})
-
-    out = x.join(y, "snapshot").where("s1 < s2").mapInPandas(joint, "snapshot int, s1 string, s2 string, h1 double, h2 double, h double")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for snapshot, same, *sides in zip(batch["snapshot"], batch["same"], batch["members1"], batch["members2"], strict=True):
+                names, ones, h = [], [], []
+                for members in sides:
+                    own = np.array([m["bins"] for m in members])
+                    names.append(np.array([m["series"] for m in members], object))
+                    h.append(np.array([m["h"] for m in members]))
+                    ones.append((own[:, None, :] == np.arange(bins)[None, :, None]).reshape(-1, own.shape[1]).astype(np.float32))
+                n = ones[0].shape[1]
+                c = (ones[0] @ ones[1].T).astype(float).reshape(len(names[0]), bins, len(names[1]), bins)
+                joint = np.log(n) - (c * np.log(np.maximum(c, 1))).sum((1, 3)) / n
+                i, j = _pairs_of(*names, same)
+                yield pd.DataFrame({"snapshot": snapshot, **_named(names[0][i], names[1][j]), "h1": h[0][i], "h2": h[1][j], "h": joint[i, j]})
+
+    out = tiles(arrays, "snapshot", tile).mapInPandas(run, "snapshot int, s1 string, s2 string, h1 double, h2 double, h double")
     scale = F.sqrt(F.col("h1") * F.col("h2"))
     nmi = F.when(scale > 1e-10, (F.col("h1") + F.col("h2") - F.col("h")) / scale).otherwise(0.0)
     out = out.select("snapshot", "s1", "s2", F.least(F.greatest(nmi, F.lit(0.0)), F.lit(1.0)).alias("nmi"))

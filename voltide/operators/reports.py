@@ -290,11 +290,29 @@ def best_predictions(preds: DataFrame, metrics: DataFrame, group: Column, metric
     metric of each fold."""
     means = metrics.groupBy("series", "category", "model").agg(F.avg(metric).alias("m")).withColumn("plot", group)
     win = best(means.withColumnsRenamed({"category": "Category", "model": "Model"}), ["series", "plot"], "m").select("series", "plot", F.col("Category").alias("category"), F.col("Model").alias("model"))
-    rows = preds.join(F.broadcast(win), ["series", "category", "model"])
+    rows = preds.join(win, ["series", "category", "model"])
     rows = rows if year is None else rows.where(F.year("dt") == year)
     return rows.select("series", "plot", "category", "model", "fold", "dt", (F.col("y_true") * factor).alias("y_true"), (F.col("y_pred") * factor).alias("y_pred"))
 
 
+def whole_spike_report(metrics: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a report on saved scores of spikes: the best k of each category by ROC-AUC, then
+    summary, leaderboard, tickers, k and weighting breakdowns, structure, deltas and test."""
+    score = "ROC_AUC"
+    chosen = coalesce_categories(metrics, score, True)
+    summary = summarize_spikes(chosen)
+    pairs = paired_spikes(chosen)
+    return {
+        "summary": summary,
+        "leaderboard": leaderboard(summary, f"mean_{score}", True),
+        "k_breakdown": ablation(metrics, ["k"], score, True),
+        "weighting": weighting_breakdown(metrics, score, True),
+        "structure": ablation(chosen, ["structure"], score, True),
+        "extremes": extremes(pairs),
+        "test": with_p_values(signed_rank(pairs)),
+    }
+
+
 def whole_report(metrics: DataFrame, selection: str = "R2", higher: bool = True, factor: float = 1.0) -> dict[str, DataFrame]:
     """The tables of a report on saved results: floors, display scale, the best k of each category,
     then summary, leaderboard, k breakdown (of all k), weighting breakdown, structure, deltas and test."""

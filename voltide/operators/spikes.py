@@ -22,6 +22,7 @@ from voltide.operators import forecasting as fc
 from voltide.operators import graphs as gr
 from voltide.operators.models import Gram
 from voltide.operators.network import VALUES
+from voltide.operators.quantiles import quantiles
 from voltide.sources.store import discard, written
 
 
@@ -425,7 +426,7 @@ def _labelled(rows: DataFrame, train: DataFrame, limits: DataFrame, quantile: fl
     if lookback:
         last = Window.partitionBy("series", "fold").orderBy(F.desc("dt"))
         seen = train.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= lookback)
-    limit = seen.groupBy("series", "fold").agg(F.percentile("Y_fwd", F.lit(quantile)).alias("threshold"))
+    limit = quantiles(seen, ["series", "fold"], "Y_fwd", [quantile]).select("series", "fold", F.col("q")[0].alias("threshold"))
     marked = fc.marked(train).unionByName(rows.where("role = 'test'").withColumn("usual", F.lit(True)))
     marked = marked.join(limit, ["series", "fold"]).join(limits, ["series", "fold"])
     above = F.aggregate("limits", F.lit(0), lambda n, x: n + (F.col("log_RV22") > x).cast("int"))

@@ -31,8 +31,8 @@ def universe(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """One folder of CSV files for each series."""
-    bars.repartition("series").write.partitionBy("series").option("header", True).csv(path)
+    """One folder of CSV files for each series; a series' years are written by tasks of their own."""
+    bars.repartition("series", F.year("Date")).write.partitionBy("series").option("header", True).csv(path)
 
 
 def bars(spark: SparkSession, path: str) -> DataFrame:
@@ -104,7 +104,7 @@ def results(spark: SparkSession, path: str, kinds: str = REGRESSION) -> DataFram
 
 
 def write_predictions(preds: DataFrame, path: str) -> None:
-    preds.repartition("series").write.mode("overwrite").partitionBy("series").parquet(path)
+    preds.repartition("series", F.year("dt")).write.mode("overwrite").partitionBy("series").parquet(path)
 
 
 PARAMETERS = "series STRING, fold INT, category STRING, model STRING, parts ARRAY<STRUCT<part: STRING, params: ARRAY<STRUCT<kind: STRING, name: STRING, value: DOUBLE>>>>"

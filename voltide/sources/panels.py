@@ -50,14 +50,14 @@ def prices(spark: SparkSession, sf_dir: str, unit: str = "day") -> DataFrame:
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily panel without values carried forward: dates without sales are missing."""
     seen = observed(spark, sf_dir)
-    return seen.join(F.broadcast(calendar(seen)), "dt").select("series", "dt", "i", "px")
+    return seen.join(calendar(seen), "dt").select("series", "dt", "i", "px")
 
 
 def market(spark: SparkSession, sf_dir: str, unit: str = "day") -> DataFrame:
     """Log-returns (x100) of the price over all series, nulls dropped: each date joined with the one
     before it in the calendar."""
     by = sales(spark, sf_dir, unit).groupBy("dt").agg((F.sum("price") / F.sum("qty")).alias("px"))
-    by = by.join(F.broadcast(calendar(by)), "dt")
+    by = by.join(calendar(by), "dt")
     before = by.select((F.col("i") + 1).alias("i"), F.col("px").alias("was"))
     return by.join(before, "i").select("dt", (100 * F.log(F.col("px") / F.col("was"))).alias("Market_Returns")).where("Market_Returns is not null")
 

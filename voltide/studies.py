@@ -465,7 +465,7 @@ SELECT series, dt, last_value(degree IGNORE NULLS) OVER w AS net_degree, round(l
     "d_degree_table": PAIRS + " SELECT snapshot, " + ", ".join(f"max(degree) FILTER (src = '{s}') AS \"{s}\"" for s in SERIES) + " FROM deg GROUP BY 1",
     "e_task_grid": PANEL + "," + c._folds("ret", 2) + "SELECT series, CAST(fold AS BIGINT) AS fold, category, model FROM (SELECT DISTINCT series, fold FROM fo), (VALUES " + ", ".join([f"('HAR', '{n}')" for n in _NAMES] + [f"('RegimeSwitching', '{n}')" for n in _REGIMES]) + ") t(category, model)",
     "e_filled_network": f"{PAIRS}, {ASOF} SELECT series, dt, coalesce(degree, 0) AS net_degree, round(coalesce(turnover, 0), 6) + 0.0 AS net_degree_change FROM ao",
-    "e_merged_predictions": NAIVE + f""", mo2 AS (SELECT * FROM nv WHERE fold = 1 AND dt >= DATE '2000-01-01') SELECT coalesce(a.series, b.series) AS series, coalesce(a.dt, b.dt) AS dt, round(coalesce(b.y_true, a.y_true), 5) + 0.0 AS y_true, round(a.week, 5) + 0.0 AS week, round(b.month, 5) + 0.0 AS month FROM nv a FULL JOIN mo2 b ON a.series = b.series AND a.dt = b.dt""",
+    "e_merged_predictions": NAIVE.replace("nv AS (", "nv AS MATERIALIZED (") + f""", mo2 AS (SELECT * FROM nv WHERE fold = 1 AND dt >= DATE '2000-01-01') SELECT coalesce(a.series, b.series) AS series, coalesce(a.dt, b.dt) AS dt, round(coalesce(b.y_true, a.y_true), 5) + 0.0 AS y_true, round(a.week, 5) + 0.0 AS week, round(b.month, 5) + 0.0 AS month FROM nv a FULL JOIN mo2 b ON a.series = b.series AND a.dt = b.dt""",
     "e_all_metrics": f'{METRICS} SELECT "Category", "Ticker", "Model", "Fold", {r("RMSE_log")} FROM m',
     "m_penalised": ROWS + """, st AS (SELECT series, count(*) AS n, avg("log_RV5") AS mx, avg("log_Y") AS my, stddev_pop("log_RV5") AS sx, covar_pop("log_RV5", "log_Y") AS sxy FROM tn GROUP BY 1),
 b AS (SELECT series, 'ridge' AS penalty, n * sxy / sx / (n + 50.0) / sx AS slope, mx, my FROM st UNION ALL SELECT series, 'lasso', sign(sxy) * greatest(abs(sxy / sx) - 0.05, 0) / sx, mx, my FROM st)

@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small fixtures."""
 
 import random
+from collections import Counter
 import re
 
 import numpy as np
@@ -180,6 +181,22 @@ def test_topk_ties_and_odd_vectors(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_topk_repeated_rows_missing_ids_and_other_lengths(spark):
+    """Every row is a candidate and every marked row a query of its own."""
+    r = random.Random(8)
+    rows = [(i // 2, [r.choice([-0.5, 0.25, 0.9]) for _ in range(4)]) for i in range(120)]
+    rows += [(0, rows[0][1]), (50, rows[100][1])] + [(None, [0.9] * 4)] * 3 + [(100, [0.9] * 4), (100, [0.5] * 3), (3, [0.9] * 3)]
+    df = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<double>, KEY int").repartition(4)
+    got = Counter(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=40, query_rows=3).collect()))
+    want = Counter()
+    for n, (q, v) in enumerate(rows):
+        if q is not None and q % 50 == 0:
+            x = np.floor(256 * np.array(v)).astype(int)
+            scored = [(-int(np.floor(256 * np.array(w)).astype(int) @ x), i is None, i or 0, i) for m, (i, w) in enumerate(rows) if m != n and len(w) == len(v)]
+            want.update((q, rank, s[3], -s[0]) for rank, s in enumerate(sorted(scored, key=lambda s: s[:3])[:5], 1))
+    assert got == want
+
+
 def test_extraction():
     page = "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a></nav><div class='ad'>Buy it now and be happy with all of it.</div><article><h1>Head &amp; line</h1><p>One <b>two<br>three</p><p>End.</article><div class=comments><p>The best of all.</p></div><footer>&copy; me</footer></body>"
     assert extraction.main_text(page) == "Head & line\n\nOne two three\n\nEnd."

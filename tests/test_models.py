@@ -97,7 +97,7 @@ def test_logit(spark):
     x, y = sample(300, 3, 2)
     y = (y > np.quantile(y, 0.7)).astype(int)
     s = (x - x.mean(0)) / x.std(0)
-    b = spikes.fit_logit(s, y, 0.5)
+    b = timeseries.fit_logit(s, y, 0.5)
     slope = 0.5 * s.T @ (spikes.sigmoid(s @ b[1:] + b[0]) - y) + b[1:]
     assert np.abs(slope).max() < 1e-6
     rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="f").transform(spark.createDataFrame(pd.DataFrame(s, columns=["a", "b", "c"]).assign(y=y.astype(float))))

@@ -8,7 +8,7 @@ from voltide import catalog as c
 from voltide import further
 from voltide.catalog import K, METRICS, NET, PAIRS, PANEL, STEP, TEST, TRAIN, WINDOW, r, rounded
 from voltide.functions import features as fx
-from voltide.operators import eda, forecasting, models, network, reports, spikes, timeseries
+from voltide.operators import eda, forecasting, models, network, reports, timeseries
 from voltide.sources import files, panels
 from voltide.sources.store import new_folder, written
 

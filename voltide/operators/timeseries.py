@@ -12,7 +12,6 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from voltide.functions.features import folds
 from voltide.operators.spikes import sigmoid

@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from voltide.llm import common, langid, pieces, queries, toxicity
 

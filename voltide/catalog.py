@@ -22,21 +22,29 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*out)
 
 
-def panel(spark, d, unit="day"):
-    return fx.returns(panels.prices(spark, d, unit))
+def panel(spark, d, unit="day", sold=None):
+    """Returns of the dense panel. A query that reads the sales for more than this has them totalled once,
+    by `panels.totals`, and passes them on as `sold`."""
+    return fx.returns(panels.prices(spark, d, unit, sold))
 
 
-def featured(spark, d, unit="day"):
-    return fx.variance_features(panel(spark, d, unit))
+def featured(spark, d, unit="day", sold=None):
+    return fx.variance_features(panel(spark, d, unit, sold))
 
 
-def pairs(spark, d):
-    return network.squared_distance(network.correlations(panel(spark, d), WINDOW, STEP))
+def with_market(spark, d):
+    """The variance features with those of the market."""
+    sold = panels.totals(spark, d)
+    return fx.market_features(featured(spark, d, sold=sold), panels.market(spark, d, sold=sold))
 
 
-def graph(spark, d, k=K):
+def pairs(spark, d, sold=None):
+    return network.squared_distance(network.correlations(panel(spark, d, sold=sold), WINDOW, STEP))
+
+
+def graph(spark, d, k=K, sold=None):
     """The pairs and the edges of each series' `k` nearest, both written: several steps read them."""
-    p = written(pairs(spark, d))
+    p = written(pairs(spark, d, sold))
     return p, written(network.knn_edges(p, k))
 
 
@@ -49,7 +57,8 @@ def b_variance_features(spark, d):
 
 
 def b_market_features(spark, d):
-    return rounded(fx.market_features(panel(spark, d), panels.market(spark, d)).select("series", "dt", "Market_Returns", "Market_RV5", "Market_RV22", "log_Market_RV5", "log_Market_RV22"))
+    sold = panels.totals(spark, d)
+    return rounded(fx.market_features(panel(spark, d, sold=sold), panels.market(spark, d, sold=sold)).select("series", "dt", "Market_Returns", "Market_RV5", "Market_RV22", "log_Market_RV5", "log_Market_RV22"))
 
 
 def b_remove_outliers(spark, d):
@@ -87,11 +96,13 @@ def d_clustering(spark, d):
 
 
 def d_neighbour_means(spark, d):
-    return rounded(network.neighbour_means(network.knn_edges(pairs(spark, d), K), featured(spark, d), "log_RV5"), 5)
+    sold = panels.totals(spark, d)
+    return rounded(network.neighbour_means(network.knn_edges(pairs(spark, d, sold), K), featured(spark, d, sold=sold), "log_RV5"), 5)
 
 
 def d_neighbour_means_exp(spark, d):
-    return rounded(network.neighbour_means(network.knn_edges(pairs(spark, d), K), featured(spark, d), "log_RV5", kernel="exp"), 5)
+    sold = panels.totals(spark, d)
+    return rounded(network.neighbour_means(network.knn_edges(pairs(spark, d, sold), K), featured(spark, d, sold=sold), "log_RV5", kernel="exp"), 5)
 
 
 def e_folds(spark, d):

@@ -18,9 +18,11 @@ GRAPHS = [(kind, k) for kind in gr.KINDS for k in range(1, gr.MOST + 1)]
 
 def graph_arrays(spark, d, graphs):
     """The panel with own and market columns, and the arrays of the graphs' features."""
-    values = written(fx.market_features(c.featured(spark, d), panels.market(spark, d)))
+    sold = panels.totals(spark, d)
+    panel = written(c.panel(spark, d, sold=sold))
+    values = written(fx.market_features(fx.variance_features(panel), panels.market(spark, d, sold=sold)))
     kinds, ks = tuple(dict.fromkeys(kind for kind, _ in graphs)), tuple(sorted({k for _, k in graphs}))
-    pairs = written(gr.distances(c.panel(spark, d), kinds, c.WINDOW, STEP))
+    pairs = written(gr.distances(panel, kinds, c.WINDOW, STEP))
     edges = written(gr.all_edges(gr.levelled(pairs), pairs, ks, stride=5))
     features = gr.all_features(pairs, edges, values, ks, STEP)
     return values, written(gr.packed(features, values, graphs, STEP), pairs, edges)
@@ -116,7 +118,7 @@ def a_spike_predictions(spark, d):
     """The store of predicted spikes, with labels and odds, written by series and read back."""
     path = new_folder(spark)
     own = {"": [m for m in spikes.baselines() if m.name in ("HAR-Logit (C=1.0)", "RegHAR-Logit (p75)")]}
-    values = written(fx.market_features(c.featured(spark, d), panels.market(spark, d)))
+    values = written(c.with_market(spark, d))
     study = spikes.Study(values, _without_graphs(values), own, 1, TEST, TRAIN, 0.75, 756, step=STEP)
     files.write_predictions(study.predictions(), path)
     return rounded(spark.read.parquet(path).select("series", "dt", "category", "model", "y_true", "label", "pred", "proba"), 5)

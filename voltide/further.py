@@ -43,7 +43,8 @@ def c_market_partial_correlation(spark, d):
 
 
 def d_rank_features(spark, d):
-    return rounded(network.rank_features(knn(spark, d), c.featured(spark, d), "log_RV5", K), 5)
+    sold = panels.totals(spark, d)
+    return rounded(network.rank_features(network.knn_edges(c.pairs(spark, d, sold), K), c.featured(spark, d, sold=sold), "log_RV5", K), 5)
 
 
 def d_edge_counts(spark, d):
@@ -64,8 +65,9 @@ def d_neighbourhood_change(spark, d):
 
 
 def d_as_of(spark, d):
-    p, e = c.graph(spark, d)
-    return rounded(network.as_of(c.panel(spark, d), network.turnover(e, network.nodes(p), STEP), ["degree", "turnover"]))
+    sold = panels.totals(spark, d)
+    p, e = c.graph(spark, d, sold=sold)
+    return rounded(network.as_of(c.panel(spark, d, sold=sold), network.turnover(e, network.nodes(p), STEP), ["degree", "turnover"]))
 
 
 def e_standardised(spark, d):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voltide.sources.store import written
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,9 +26,15 @@ def sales(spark: SparkSession, sf_dir: str, unit: str = "day", by: str = "p_bran
     )
 
 
-def observed(spark: SparkSession, sf_dir: str, unit: str = "day", by: str = "p_brand") -> DataFrame:
-    """Quantity-weighted price per series and date, where there were sales."""
-    return sales(spark, sf_dir, unit, by).groupBy("series", "dt").agg((F.sum("price") / F.sum("qty")).alias("px"))
+def totals(spark: SparkSession, sf_dir: str, unit: str = "day", by: str = "p_brand") -> DataFrame:
+    """series, dt, price, qty: what was sold of each series and date, written. Panels read their sales
+    many times; the line items are read and joined once, here."""
+    return written(sales(spark, sf_dir, unit, by).groupBy("series", "dt").agg(F.sum("price").alias("price"), F.sum("qty").alias("qty")))
+
+
+def observed(sold: DataFrame) -> DataFrame:
+    """Quantity-weighted price per series and date, where there were sales, from `totals`."""
+    return sold.select("series", "dt", (F.col("price") / F.col("qty")).alias("px"))
 
 
 def calendar(seen: DataFrame) -> DataFrame:
@@ -43,20 +51,22 @@ def dense(seen: DataFrame) -> DataFrame:
     return grid.join(seen, ["series", "dt"], "left").select("series", "dt", "i", F.last("px", ignorenulls=True).over(w).alias("px"))
 
 
-def prices(spark: SparkSession, sf_dir: str, unit: str = "day") -> DataFrame:
-    return dense(observed(spark, sf_dir, unit))
+def prices(spark: SparkSession, sf_dir: str, unit: str = "day", sold: DataFrame | None = None) -> DataFrame:
+    """The dense panel; `sold` is what `totals` gave, where other steps of the query read it too."""
+    return dense(observed(totals(spark, sf_dir, unit) if sold is None else sold))
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily panel without values carried forward: dates without sales are missing."""
-    seen = observed(spark, sf_dir)
+    seen = observed(totals(spark, sf_dir))
     return seen.join(calendar(seen), "dt").select("series", "dt", "i", "px")
 
 
-def market(spark: SparkSession, sf_dir: str, unit: str = "day") -> DataFrame:
+def market(spark: SparkSession, sf_dir: str, unit: str = "day", sold: DataFrame | None = None) -> DataFrame:
     """Log-returns (x100) of the price over all series, nulls dropped: each date joined with the one
-    before it in the calendar."""
-    by = sales(spark, sf_dir, unit).groupBy("dt").agg((F.sum("price") / F.sum("qty")).alias("px"))
+    before it in the calendar. `sold` as for `prices`."""
+    sold = totals(spark, sf_dir, unit) if sold is None else sold
+    by = sold.groupBy("dt").agg((F.sum("price") / F.sum("qty")).alias("px"))
     by = by.join(calendar(by), "dt")
     before = by.select((F.col("i") + 1).alias("i"), F.col("px").alias("was"))
     return by.join(before, "i").select("dt", (100 * F.log(F.col("px") / F.col("was"))).alias("Market_Returns")).where("Market_Returns is not null")

@@ -121,8 +121,9 @@ def a_graph_edges(spark, d):
 
 
 def a_feature_export(spark, d):
-    p, e = c.graph(spark, d)
-    rows = network.as_of(c.panel(spark, d), network.turnover(e, network.nodes(p), STEP), ["degree", "turnover"])
+    sold = panels.totals(spark, d)
+    p, e = c.graph(spark, d, sold=sold)
+    rows = network.as_of(c.panel(spark, d, sold=sold), network.turnover(e, network.nodes(p), STEP), ["degree", "turnover"])
     rows = rows.select("series", "dt", F.col("degree").alias("net_degree"), (1 / F.col("turnover").cast("float").cast("double")).alias("other"), F.when(F.col("turnover") == 0, float("inf")).otherwise(F.col("turnover")).alias("net_turnover"))
     path = new_folder(spark)
     files.write_features(rows, path, series=SERIES[:3])
@@ -151,7 +152,8 @@ def b_index_market(spark, d):
 
 
 def b_har_panel(spark, d):
-    out = fx.har_panel(panels.prices(spark, d), panels.market(spark, d))
+    sold = panels.totals(spark, d)
+    out = fx.har_panel(panels.prices(spark, d, sold=sold), panels.market(spark, d, sold=sold))
     return rounded(out.select("series", "dt", *fx.HAR_COLUMNS, "Market_Returns", "log_Market_RV5", "log_Market_RV22"), 5)
 
 
@@ -192,8 +194,9 @@ def d_global_clustering(spark, d):
 
 
 def _features(spark, d, kernel="inverse"):
-    p, e = c.graph(spark, d)
-    return network.graph_features(p, e, written(c.featured(spark, d)), K, STEP, kernel=kernel)
+    sold = panels.totals(spark, d)
+    p, e = c.graph(spark, d, sold=sold)
+    return network.graph_features(p, e, written(c.featured(spark, d, sold=sold)), K, STEP, kernel=kernel)
 
 
 def d_graph_features(spark, d):
@@ -202,15 +205,17 @@ def d_graph_features(spark, d):
 
 def d_network_panel(spark, d):
     names = ["net_degree", "net_idw_log_RV5"]
-    p, e = c.graph(spark, d)
-    values = written(c.featured(spark, d))
+    sold = panels.totals(spark, d)
+    p, e = c.graph(spark, d, sold=sold)
+    values = written(c.featured(spark, d, sold=sold))
     own = network.neighbour_features(e, values, ["log_RV5"]).join(network.degrees(network.nodes(p), e).withColumnRenamed("degree", "net_degree"), ["snapshot", "src"], "right")
     return rounded(network.with_network(values.select("series", "dt", "i"), own, names).select("series", "dt", *names), 5)
 
 
 def d_features_on_dates(spark, d):
-    p, e = c.graph(spark, d)
-    rows = network.as_of(c.panel(spark, d), network.turnover(e, network.nodes(p), STEP), ["degree"])
+    sold = panels.totals(spark, d)
+    p, e = c.graph(spark, d, sold=sold)
+    rows = network.as_of(c.panel(spark, d, sold=sold), network.turnover(e, network.nodes(p), STEP), ["degree"])
     orders = panels.read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderdate").cast("date").alias("dt"))
     return rounded(network.on_dates(rows, orders))
 
@@ -229,8 +234,9 @@ def e_task_grid(spark, d):
 
 
 def e_filled_network(spark, d):
-    p, e = c.graph(spark, d)
-    rows = network.as_of(c.panel(spark, d), network.turnover(e, network.nodes(p), STEP), ["degree", "turnover"]).withColumnsRenamed({"degree": "net_degree", "turnover": "net_degree_change"})
+    sold = panels.totals(spark, d)
+    p, e = c.graph(spark, d, sold=sold)
+    rows = network.as_of(c.panel(spark, d, sold=sold), network.turnover(e, network.nodes(p), STEP), ["degree", "turnover"]).withColumnsRenamed({"degree": "net_degree", "turnover": "net_degree_change"})
     return rounded(forecasting.fill_net(rows))
 
 
@@ -245,10 +251,6 @@ def e_all_metrics(spark, d):
     return rounded(m.where("Category = 'HAR'").unionByName(m.where("Category <> 'HAR'")))
 
 
-def _market_panel(spark, d):
-    return fx.market_features(c.featured(spark, d), panels.market(spark, d))
-
-
 def m_arima(spark, d):
     return rounded(reports.regression_metrics(timeseries.arima_forecasts(c.featured(spark, d), n_splits=1, test=TEST, min_train=TRAIN), ["category", "model", "series", "fold"]))
 
@@ -258,11 +260,11 @@ def m_garch(spark, d):
 
 
 def m_dynamic_correlation(spark, d):
-    return rounded(reports.regression_metrics(timeseries.dcc_forecasts(_market_panel(spark, d), n_splits=1, test=TEST, min_train=TRAIN), ["category", "model", "series", "fold"]))
+    return rounded(reports.regression_metrics(timeseries.dcc_forecasts(c.with_market(spark, d), n_splits=1, test=TEST, min_train=TRAIN), ["category", "model", "series", "fold"]))
 
 
 def m_dynamic_correlation_spikes(spark, d):
-    return rounded(reports.classification_metrics(timeseries.dcc_spikes(_market_panel(spark, d), n_splits=1, test=TEST, min_train=TRAIN), ["category", "model", "series", "fold"]))
+    return rounded(reports.classification_metrics(timeseries.dcc_spikes(c.with_market(spark, d), n_splits=1, test=TEST, min_train=TRAIN), ["category", "model", "series", "fold"]))
 
 
 def _one_column(spark, d):

@@ -24,7 +24,7 @@ def test_panels_do_not_read_the_line_items_again(spark):
         assert "l_shipdate" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["m_spike_evaluation", "m_index_spikes", "m_two_graphs"])
+@pytest.mark.parametrize("name", ["m_spike_evaluation", "m_index_spikes", "m_two_graphs", "g_evaluation_report"])
 def test_line_items_are_read_once(spark, passes, monkeypatch, name):
     """Up to the distances a query has read the items once; what it goes on with is written."""
     given = []

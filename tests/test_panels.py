@@ -5,7 +5,7 @@ import math
 
 import pytest
 
-from voltide import catalog, evaluations
+from voltide import catalog, evaluations, studies
 from voltide.sources import panels
 
 DIR = "/root/testdata/sf0.001"
@@ -40,6 +40,12 @@ def test_line_items_are_read_once(spark, passes, monkeypatch, name):
     assert "l_shipdate" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_merged_predictions_read_the_line_items_once(spark, passes):
+    df = studies.QUERIES["e_merged_predictions"](spark, DIR)
+    assert len(passes) == 1
+    assert "l_shipdate" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_panels_and_market_from_totals(spark, tmp_path):
     """Items of a part without a brand belong to the market; missing prices and quantities do not count."""
     day = [datetime.datetime(2020, 1, n) for n in (1, 2, 3)]

@@ -94,8 +94,8 @@ def a_results(spark, d):
     return rounded(files.results(spark, path).select("Category", "Ticker", "Model", "Fold", "RMSE_log", "R2_log", "RMSE", "R2", "MAE"))
 
 
-def _naive(spark, d, fold=0):
-    rows = fx.folds(c.featured(spark, d).dropna(subset=["RV22", "Y_fwd"]), 2, TEST, TRAIN).where((F.col("role") == "test") & (F.col("fold") == fold))
+def _naive(spark, d, fold=0, sold=None):
+    rows = fx.folds(c.featured(spark, d, sold=sold).dropna(subset=["RV22", "Y_fwd"]), 2, TEST, TRAIN).where((F.col("role") == "test") & (F.col("fold") == fold))
     return rows.select("series", "dt", F.col("Y_fwd").alias("y_true"), models.naive_week().alias("week"), models.naive_month().alias("month"))
 
 
@@ -241,8 +241,9 @@ def e_filled_network(spark, d):
 
 
 def e_merged_predictions(spark, d):
-    week = _naive(spark, d, 0).unionByName(_naive(spark, d, 1)).select("series", "dt", "y_true", "week")
-    month = _naive(spark, d, 1).where("dt >= '2000-01-01'").select("series", "dt", "y_true", "month")
+    sold = panels.totals(spark, d)
+    week = _naive(spark, d, 0, sold).unionByName(_naive(spark, d, 1, sold)).select("series", "dt", "y_true", "week")
+    month = _naive(spark, d, 1, sold).where("dt >= '2000-01-01'").select("series", "dt", "y_true", "month")
     return rounded(forecasting.merge_predictions(month, week).select("series", "dt", "y_true", "week", "month"), 5)
 
 
